@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,3 +102,12 @@ def fixed_uint64(n: int, seed: int) -> np.ndarray:
     """n fixed pseudo-random odd uint64 values."""
     with np.errstate(over="ignore"):
         return mixed((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def send(spark: SparkSession, value):
+    """Broadcast a bounded value whose class the workers may not know."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent):
+    return pickle.loads(sent.value)
