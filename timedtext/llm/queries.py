@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.llm import langid, secrets, sharding, weakrules
+from timedtext.llm import langid, pairrank, secrets, sharding, weakrules
 from timedtext.llm.common import crc_of_id, table
 
 
@@ -21,6 +21,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.pmod(crc_of_id(), F.lit(3)) == 1, F.lit(False))
+    ranker = pairrank.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    found = pairrank.predict(docs.select("doc_id", "text"), ranker)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = weakrules.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
