@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.llm import langid, pairrank, secrets, sharding, weakrules
+from timedtext.llm import langid, mainhtml, pairrank, secrets, sharding, weakrules
 from timedtext.llm.common import crc_of_id, table
 
 
@@ -38,6 +38,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return mainhtml.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
