@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.llm import langid, mainhtml, pairrank, secrets, sharding, weakrules
+from timedtext.llm import langid, mainhtml, packing, pairrank, secrets, sharding, tokenbin, weakrules
 from timedtext.llm.common import crc_of_id, table
 
 
@@ -21,6 +21,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.pmod(crc_of_id(), F.lit(3)) == 1, F.lit(False))
@@ -43,6 +47,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainhtml.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.write_rows(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
