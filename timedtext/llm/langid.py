@@ -90,7 +90,7 @@ class Backoff:
                 at.append(k)
             if len(rows) > len(table):
                 table = np.concatenate([table, np.array(rows[len(table) :])])
-            total = np.bincount(at, minlength=len(table)) @ table if len(at) > 4 * len(table) else table[at].sum(axis=0)
+            total = (np.bincount(at, minlength=len(table))[:, None] * table).sum(axis=0) if len(at) > 4 * len(table) else table[at].sum(axis=0)
             best = int(total.argmax())
             return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -60, 0)).sum())
 

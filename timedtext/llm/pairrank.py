@@ -81,7 +81,7 @@ class Ranker:
         self.mean, self.scale, self.weights, self.threshold, self.width = mean, scale, weights, threshold, width
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        s = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
+        s = np.einsum("ij,j->i", np.clip((x - self.mean) / self.scale, -8, 8), self.weights)
         return 1 / (1 + np.exp(-np.clip((s - self.threshold) / self.width, -40, 40)))
 
 
@@ -98,14 +98,14 @@ def learn(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, rounds: int = 25, r
     d = z[rng.choice(good, m)] - z[rng.choice(bad, m)]
     w = np.zeros(width)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -40, 40)))
-        gradient = d.T @ (1 - p) / m - ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / m + ridge * np.eye(width)
+        p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", d, w), -40, 40)))
+        gradient = np.einsum("ij,i->j", d, 1 - p) / m - ridge * w
+        hessian = np.einsum("ij,i,ik->jk", d, p * (1 - p), d) / m + ridge * np.eye(width)
         step = np.linalg.solve(hessian, gradient)
         w += step * min(1.0, 3 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
             break
-    s = z @ w
+    s = np.einsum("ij,j->i", z, w)
     q = len(bad) / len(y)
     # the middle of the gap at the quantile
     o = np.sort(s)
