@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.llm import langid, mainhtml, packing, pairrank, secrets, sharding, tokenbin, weakrules
+from timedtext.llm import decontam, langid, mainhtml, packing, pairrank, secrets, sharding, tokenbin, weakrules
 from timedtext.llm.common import crc_of_id, table
 
 
@@ -13,6 +13,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.pmod(crc_of_id(), F.lit(4)) == 2, F.lit(False))
