@@ -129,15 +129,18 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary)
         for pdf in batches:
-            rows = []
-            for doc_id, t in zip(pdf["doc_id"].astype(object), pdf["text"]):
+            ids_of, rows = [], []
+            for doc_id, t in zip(pdf["doc_id"], pdf["text"]):
                 ids = np.append(encode(t), np.uint32(END)).astype("<u4")
                 n = len(ids)
-                rows += [(None if pd.isna(doc_id) else int(doc_id), a, min(capacity, n - a), zlib.crc32(ids[a : a + capacity].tobytes()), n) for a in range(0, n, capacity)]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+                rows += [(a, min(capacity, n - a), zlib.crc32(ids[a : a + capacity].tobytes()), n) for a in range(0, n, capacity)]
+                ids_of += [None if doc_id is None else int(doc_id)] * (len(rows) - len(ids_of))
+            out = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens"])
+            out.insert(0, "doc_id", pd.array(ids_of, dtype="Int64"))
+            yield out
+
+    # ids as text: pandas would turn a column of integers with nulls into floats
+    return docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, classes: int = CLASSES, vocabulary: str = "byte_bpe_50k") -> DataFrame:
