@@ -2,14 +2,689 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from timedtext.functions import names, similarity, text
+from timedtext.functions.similarity import Cascade
+from timedtext.operators import layout, merging, tables, timeline
+from timedtext.plans.comments import DUCK, comments, flow
+from timedtext.sources import export, payloads
+
+SEGMENTS = [(0.0, 2.0), (5000.0, -1.5), (12000.0, 0.25)]
+RULES = ["^cl.ck!+$", "view%f[%s] x$", "[broken", "^%u", "p.rch.-~$"]
+_QUERIES: dict = {}
+_ORACLES: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if oracle is not None:
+            _ORACLES[name] = oracle
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow(spark, sf_dir, SEGMENTS, RULES)
+
+
+def values(spark: SparkSession, sql: str) -> DataFrame:
+    return spark.sql(sql)
+
+
+def _segments():
+    return F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("delay")) for a, b in SEGMENTS))
+
+
+def _mergeable(spark, d) -> DataFrame:
+    return comments(spark, d).where("type between 1 and 5")
+
+
+_SEGS_SQL = "(values " + ", ".join(f"({a}::double, {b}::double)" for a, b in SEGMENTS) + ") s(start, delay)"
+_M = f"c as ({DUCK}), m as (select * from c where type between 1 and 5)"
+CAND = Cascade()
+
+
+# --- time ---------------------------------------------------------------------------------------------------------------
+
+
+@query("delay_asof", f"with c as ({DUCK}) select cid, round(time + coalesce((select sum(delay) from {_SEGS_SQL} where start < time), 0), 6) as adj_time from c")
+def _(spark, d):
+    return comments(spark, d).select("cid", F.round(F.col("time") + timeline.delay_at(_segments(), F.col("time")), 6).alias("adj_time"))
+
+
+@query("delay_inclusive", f"with c as ({DUCK}) select cid, coalesce((select sum(delay) from {_SEGS_SQL} where start <= time), 0)::double as delay from c")
+def _(spark, d):
+    return comments(spark, d).select("cid", timeline.delay_at(_segments(), F.col("time"), inclusive=True).alias("delay"))
+
+
+_SOURCES = "select * from (values ('s0', false, 'raw', 0.5D), ('s1', true, 'raw', 1.0D), ('s2', false, 'merged', -2.0D)) as t(source, blocked, stage, delay)"
+
+
+@query(
+    "source_delays",
+    f"with c as ({DUCK}), s as ({_SOURCES.replace('5D', '5').replace('0D', '0')}) select cid, source, time as orig_time, round(time + (case when time > 100 then delay else 0 end), 6)::double as time, stage from c join s using (source) where not blocked",
+)
+def _(spark, d):
+    sources = spark.sql(_SOURCES).withColumn("delay_segments", F.array(F.struct(F.lit(100.0).alias("start"), F.col("delay").alias("delay")))).drop("delay")
+    return timeline.apply_delays(comments(spark, d), sources).select("cid", "source", "orig_time", F.round("time", 6).alias("time"), "stage")
+
+
+@query("delay_segment_merge", "select * from (values ('a', 0.0::double, 3.0::double), ('a', 100.0, 2.0), ('c', 5.0, 1.5), ('c', 45.0, 1.0)) t(source, start, delay)")
+def _(spark, d):
+    # a: 0+8 pair, 100 alone, 120 goes into 100; b: all vanish; c: 5 takes 18, 45 stays
+    given = spark.sql(
+        "select source, array_agg(struct(start, delay)) as segs from (values ('a', 8.0D, 1.0D), ('a', 0.0D, 2.0D), ('a', 100.0D, 1.5D), ('a', 120.0D, 0.5D), ('b', 1.0D, 2.0D), ('b', 6.0D, -2.0D), "
+        "('c', 5.0D, 1.0D), ('c', 18.0D, 0.5D), ('c', 45.0D, 1.0D)) as t(source, start, delay) group by source"
+    )
+    return given.select("source", F.inline(timeline.combine_segments(F.col("segs"))))
+
+
+_HIT = "case when regexp_matches(text, '^cl.ck!+$') then '^cl.ck!+$' when regexp_matches(text, 'view x$') then 'view%f[%s] x$' when regexp_matches(text, '^[A-Z]') then '^%u' when regexp_matches(text, 'p.rch.*?~$') then 'p.rch.-~$' end"
+
+
+@query("blacklist_filter", f"with c as ({DUCK}) select cid, text from c where {_HIT} is null")
+def _(spark, d):
+    return timeline.drop_ruled(comments(spark, d), RULES).select("cid", "text")
+
+
+@query("first_blacklist_hit", f"with c as ({DUCK}) select cid, {_HIT} as pattern from c where {_HIT} is not null")
+def _(spark, d):
+    return comments(spark, d).select("cid", timeline.first_rule(F.col("text"), RULES).alias("pattern")).where("pattern is not null")
+
+
+@query("kway_order", f"with c as ({DUCK}) select cid, source, row_number() over (partition by source order by time, source, cid) as ord from c")
+def _(spark, d):
+    return timeline.ordered(comments(spark, d), ["source"]).select("cid", "source", F.col("ord").cast("bigint").alias("ord"))
+
+
+@query("sessions", f"with c as ({DUCK}), w as (select *, case when time - lag(time) over (partition by source order by time, cid) <= 3 then 0 else 1 end as n from c) select cid, source, cast(sum(n) over (partition by source order by time, cid rows unbounded preceding) as bigint) as session from w")
+def _(spark, d):
+    return timeline.sessions(comments(spark, d), 3, ["source"], order=["cid"]).select("cid", "source", F.col("session").cast("bigint").alias("session"))
+
+
+_EVENTS = "e as (select cid, type, text, case when type = 1 then floor(time + 0.5) else time end as start_time, case when type = 1 then floor(time + 0.5) + 15 else time + 5 end as end_time from m)"
+_POS = "p as (select cast(range * 37 as double) as pos from range(600))"
+
+
+def _timed(spark, d):
+    return layout.timed(comments(spark, d))
+
+
+@query("active_at", f"with {_M}, {_EVENTS}, {_POS} select pos, cid from p, e where start_time <= pos and start_time >= pos - 15 and end_time >= pos")
+def _(spark, d):
+    asked = spark.range(600).select((F.col("id") * 37).cast("double").alias("pos"))
+    return timeline.active_at(_timed(spark, d), asked, 15).select("pos", "cid")
+
+
+@query(
+    "position_at",
+    f"with {_M}, {_EVENTS}, {_POS} select pos, cid, round(1920 + length(text) / 2.0 * 25 / 2 + (-(length(text) / 2.0 * 25 / 2) - (1920 + length(text) / 2.0 * 25 / 2)) * (pos - start_time) / (end_time - start_time), 6)::double as x from p, e "
+    "where type = 1 and start_time <= pos and start_time >= pos - 15 and end_time >= pos",
+)
+def _(spark, d):
+    asked = spark.range(600).select((F.col("id") * 37).cast("double").alias("pos"))
+    half = text.display_width(F.col("text"), F.lit(25.0)) / 2
+    rows = timeline.active_at(_timed(spark, d).where("type = 1"), asked, 15)
+    return rows.select("pos", "cid", F.round(timeline.x_at(1920 + half, -half, F.col("start_time"), F.col("end_time"), F.col("pos")), 6).alias("x"))
+
+
+# --- merging ---------------------------------------------------------------------------------------------------------------
+
+
+_TOLERANCE = f"""with recursive {_M}, r as (select *, row_number() over (partition by text, type order by time, cid) as rn from m),
+ walk as (select text, type, rn, cid, time, time as anchor, cid as acid from r where rn = 1
+  union all select r.text, r.type, r.rn, r.cid, r.time, case when r.time - w.anchor <= 5 then w.anchor else r.time end, case when r.time - w.anchor <= 5 then w.acid else r.cid end
+  from walk w join r on r.text = w.text and r.type = w.type and r.rn = w.rn + 1)
+ select acid as cid, text, type, any_value(anchor) as time, count(*)::int as merge_count,
+  case when count(*) > 2 or min(time) <> max(time) then text || 'x' || count(*) else text end as out_text from walk group by acid, text, type"""
+
+
+@query("tolerance_merge", _TOLERANCE)
+def _(spark, d):
+    return merging.tolerance_merge(_mergeable(spark, d), 5).select("cid", "text", "type", "time", "merge_count", "out_text")
+
+
+_DIST = "sqrt(pow(((a >> 16) & 255) - ((b >> 16) & 255), 2) + pow(((a >> 8) & 255) - ((b >> 8) & 255), 2) + pow((a & 255) - (b & 255), 2))"
+
+
+def _colour_rows(spark, d):
+    # colours that repeat and lie close: a few channels only
+    near = (F.col("cid") * 7 % 5 * 65536 * 6 + F.col("cid") % 3 * 256 * 9 + F.col("cid") % 11).cast("int")
+    return comments(spark, d).withColumns({"color": near, "text": F.col("source")})
+
+
+@query(
+    "color_leaders",
+    f"""with recursive {_M}, k as (select cid, time, source as text, cast(cid * 7 % 5 * 65536 * 6 + cid % 3 * 256 * 9 + cid % 11 as int) as color from c),
+ f as (select text, color, min((time, cid)) as first from k group by text, color), r as (select *, row_number() over (partition by text order by first) as rn from f),
+ walk as (select text, rn, color, [color] as leaders, color as leader from r where rn = 1
+  union all select r.text, r.rn, r.color, case when len(near) = 0 then list_append(w.leaders, r.color) else w.leaders end, case when len(near) = 0 then r.color else near[1] end
+  from walk w join r on r.text = w.text and r.rn = w.rn + 1, lateral (select list_filter(w.leaders, lambda l: sqrt(pow(((l >> 16) & 255) - ((r.color >> 16) & 255), 2) + pow(((l >> 8) & 255) - ((r.color >> 8) & 255), 2) + pow((l & 255) - (r.color & 255), 2)) <= 15) as near) n)
+ select k.cid, w.leader as leader_color from k join walk w on w.text = k.text and w.color = k.color""",
+)
+def _(spark, d):
+    return merging.with_leader(_colour_rows(spark, d), ["text"], ["time", "cid"]).select("cid", F.col("leader").alias("leader_color"))
+
+
+_END = r"[.。,，/?？!！…~～@^、+=\-_♂♀ ]"
+_NORM = f"case when regexp_full_match(text, '{_END}*') then text else regexp_replace(text, '{_END}+$', '') end"
+# what the derived texts need of normalisation: endings and half-width marks
+_NORMED = f"replace(replace({_NORM}, '!', '！'), '?', '？')"
+_CHARS = lambda s: f"string_split({s}, '')"
+_BAG = lambda a, b: f"coalesce(list_sum(list_transform(list_distinct(list_concat({a}, {b})), lambda q: abs(len(list_filter({a}, lambda z: z = q)) - len(list_filter({b}, lambda z: z = q))))), 0)"
+_GRAMS = lambda s: f"list_transform(range(1, greatest(length({s}), 1)), lambda i: substring({s}, i, 2))"
+_SQ = lambda a, b: f"coalesce(list_sum(list_transform(list_distinct({a}), lambda q: len(list_filter({a}, lambda z: z = q)) * len(list_filter({b}, lambda z: z = q)))), 0)"
+_COS = lambda a, b: f"case when len({a}) = 0 or len({b}) = 0 then 0 else cast(floor({_SQ(a, b)}::double * {_SQ(a, b)} / {_SQ(a, a)} / {_SQ(b, b)} * 100) as bigint) end"
+
+
+def _cascade_sql(s: str, t: str, sc: str, tc: str, sg: str, tg: str, dist: int = 5, cosine: int = 45) -> str:
+    total, edit = f"(length({s}) + length({t}))", _BAG(sc, tc)
+    close = f"(case when {total} < {2 * dist} then {edit} < {dist} * {total} / {2 * dist}::double else {edit} <= {dist} end)"
+    within = f"abs(length({s}) - length({t})) <= {dist}"
+    return f"case when {s} = {t} then 'identical' when {within} and {close} then 'edit' when not ({within} and {edit} >= {total}) and {_COS(sg, tg)} >= {cosine} then 'cosine' end"
+
+
+_CLUSTER = f"""with recursive {_M}, n as (select *, {_NORMED} as s, cast(floor(time * 1000 + 0.5) as bigint) as t from m),
+ l as (select *, case when t - lag(t) over (partition by source order by t, cid) <= 3000 then 0 else 1 end as new from n),
+ q as (select *, sum(new) over (partition by source order by t, cid rows unbounded preceding) as session from l),
+ r as (select cid, source, session, type, color, time, t, s, {_CHARS('s')} as ch, {_GRAMS('s')} as gr, row_number() over (partition by source, session order by t, cid) as rn from q),
+ walk as (select source, session, rn, cid, cid as leader, 'orig' as reason, [{{'t': t, 'cid': cid, 's': s, 'ch': ch, 'gr': gr}}] as ls from r where rn = 1
+  union all select source, session, rn, cid, case when hit is null then cid else hit.cid end, case when hit is null then 'orig' else hit.reason end,
+   case when hit is null then list_append(live, {{'t': t, 'cid': cid, 's': s, 'ch': ch, 'gr': gr}}) else live end
+  from (select source, session, rn, cid, t, s, ch, gr, live,
+    list_filter(list_transform(live, lambda o: {{'cid': o.cid, 'reason': {_cascade_sql('s', 'o.s', 'ch', 'o.ch', 'gr', 'o.gr')}}}), lambda h: h.reason is not null)[-1] as hit
+   from (select r.*, list_filter(w.ls, lambda o: r.t - o.t <= 3000) as live from walk w join r on r.source = w.source and r.session = w.session and r.rn = w.rn + 1)))"""
+
+
+def _assigned(spark, d):
+    return merging.fuzzy_assign(_mergeable(spark, d), ["source"], threshold=3, cascade=CAND)
+
+
+@query("fuzzy_assign", f"{_CLUSTER} select cid, leader, reason from walk")
+def _(spark, d):
+    return _assigned(spark, d).select("cid", "leader", "reason")
+
+
+_MERGED = f"""{_CLUSTER}, a as (select walk.leader, walk.reason, r.* from walk join r using (cid)),
+ g as (select *, row_number() over (partition by leader order by t, cid) - 1 as i, count(*) over (partition by leader) as n from a),
+ h as (select leader, max(n)::int as merge_count, max(case when i = least(floor(n * 0.2), n - 1) then time end) as time, max(case when i = least(floor(n * 0.2), n - 1) then color end) as color,
+  max(case when i = least(floor(n * 0.2), n - 1) then type end) as rep, bool_or(type = 4) as four, bool_or(type = 5) as five,
+  arg_max(reason, case reason when 'identical' then 4 when 'edit' then 3 when 'pinyin' then 2 when 'cosine' then 1 else 0 end) as merge_reason from g group by leader),
+ x as (select leader, s, count(*) as k from a group by leader, s), y as (select *, max(k) over (partition by leader) as top from x),
+ z as (select *, row_number() over (partition by leader order by length(s), s) as p, count(*) over (partition by leader) as e from y where k = top),
+ merged as (select h.leader, time, (case when four then 4 when five then 5 else rep end)::int as type, color, z.s || case when merge_count > 1 then '(' || merge_count || ')' else '' end as text, merge_count,
+  round(case when merge_count <= 5 then 1 else greatest(least(ln(merge_count) / ln(5), 2), 1) end, 6)::double as merge_scale, merge_reason from h join z on z.leader = h.leader and z.p = floor(e / 2.0) + 1)"""
+
+
+@query("fuzzy_merged", f"{_MERGED} select * from merged")
+def _(spark, d):
+    return merging.fuzzy_merge(_assigned(spark, d)).withColumn("merge_scale", F.round("merge_scale", 6)).drop("merge_mark")
+
+
+@query(
+    "fuzzy_stats",
+    f"""{_MERGED} select (select count(*) from walk) as total, count_if(true) as clusters, coalesce(sum(case when merge_count > 1 then merge_count end), 0)::bigint as merged, coalesce(max(case when merge_count > 1 then merge_count end), 0)::int as max_combo,
+ (select count(*) from walk where reason = 'identical') as identical, (select count(*) from walk where reason = 'edit') as edit, (select count(*) from walk where reason = 'pinyin') as pinyin, (select count(*) from walk where reason = 'cosine') as cosine, count_if(merge_scale > 1.001)::bigint as enlarged from merged""",
+)
+def _(spark, d):
+    a = _assigned(spark, d)
+    return merging.merge_stats(a, merging.fuzzy_merge(a))
+
+
+@query(
+    "weight_hist",
+    f"""{_MERGED}, ws as (select range::int as w from range(12)), wn as (select least(greatest(merge_count, 1), 11) as w, count(*) as k from merged group by 1), sh as (select w, coalesce(k, 0) / (select count(*) from merged)::double as share from ws left join wn using (w))
+ select w, round(share, 9) as share, round(case when w <= 10 then pow((share + lead(share) over (order by w)) / 2, 3) else share end, 9) as smoothed from sh""",
+)
+def _(spark, d):
+    hist = merging.weight_histogram(merging.fuzzy_merge(_assigned(spark, d)))
+    return hist.select("w", F.round("share", 9).alias("share"), F.round("smoothed", 9).alias("smoothed"))
+
+
+_PAIRS = f"""with {_M}, n as (select cid, time, {_NORMED} as s, {_CHARS(_NORMED)} as ch, {_GRAMS(_NORMED)} as gr from m),
+ p as (select a.cid as ca, b.cid as cb, a.s as s, b.s as z, a.ch as sc, b.ch as zc, a.gr as sg, b.gr as zg from n a join n b on (b.time, b.cid) > (a.time, a.cid) and b.time - a.time <= 2)"""
+
+
+def _near(spark, d):
+    rows = _mergeable(spark, d).select("cid", "time", text.normalize(F.col("text")).alias("s"))
+    return timeline.near_pairs(rows, 2).select(F.col("a_cid").alias("ca"), F.col("b_cid").alias("cb"), F.col("a_s").alias("s"), F.col("b_s").alias("z"))
+
+
+@query("similar_pairs", f"{_PAIRS} select ca, cb, reason from (select ca, cb, {_cascade_sql('s', 'z', 'sc', 'zc', 'sg', 'zg')} as reason from p) where reason is not null")
+def _(spark, d):
+    reason, _dist = CAND.columns(F.col("s"), F.col("z"))
+    return _near(spark, d).select("ca", "cb", reason.alias("reason")).where("reason is not null")
+
+
+@query("char_distance_pairs", f"{_PAIRS} select ca, cb, cast({_BAG('sc', 'zc')} as int) as dist from p")
+def _(spark, d):
+    return _near(spark, d).select("ca", "cb", similarity.char_distance(F.col("s"), F.col("z")).cast("int").alias("dist"))
+
+
+@query("bigram_cos2_pairs", f"{_PAIRS} select ca, cb, cast({_COS('sg', 'zg')} as bigint) as sim from p")
+def _(spark, d):
+    return _near(spark, d).select("ca", "cb", similarity.bigram_score(F.col("s"), F.col("z")).alias("sim"))
+
+
+_SOUNDS = {"在": ["#1", "#2"], "再": ["#1", "#2"], "是": ["#3"], "事": ["#3"], "你": ["#4", "#2"], "我": ["#5"]}
+_SAID = "select * from (values ('在吗', '再吗'), ('是A', '事a'), ('你', '我'), ('在', '你'), ('', '是')) as t(a, b)"
+
+
+@query("pinyin_distance", "select * from (values ('在吗', '再吗', 0), ('是A', '事a', 0), ('你', '我', 3), ('在', '你', 2), ('', '是', 1)) t(a, b, dist)")
+def _(spark, d):
+    return spark.sql(_SAID).select("a", "b", similarity.sound_distance(F.col("a"), F.col("b"), _SOUNDS).cast("int").alias("dist"))
+
+
+@query("density_onscreen", f"""with {_M}, v as (select cid, source, cast(floor(time * 1000 + 0.5) as bigint) as t, sqrt(length(text)) as v from m)
+ select cid, round(sum(v) over (partition by source order by t range between 5000 preceding and current row) - (sum(v) over (partition by source, t) - sum(v) over (partition by source, t order by cid rows unbounded preceding)), 6) as onscreen from v""")
+def _(spark, d):
+    rows = _mergeable(spark, d).withColumn("t_ms", F.floor(F.col("time") * 1000 + 0.5).cast("bigint"))
+    return merging.on_screen(rows, ["source"], merging.display_value(F.col("text"), F.lit(25.0))).select("cid", F.round("onscreen", 6).alias("onscreen"))
+
+
+@query("density_shrink", f"""with {_M}, v as (select cid, source, cast(floor(time * 1000 + 0.5) as bigint) as t, sqrt(length(text)) as v from m),
+ o as (select cid, sum(v) over (partition by source order by t range between 5000 preceding and current row) - (sum(v) over (partition by source, t) - sum(v) over (partition by source, t order by cid rows unbounded preceding)) as o from v)
+ select cid, round(case when o > 6 and pow(o, 0.35) / pow(6, 0.35) > 1 then 1 / least(pow(o, 0.35) / pow(6, 0.35), 1.732) else 1 end, 6)::double as scale from o""")
+def _(spark, d):
+    rows = _mergeable(spark, d).withColumns({"t_ms": F.floor(F.col("time") * 1000 + 0.5).cast("bigint"), "merge_scale": F.lit(1.0)})
+    return merging.density_shrink(rows, ["source"], 6).select("cid", F.round("merge_scale", 6).alias("scale"))
+
+
+@query("density_drop")
+def _(spark, d):
+    rows = _mergeable(spark, d).withColumns({"t_ms": F.floor(F.col("time") * 1000 + 0.5).cast("bigint"), "merge_scale": F.lit(1.0), "merge_count": F.lit(1)})
+    return merging.density_drop(rows, ["source"], 6).select("cid", "drop")
+
+
+_CAP = f"""with recursive {_M}, {_EVENTS}, k as (select e.*, c.source from e join c using (cid)),
+ x as (select *, case when start_time - lag(start_time) over (partition by source order by start_time, cid) <= 15 then 0 else 1 end as new from k),
+ q as (select *, sum(new) over (partition by source order by start_time, cid rows unbounded preceding) as s from x),
+ r as (select *, row_number() over (partition by source, s order by start_time, cid) as rn from q),
+ walk as (select source, s, rn, [{{'e': end_time, 'n': 0 - rn, 'cid': cid}}] as win, []::bigint[] as gone from r where rn = 1
+  union all select source, s, rn, case when len(live) < 2 then list_append(live, me) when top.e > me.e then list_append(list_filter(live, lambda o: o.cid <> top.cid), {{'e': me.e, 'n': top.n, 'cid': me.cid}}) else live end,
+   case when len(live) < 2 then gone when top.e > me.e then [top.cid] else [me.cid] end
+  from (select *, list_max(live) as top from (select r.source, r.s, r.rn, {{'e': r.end_time, 'n': 0 - r.rn, 'cid': r.cid}} as me, list_filter(w.win, lambda o: o.e > r.start_time) as live, []::bigint[] as gone
+   from walk w join r on r.source = w.source and r.s = w.s and r.rn = w.rn + 1))),
+ dropped as (select distinct unnest(gone) as cid from walk)
+ select cid, cid not in (select cid from dropped) as kept from e"""
+
+
+@query("screen_cap", _CAP)
+def _(spark, d):
+    return merging.screen_cap(_timed(spark, d).select("cid", "source", "type", "text", "start_time", "end_time"), ["source"], 2, 15).select("cid", "kept")
+
+
+@query("trigger_dedup", f"""with recursive {_M}, r as (select cid, text, time, row_number() over (partition by text order by time, cid) as rn from m),
+ walk as (select text, rn, cid, time as last, true as accepted from r where rn = 1
+  union all select r.text, r.rn, r.cid, case when r.time - w.last >= 5 then r.time else w.last end, r.time - w.last >= 5 from walk w join r on r.text = w.text and r.rn = w.rn + 1) select cid, accepted from walk""")
+def _(spark, d):
+    return merging.trigger_dedup(_mergeable(spark, d), "text").select("cid", "accepted")
+
+
+@query("lane_rolling")
+def _(spark, d):
+    rows = _timed(spark, d).where("type = 1").withColumn("size", F.lit(200))
+    return layout.lanes_rolling(layout.with_length(rows.select("cid", "source", "text", "start_time", "end_time", "size")), ["source"], 15).select("cid", "y")
+
+
+@query("lane_fixed")
+def _(spark, d):
+    rows = _timed(spark, d).where("type in (4, 5)").withColumn("size", F.lit(300))
+    return layout.lanes_fixed(rows.select("cid", "source", "type", "start_time", "end_time", "size"), ["source"]).select("cid", "y")
+
+
+# --- text ---------------------------------------------------------------------------------------------------------------------
+
+
+_RAW = "select * from (values (1, '完结撒花！！！'), (2, 'ＡＢＣ１２３'), (3, '你 好 吗'), (4, '！！！'), (5, '2333333'), (6, 'a  b　c'), (7, '6666'), (8, ''), (9, '你 a'), (10, 'x23333')) as t(id, s)"
+
+
+@query("normalize_text", "select * from (values (1, '完结撒花'), (2, 'ABC123'), (3, '你好吗'), (4, '！！！'), (5, '23333'), (6, 'a b c'), (7, '66666'), (8, ''), (9, '你 a'), (10, 'x23333')) t(id, norm)")
+def _(spark, d):
+    return spark.sql(_RAW).select("id", text.normalize(F.col("s")).alias("norm"))
+
+
+@query("doc_normalized", rf"select doc_id, md5({_NORM.replace('text', 'l')}) as digest from (select doc_id, unnest(string_split(text, chr(10))) as l from documents)")
+def _(spark, d):
+    lines = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
+    return lines.select("doc_id", F.md5(F.encode(text.trim_ending(F.col("l")), "UTF-8")).alias("digest"))
+
+
+@query("doc_exact_dups", f"select md5({_NORM}) as digest, count(*) as n from documents where text is not null group by 1 having count(*) > 1")
+def _(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    return docs.groupBy(F.md5(F.encode(text.trim_ending(F.col("text")), "UTF-8")).alias("digest")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+_WIDE = "(2 * length({0}) - length(regexp_replace({0}, '[^\\x00-\\x7F]', '', 'g')))"
+
+
+@query("display_width", f"select doc_id, {_WIDE.format('text')}::double as width from documents where text is not null")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", text.display_width(F.col("text")).alias("width"))
+
+
+@query("entity_unescape", "select page_id, md5(replace(replace(replace(replace(replace(html, '&quot;', '\"'), '&apos;', ''''), '&gt;', '>'), '&lt;', '<'), '&amp;', '&')) as digest from pages where html is not null")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").where("html is not null").select("page_id", F.md5(F.encode(text.unescape_xml(F.col("html")), "UTF-8")).alias("digest"))
+
+
+@query("entity_numeric", "select * from (values (1, 'A&B'), (2, '😀x'), (3, 'a'), (4, '你é'), (5, '')) t(id, out_text)")
+def _(spark, d):
+    return spark.sql("select * from (values (1, '&#65;&#x26;B'), (2, '&#x1F600;x'), (3, 'a'), (4, '&#20320;&#xe9;'), (5, '')) as t(id, s)").select("id", text.unescape_numeric(F.col("s")).alias("out_text"))
+
+
+@query("ass_escape", r"select * from (values (1, 'a\\b'), (2, '\{x\}'), (3, 'l1\Nl2')) t(id, out_text)")
+def _(spark, d):
+    return spark.createDataFrame([(1, "a\\b"), (2, "{x}"), (3, "l1\nl2")], "id int, s string").select("id", text.ass_escape(F.col("s")).alias("out_text"))
+
+
+@query("script_convert", "select * from (values ('这里', '這裡'), ('abc', 'abc')) t(src, dst)")
+def _(spark, d):
+    return spark.sql("select * from (values ('这里'), ('abc')) as t(src)").select("src", text.convert_script(F.col("src"), {"这": "這", "里": "裡"}).alias("dst"))
+
+
+_NUMBERS = [(0, "零"), (5, "五"), (10, "十"), (12, "十二"), (20, "二十"), (101, "一百零一"), (110, "一百一十"), (2024, "二千零二十四"), (30000, "三万")]
+
+
+@query("cn_number", "select n, cn, n as back from (values " + ", ".join(f"({a}::bigint, '{b}')" for a, b in _NUMBERS) + ") t(n, cn)")
+def _(spark, d):
+    rows = spark.createDataFrame([(a,) for a, _ in _NUMBERS], "n long").withColumn("cn", names.number_to_chinese(F.col("n")))
+    return rows.withColumn("back", names.chinese_to_number(F.col("cn")).cast("bigint"))
+
+
+@query("color_codes", f"with c as ({DUCK}) select cid, '&H' || substr(lpad(upper(to_hex(color)), 6, '0'), 5, 2) || substr(lpad(upper(to_hex(color)), 6, '0'), 3, 2) || substr(lpad(upper(to_hex(color)), 6, '0'), 1, 2) || '&' as bgr, round({_DIST.replace('a >>', 'color >>').replace('(a &', '(color &').replace('b', '16777215').replace('su16777215', 'sub')}, 6) as dist from c")
+def _(spark, d):
+    return comments(spark, d).select("cid", text.bgr_tag(F.col("color")).alias("bgr"), F.round(text.colour_distance(F.col("color"), F.lit(16777215)), 6).alias("dist"))
+
+
+@query("color_hex", "select * from (values ('#ff8000', 16744448), ('#FFF', 16777215), ('#00000G', 16777215), ('#000000', 0)) t(s, color)")
+def _(spark, d):
+    return spark.sql("select * from (values ('#ff8000'), ('#FFF'), ('#00000G'), ('#000000')) as t(s)").select("s", text.hex_colour(F.col("s")).alias("color"))
+
+
+@query("time_format", f"with c as ({DUCK}) select cid, format('{{:d}}:{{:02d}}:{{:02d}}.{{:02d}}', (floor(time)::bigint // 3600), (floor(time)::bigint % 3600 // 60), floor(time)::bigint % 60, floor((time - floor(time)) * 100)::bigint) as hms, floor(time)::double as secs from c")
+def _(spark, d):
+    hms = text.clock(F.col("time"))
+    return comments(spark, d).select("cid", hms.alias("hms"), F.floor(text.clock_seconds(hms)).cast("double").alias("secs"))
+
+
+@query("delay_input", "select * from (values ('1m30s', 90.0::double), ('-1m30s', -90.0), (' 2.5 ', 2.5), ('-4', -4.0), ('x', null)) t(s, secs)")
+def _(spark, d):
+    return spark.sql("select * from (values ('1m30s'), ('-1m30s'), (' 2.5 '), ('-4'), ('x')) as t(s)").select("s", text.delay_seconds(F.col("s")).alias("secs"))
+
+
+@query("url_fields", r"select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, regexp_replace(url, '\?.*$', '') as bare, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)$', 1) as last_segment from pages where url is not null")
+def _(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").where("url is not null")
+    bare = F.regexp_replace("url", r"[?#].*$", "")
+    return pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), text.without_query(F.col("url")).alias("bare"), F.regexp_extract(bare, r"([^/]+)$", 1).alias("last_segment"))
+
+
+@query("enlarge_scale", "select n, round(case when n <= 5 then 1 else greatest(least(ln(n) / ln(5), 2), 1) end, 6)::double as scale from (select range + 1 as n from range(40))")
+def _(spark, d):
+    return spark.range(1, 41).select(F.col("id").alias("n"), F.round(text.enlarge(F.col("id")), 6).alias("scale"))
+
+
+@query("font_size", "select n, least(100, 50 + floor(8 * ln(n) + 0.5))::bigint as size from (select range + 1 as n from range(2000))")
+def _(spark, d):
+    return spark.range(1, 2001).select(F.col("id").alias("n"), text.merged_font_size(50, F.col("id")).cast("bigint").alias("size"))
+
+
+_MARKED = [("恭喜(12)", 12, "(12)"), ("(9)哈哈", 9, "(9)"), ("kksk[x7]", 7, "[x7]"), ("[x7]kksk", 7, "[x7]"), ("恭喜₍₁₂₎", 12, "₍₁₂₎"), ("₍₁₂₎哈哈", 12, "₍₁₂₎"), ("恭喜(笑)", None, None), ("恭喜", None, None), ("恭喜(1)", 1, "(1)")]
+
+
+@query("count_mark", "select * from (values " + ", ".join(f"('{a}', {'null' if b is None else b}::bigint, {'null' if c is None else repr(c)})" for a, b, c in _MARKED) + ") t(s, n, mark)")
+def _(spark, d):
+    n, tag = text.parse_mark(F.col("s"))
+    return spark.createDataFrame([(a,) for a, _, _ in _MARKED], "s string").select("s", n.alias("n"), tag.alias("mark"))
+
+
+@query("restore_merged", "select * from (values ('恭喜(30)', 30::bigint, 2.0::double), ('恭喜(1)', null, null), ('plain', null, null)) t(s, merge_count, merge_scale)")
+def _(spark, d):
+    n, _tag = text.parse_mark(F.col("s"))
+    rows = spark.sql("select * from (values ('恭喜(30)'), ('恭喜(1)'), ('plain')) as t(s)").withColumn("merge_count", F.when(n > 1, n))
+    return rows.withColumn("merge_scale", F.when(F.col("merge_count").isNotNull(), text.enlarge(F.col("merge_count"))))
+
+
+@query("hashes", "select doc_id, md5(text) as md5, sha256(text) as sha256, to_base64(encode(substr(text, 1, 12))) as b64 from documents where text is not null")
+def _(spark, d):
+    t = F.encode("text", "UTF-8")
+    return spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.md5(t).alias("md5"), F.sha2(t, 256).alias("sha256"), F.base64(F.encode(F.substring("text", 1, 12), "UTF-8")).alias("b64"))
+
+
+@query("versions", "select * from (values ('1.2.0', '1.10.0', false), ('2.0', '1.9.9', true), ('1.2', '1.2', false)) t(a, b, newer)")
+def _(spark, d):
+    return spark.sql("select * from (values ('1.2.0', '1.10.0'), ('2.0', '1.9.9'), ('1.2', '1.2')) as t(a, b)").select("a", "b", text.version_greater(F.col("a"), F.col("b")).alias("newer"))
+
+
+# --- titles and tables --------------------------------------------------------------------------------------------------------------
+
+
+_FILES = [
+    ("[Group] Show Name S01E05 [1080p]", "Show Name", 1, 5), ("Show.Name.2019.S02E03.1080p", "Show Name (2019)", 2, 3), ("动画 第2季 第3话", "动画", 2, 3), ("动画 第二季 第12话", "动画", 2, 12),
+    ("Some Movie - 07 [x]", "Some Movie", None, 7), ("[Sub] Title [04][1080p]", "Title", None, 4), ("nothing here", None, None, None), ("Show Name S1E2v2", "Show Name", 1, 2),
+]
+
+
+def _sql(x) -> str:
+    return "null" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+@query("title_parse", "select * from (values " + ", ".join(f"({_sql(a)}, {_sql(b)}, {_sql(c)}::int, {_sql(e)}::int)" for a, b, c, e in _FILES) + ") t(name, title, season, episode)")
+def _(spark, d):
+    rows = spark.createDataFrame([(a,) for a, *_ in _FILES], "name string").withColumn("f", names.format_file_name(F.col("name")))
+    title, season, episode = names.title_season_episode(F.col("f"))
+    return rows.select("name", title.alias("title"), season.alias("season"), episode.alias("episode"))
+
+
+@query("series_episode", "select * from (values ('A 01 x', 'A 02 x', 2::bigint), ('A 01', 'B 01', null), ('S1 E03', 'S1 E10', 10)) t(a, b, n)")
+def _(spark, d):
+    return spark.sql("select * from (values ('A 01 x', 'A 02 x'), ('A 01', 'B 01'), ('S1 E03', 'S1 E10')) as t(a, b)").select("a", "b", names.differing_episode(F.col("a"), F.col("b")).alias("n"))
+
+
+_TITLES = "select * from (values ('martha', 'marhta'), ('abc', 'abd'), ('dixon', 'dicksonx'), ('a', 'b'), ('same', 'same')) as t(a, b)"
+
+
+@query("title_score_standard", f"select a, b, round(jaro_winkler_similarity(a, b), 6) as score from ({_TITLES})")
+def _(spark, d):
+    return spark.sql(_TITLES).select("a", "b", F.round(names.jaro_winkler_udf(phantom=False)("a", "b"), 6).alias("score"))
+
+
+@query("title_score_phantom")
+def _(spark, d):
+    return spark.sql(_TITLES).select("a", "b", F.round(names.jaro_winkler_udf()("a", "b"), 6).alias("score"))
+
+
+_CANDIDATES = "select * from (values (1, 'Show', '动漫 | 2022'), (2, 'Show 剧场版', '电影'), (3, 'Other', ''), (4, 'Show 特番 countdown', ''), (5, 'Showw', '番剧')) as t(pos, title, hint)"
+
+
+@query("topk_candidates")
+def _(spark, d):
+    scored = spark.sql(_CANDIDATES).withColumn("score", F.round(names.title_score(F.lit("Show"), F.col("title"), F.col("hint")), 6))
+    return tables.top_k(scored, "score", 3, ["pos"]).select("rnk", "title", "score")
+
+
+@query("catalogue_dedup", "select * from (values ('7', 'b', 'Show A'), ('ShowB', 'b', 'ShowB')) t(key, server, title)")
+def _(spark, d):
+    rows = spark.sql("select * from (values (1, 'a', '7', 'Show  A'), (1, 'b', '7', 'Show A'), (2, 'a', '', 'Show B'), (3, 'b', null, 'ShowB')) as t(pos, server, id, title)")
+    keyed = tables.by_server(rows.withColumn("key", tables.entry_key(F.col("id"), F.col("title"))), ["b", "a"])
+    return tables.first_of(keyed, ["key"], ["server_rank", "pos"]).select("key", "server", "title")
+
+
+@query("mru_history", "select cast(user_id as varchar) as keyword, max(epoch_us(ts)) as last from events group by 1 order by 2 desc, 1 limit 15")
+def _(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("keyword"), F.expr("unix_micros(cast(ts as timestamp))").alias("last"))
+    return tables.recent(events, 15, time="last")
+
+
+@query("history_upsert", "select * from (values ('a', 'x2'), ('d', 'new')) t(key, value)")
+def _(spark, d):
+    base = spark.sql("select * from (values ('a', 'x'), ('b', 'y'), ('c', 'z')) as t(key, value)")
+    changes = spark.sql("select * from (values ('a', 'x1', 1), ('a', 'x2', 2), ('d', 'new', 1)) as t(key, value, version)")
+    return tables.upsert(base, changes, "key", spark.sql("select * from (values ('b'), ('c')) as t(key)"))
+
+
+@query("stage_split", f"with c as ({DUCK}) select cid, case when source = 's2' then 'settled' else 'pending' end as bucket from c")
+def _(spark, d):
+    return tables.split_stage(comments(spark, d), spark.sql(_SOURCES)).select("cid", "bucket")
+
+
+@query("hint_episode", "select * from (values ('12', 12.0::double), ('第12话', 12.0), ('EP12', 12.0), ('12.5', 12.5), ('总集篇', null), ('动漫 | 2022 | 来源：b 站', null), ('2022', null)) t(hint, n)")
+def _(spark, d):
+    return spark.sql("select * from (values ('12'), ('第12话'), ('EP12'), ('12.5'), ('总集篇'), ('动漫 | 2022 | 来源：b 站'), ('2022')) as t(hint)").select("hint", tables.hint_number(F.col("hint")).alias("n"))
+
+
+@query("episode_pick", "select 'Episode 2' as title, 'episode' as kind, true as is_episode_list")
+def _(spark, d):
+    items = spark.createDataFrame([("l", i, f"Episode {i}", str(i), ["script-message", "load-danmaku", str(i)], True) for i in range(1, 5)] + [("l", 0, "back", "", ["open-latest-menu-anime"], True)], "list string, pos int, title string, hint string, value array<string>, selectable boolean")
+    picked = tables.match_episode(items, 2).select("list", "title", tables.command_kind(F.col("value")).alias("kind"))
+    return picked.join(tables.episode_lists(items, "list"), "list").select("title", "kind", "is_episode_list")
+
+
+@query("systematic_sample", f"with c as ({DUCK}), n as (select cid, row_number() over (order by cid) - 1 as pos from c), s as (select greatest(1, ceil(count(*) * 7 / 10000.0)) as step from n) select cid from n, s where pos % step = 0")
+def _(spark, d):
+    rows = comments(spark, d).select("cid")
+    least = rows.agg(F.min("cid")).first()[0]
+    # the derived ids are consecutive, so a position needs no global sort
+    return tables.systematic(rows.withColumn("pos", F.col("cid") - least), 7).select("cid")
+
+
+@query("segment_plan", "select vid, unnest(range(0, greatest(1, floor(secs * 1000)::bigint), 60000)) as seg_start from (values ('a', 150.5), ('b', 0.0), ('c', 3725.0), ('d', 65.0)) t(vid, secs)")
+def _(spark, d):
+    rows = spark.sql("select * from (values ('a', '150.5'), ('b', 'x'), ('c', '1:02:05'), ('d', '1:05')) as t(vid, s)")
+    return rows.select("vid", F.explode(tables.segment_starts(text.length_seconds(F.col("s")))).alias("seg_start"))
+
+
+# --- payloads -----------------------------------------------------------------------------------------------------------------------
+
+
+def _packed(spark, d, shape: str) -> DataFrame:
+    """The comments of each source as one payload."""
+    rows = comments(spark, d)
+    t = text.plain_number(F.col("time"))
+    if shape == "c":
+        made = F.struct(F.concat_ws(",", t, F.col("color").cast("string"), F.col("type").cast("string"), F.lit("25"), F.lit("")).alias("c"), F.col("text").alias("m"))
+        return rows.groupBy("source").agg(F.concat(F.lit("﻿"), F.to_json(F.collect_list(made))).alias("payload"))
+    made = F.struct(F.concat_ws(",", t, F.col("type").cast("string"), F.col("color").cast("string")).alias("p"), F.col("text").alias("m"), F.lit(1.5).alias("shift"))
+    return rows.groupBy("source").agg(F.to_json(F.struct(F.collect_list(made).alias("comments"))).alias("payload"))
+
+
+@query("parse_json_c", f"with c as ({DUCK}) select source, time, type, 25 as size, color, text from c")
+def _(spark, d):
+    return payloads.c_comments(_packed(spark, d, "c"), keep=("source",)).drop("pos")
+
+
+@query("parse_api_p", f"with c as ({DUCK}) select source, round(time + 1.5, 6) as time, type, 25 as size, color, text from c")
+def _(spark, d):
+    return payloads.p_comments(_packed(spark, d, "p"), keep=("source",)).drop("pos").withColumn("time", F.round("time", 6))
+
+
+@query("parse_xml", f"with c as ({DUCK}) select source, time, type, 25 as size, color, text from c")
+def _(spark, d):
+    rows = comments(spark, d)
+    line = export.xml_line(F.col("time"), F.col("type"), F.lit(25), F.col("color"), F.col("text"))
+    whole = rows.groupBy("source").agg(F.concat(F.lit(export.HEADER), F.array_join(F.collect_list(line), "\n"), F.lit("</i>")).alias("payload"))
+    return payloads.xml_comments(whole, keep=("source",)).drop("pos")
+
+
+@query("parse_array_form", "select * from (values (0, 1.25::double, 1, 16711680, 'a'), (1, 2.0, 4, 16777215, 'b'), (2, 3.5, 5, 255, 'c')) t(pos, time, type, color, text)")
+def _(spark, d):
+    p = spark.createDataFrame([('{"danum":3,"danmuku":[[1.251,"right","#FF0000","","a"],[2,"top","white","","b"],["3.5","bottom","#0000ff","c"]]}',)], "payload string")
+    return payloads.array_comments(p).drop("size")
+
+
+_SITES = [
+    ("position", '[{"time":15,"color":"#00FF00","position":0,"text":"p0"},{"time":20,"color":"x","position":1,"text":"p1"},{"time":30,"color":"#0000FF","position":2,"text":"p2"}]'),
+    ("tagged", "<d><content>t0</content><showTime>7</showTime><color>ff0000</color></d><d><content>t1</content><showTime>9</showTime><color>zz</color></d>"),
+    ("items", '{"data":{"items":[{"time":1500,"content":"m0"},{"time":2000}]}}'),
+    ("barrage", '{"barrage_list":[{"time_offset":"2500","content":"b0","content_style":{"color":"#010203"}},{"time_offset":"x","content":"b1"}]}'),
+    ("nested", '{"data":{"result":"{\\"data\\":{\\"result\\":[{\\"playat\\":4000,\\"content\\":\\"y0\\",\\"propertis\\":\\"{\\\\\\"color\\\\\\":255}\\"}]}}"}}'),
+]
+
+
+@query(
+    "site_payloads",
+    "select * from (values ('position', 1.5::double, 1, 65280, 'p0'), ('position', 2.0, 4, 16777215, 'p1'), ('position', 3.0, 5, 255, 'p2'), ('tagged', 7.0, 1, 16711680, 't0'), ('tagged', 9.0, 1, 16777215, 't1'), "
+    "('items', 1.5, 1, 16777215, 'm0'), ('items', 2.0, 1, 16777215, ''), ('barrage', 2.5, 1, 66051, 'b0'), ('barrage', 0.0, 1, 16777215, 'b1'), ('nested', 4.0, 1, 255, 'y0')) t(site, time, type, color, text)",
+)
+def _(spark, d):
+    out = None
+    for site, payload in _SITES:
+        rows = payloads.READERS[site](spark.createDataFrame([(payload,)], "payload string")).select(F.lit(site).alias("site"), "time", "type", "color", "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("rule_files", "select * from (values ('xml', 'a'), ('json', 'b'), ('txt', 'c d'), ('txt', 'e')) t(kind, pattern)")
+def _(spark, d):
+    files = {"xml": '<item enabled="true">t=a</item>\n<item enabled="false">t=z</item>', "json": '[{"type":0,"filter":"b","opened":true,"id":1},{"type":1,"filter":"z","opened":true,"id":2}]', "txt": "  c d \n\n e\r\n"}
+    out = None
+    for kind, body in files.items():
+        rows = payloads.rules(spark.createDataFrame([(body,)], "payload string"), kind).select(F.lit(kind).alias("kind"), "pattern")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("mixed_list", "select * from (values (0, 'u0'), (1, 'u1'), (2, null)) t(pos, url)")
+def _(spark, d):
+    return payloads.mixed_list(spark.createDataFrame([('["u0",{"url":"u1"},""]',)], "payload string"))
+
+
+@query("history_sources", "select * from (values ('p1', 'u1', 'api', true, null::double), ('p1', 'u2', 'local', false, null), ('p2', 'u3', 'user', true, 2.5)) t(path, url, origin, blocked, delay)")
+def _(spark, d):
+    doc = '{"p1":{"sources":{"u1":{"from":"api","blocked":true},"u2":{"from":"local"}}},"p2":{"sources":["-u3<user>{{2.5}}"]}}'
+    return payloads.history_sources(spark.createDataFrame([(doc,)], "payload string"))
+
+
+_LINE = "'<d p=\"' || (case when time = floor(time) then cast(cast(time as bigint) as varchar) else cast(time as varchar) end) || ',' || type || ',25,' || color || '\">' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') || '</d>'"
+
+
+@query("export_raw", f"with c as ({DUCK}) select cid, {_LINE} as line from c")
+def _(spark, d):
+    return export.xml_lines(comments(spark, d), by_time=False)
+
+
+@query("export_filtered", f"with c as ({DUCK}) select row_number() over (order by time, cid) as ord, {_LINE} as line from c where {_HIT} is null and type = 4")
+def _(spark, d):
+    rows = timeline.drop_ruled(comments(spark, d).where("type = 4"), RULES)
+    numbered = timeline.ordered(rows.withColumn("source", F.lit("all")), ["source"])
+    return numbered.select(F.col("ord").cast("bigint").alias("ord"), export.xml_line(F.col("time"), F.col("type"), F.lit(25), F.col("color"), F.col("text")).alias("line"))
+
+
+@query("stage_tags", "select * from (values (1, 'merged'), (2, 'filtered'), (3, null), (4, null), (5, 'merged')) t(id, stage)")
+def _(spark, d):
+    p = payloads.STAGE_PREFIX
+    rows = [(1, f"{export.HEADER}\n<!-- {p}merged -->"), (2, f"<!--{p}filtered-->"), (3, "<i><d p='1'>merged</d>"), (4, f"<!-- {p}other -->"), (5, f"<!-- {p}MERGED -->")]
+    return spark.createDataFrame(rows, "id int, content string").select("id", payloads.stage_tag(F.col("content")).alias("stage"))
+
+
+# --- built-in operators, offered for completeness ------------------------------------------------------------------------------------
+
+
+@query("builtin_rollup", "select l_returnflag, l_linestatus, sum(l_quantity)::double as qty, count(*) as n from lineitem group by rollup (l_returnflag, l_linestatus)")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet").rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("double").alias("qty"), F.count("*").alias("n"))
+
+
+@query("builtin_set_ops", "select c_nationkey as k from customer intersect select s_nationkey from supplier")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("k")).intersect(spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("k")))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query("builtin_join_agg", "select n_name, count(*) as orders from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name")
+def _(spark, d):
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("orders"))
