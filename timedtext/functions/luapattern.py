@@ -26,12 +26,12 @@ def _class(letter: str, inside: bool) -> str:
         return _literal(letter)
     if letter.islower():
         return members if inside else f"[{members}]"
-    return f"^{members}" if inside == "alone" else f"[^{members}]"
+    return f"[^{members}]"
 
 
-def _set(pattern: str, at: int) -> tuple[str, int]:
-    """The character set that opens at ``at``; gives it and the position after it."""
-    k, out = at + 1, []
+def _set(pattern: str, at: int) -> tuple[str, int, bool]:
+    """The character set that opens at ``at``; gives it, the position after it, and whether NUL is in it."""
+    k, out, nul = at + 1, [], False
     negated = pattern[k : k + 1] == "^"
     if negated:
         k += 1
@@ -46,7 +46,9 @@ def _set(pattern: str, at: int) -> tuple[str, int]:
         if ch == "%":
             if k + 1 >= len(pattern):
                 raise BadPattern("ends with %")
-            out.append(_class(pattern[k + 1], True))
+            letter = pattern[k + 1]
+            out.append(_class(letter, True))
+            nul |= letter == "c" or (letter.isupper() and letter != "C" and letter.lower() in CLASSES)
             k += 2
         elif pattern[k + 1 : k + 2] == "-" and pattern[k + 2 : k + 3] not in ("", "]"):
             out.append(f"{_literal(ch)}-{_literal(pattern[k + 2])}")
@@ -54,7 +56,7 @@ def _set(pattern: str, at: int) -> tuple[str, int]:
         else:
             out.append(_literal(ch))
             k += 1
-    return f"[{'^' if negated else ''}{''.join(out)}]", k + 1
+    return f"[{'^' if negated else ''}{''.join(out)}]", k + 1, nul != negated
 
 
 def to_java(pattern: str) -> str:
@@ -92,10 +94,10 @@ def to_java(pattern: str) -> str:
             if letter == "f":
                 if pattern[k + 2 : k + 3] != "[":
                     raise BadPattern("missing [ after %f")
-                body, k = _set(pattern, k + 2)
-                negated = body.startswith("[^")
-                # the ends of the text count as a character outside every ordinary set
-                out.append(f"(?<!{body})(?:(?={body}){'|(?!(?s:.))' if negated else ''})")
+                body, k, nul = _set(pattern, k + 2)
+                # beyond either end of the text stands a NUL
+                before = f"(?<!{body})" + ("(?<=(?s:.))" if nul else "")
+                out.append(before + (f"(?:(?={body})|(?!(?s:.)))" if nul else f"(?={body})"))
                 continue
             if letter.isdigit():
                 out.append(f"\\{letter}")
@@ -103,7 +105,7 @@ def to_java(pattern: str) -> str:
                 continue
             item, k = _class(letter, False), k + 2
         elif ch == "[":
-            item, k = _set(pattern, k)
+            item, k, _ = _set(pattern, k)
         elif ch == ".":
             item, k = "(?s:.)", k + 1
         else:
