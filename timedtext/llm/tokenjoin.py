@@ -18,8 +18,9 @@ How links are found, all of them:
    singles nor all combinations. The number of sub-classes follows the size of the set; as linked sets differ in size by
    at most a quarter, a document indexes its own size band and the next.
 4. Candidates are verified on the shared shingles, which hold every common one. First each document against one
-   document of its fullest signature lists; components of the links found leave few lists with several components; their
-   pairs across components are verified, smaller components against the list, never pairs within one.
+   document of its fullest signature lists; components of the links found leave few lists with several components. There
+   only documents of different components are compared: beside a large component in blocks, the others in pairs that
+   can still share enough from the shingle where they meet. Pairs within a component are never formed.
 
 Defined results: a null text or one without words has size 0 and links with nothing. Repeated rows have equal results.
 A component's id is its smallest id. An empty table gives an empty result. Extra columns are ignored. Shingles are compared by
@@ -37,13 +38,15 @@ from timedtext.llm.common import SPACES, fixed_uint64, materialize, mixed, relea
 
 WORDS = 5
 #: Shingles a task gathers before it hands them on, and documents.
-BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 60_000
+BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 60_000
 #: A hot shingle is in more than 1/HOT of the documents.
 HOT = 2_000
 #: Document frequency above which a shingle is of the frequent class.
 FREQUENT = 64
+#: Documents of one component in a list from which its members are compared in blocks, and documents on a block's side.
+BIG, BLOCK_SIDE = 16, 512
 #: Shingles in a range of hashes, about.
-RANGE = 2_500_000
+RANGE = 1_500_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -282,48 +285,53 @@ def band(n: int, percent: int) -> int:
     return int(np.floor(np.log(max(n, 1)) / np.log(100 / percent) + 1e-9))
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, size: int, percent: int, frequent: int) -> np.ndarray:
-    """The signatures of one set. tokens: its shared shingles; the other size - len(tokens) come first in the order and
-    are in no other set."""
+def signatures(tokens: np.ndarray, counts: np.ndarray, size: int, percent: int, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set, and for each the most shingles a set that first meets it there can share.
+
+    tokens: its shared shingles; the other size - len(tokens) come first in the order and are in no other set.
+    """
     spare = size - -(-size * percent // 100)  # shingles that may be missing from a linked set
     own = size - len(tokens)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if own > spare:
-        return np.zeros(0, np.uint64)
+        return none
     if size == 1:
-        return mixed(tokens ^ np.uint64(0xA5A5))
+        return mixed(tokens ^ np.uint64(0xA5A5)), np.ones(1, np.int64)
     order = np.lexsort((tokens, counts))
     t, c = tokens[order], counts[order]
-    often = c > frequent
     need = spare + 1 - own
-    rare = int((~often).sum())
-    out = []
-    if rare >= need:
-        return mixed(t[:need] ^ np.uint64(0xA5A5))
-    out.append(mixed(t[:rare] ^ np.uint64(0xA5A5)))
-    f = t[rare:]
-    b = band(size, percent)
-    for at in (b, b + 1):
-        groups = max(1, int((100 / percent) ** at) // 8)
-        cls = (mixed(f) % np.uint64(groups)).astype(np.int64)
-        # the first of each sub-class adds nothing to the sum, every other one adds one
-        first = np.zeros(len(f), bool)
-        first[np.unique(cls, return_index=True)[1]] = True
-        gained = np.cumsum(~first)
-        end = int(np.searchsorted(gained, need - rare)) + 1
-        if end > len(f):
-            end = len(f)
-        g, x = cls[:end], f[:end]
-        by = np.argsort(g, kind="stable")
-        g, x = g[by], x[by]
-        for lo, hi in _runs(g):
-            i, j = np.triu_indices(hi - lo, 1)
-            a, z = x[lo:hi][i], x[lo:hi][j]
-            out.append(mixed(mixed(np.minimum(a, z)) * _CHAIN + np.maximum(a, z) + np.uint64(at)))
-    return np.unique(np.concatenate(out))
+    rare = int((c <= frequent).sum())
+    single = min(rare, need)
+    # a single's place bounds what follows it; nothing bounds where in its sub-class a combination begins
+    sigs, room = [mixed(t[:single] ^ np.uint64(0xA5A5))], [len(tokens) - np.arange(single)]
+    if rare < need:
+        f = t[rare:]
+        b = band(size, percent)
+        for at in (b, b + 1):
+            groups = max(1, int((100 / percent) ** at) // 8)
+            cls = (mixed(f) % np.uint64(groups)).astype(np.int64)
+            # the first of each sub-class adds nothing to the sum, every other one adds one
+            first = np.zeros(len(f), bool)
+            first[np.unique(cls, return_index=True)[1]] = True
+            end = min(int(np.searchsorted(np.cumsum(~first), need - rare)) + 1, len(f))
+            g, x = cls[:end], f[:end]
+            by = np.argsort(g, kind="stable")
+            g, x = g[by], x[by]
+            for lo, hi in _runs(g):
+                i, j = np.triu_indices(hi - lo, 1)
+                y, z = x[lo:hi][i], x[lo:hi][j]
+                sigs.append(mixed(mixed(np.minimum(y, z)) * _CHAIN + np.maximum(y, z) + np.uint64(at)))
+                room.append(np.full(len(y), len(tokens)))
+    found, first = np.unique(np.concatenate(sigs), return_index=True)
+    return found, np.concatenate(room)[first]
+
+
+INDEX = "kind int, key long, size long, tokens binary, sig long, room long, own int"
 
 
 def index(packed: DataFrame, parts: int, percent: int, frequent: int = FREQUENT) -> DataFrame:
-    """Of documents that can link: kind 0, key, size and shared shingles; kind 1, signature and key."""
+    """Of documents that can link: kind 0, key, size and shared shingles; kind 1, signature, key, size, room, and the
+    part of the set (in thousandths) that no other set holds."""
 
     def run(batches):
         t, c, k, s = _unpack(_all(batches))
@@ -336,24 +344,26 @@ def index(packed: DataFrame, parts: int, percent: int, frequent: int = FREQUENT)
         live, sigs, held = [], [], 0
         for a, b in _runs(k):
             size = int(s[a])
-            found = signatures(t[a:b], c[a:b], size, percent, frequent)
+            found, room = signatures(t[a:b], c[a:b], size, percent, frequent)
             if len(found):
                 live.append((int(k[a]), size, t[a:b].astype("<u8").tobytes()))
-                sigs.append((found.view(np.int64), int(k[a])))
+                sigs.append((found.view(np.int64), room, int(k[a]), size, (size - (b - a)) * 1000 // size))
                 held += len(found)
             if held > 300_000:
                 yield from _indexed(live, sigs)
                 live, sigs, held = [], [], 0
         yield from _indexed(live, sigs)
 
-    return packed.repartitionById(parts, F.col("part")).mapInPandas(run, "kind int, key long, size long, tokens binary, sig long")
+    return packed.repartitionById(parts, F.col("part")).mapInPandas(run, INDEX)
 
 
 def _indexed(live, sigs):
     if live:
-        yield pd.DataFrame({"kind": 0, "key": [x[0] for x in live], "size": [x[1] for x in live], "tokens": [x[2] for x in live], "sig": 0})
-        n = sum(len(x) for x, _ in sigs)
-        yield pd.DataFrame({"kind": 1, "key": np.concatenate([np.full(len(x), k) for x, k in sigs]), "size": 0, "tokens": [None] * n, "sig": np.concatenate([x for x, _ in sigs])})
+        yield pd.DataFrame({"kind": 0, "key": [x[0] for x in live], "size": [x[1] for x in live], "tokens": [x[2] for x in live], "sig": 0, "room": 0, "own": 0})
+        n = [len(x[0]) for x in sigs]
+        each = lambda i: np.repeat([x[i] for x in sigs], n)
+        flat = lambda i: np.concatenate([x[i] for x in sigs])
+        yield pd.DataFrame({"kind": 1, "key": each(2), "size": each(3), "tokens": [None] * sum(n), "sig": flat(0), "room": flat(1), "own": each(4)})
 
 
 def verify(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
@@ -377,25 +387,76 @@ def verify(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n", "m", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def verify_blocks(members: DataFrame, loose: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the documents ``loose`` (key, main) with each other and with the members (key, main) of the
+    component they have met. Both sides are cut into blocks, every pair of blocks is one task's work, and no pair becomes
+    a row."""
+    members = members.unionByName(loose)
+    count = lambda df: df.groupBy("main").agg(F.ceil(F.count("*") / BLOCK_SIDE).cast("int").alias("n"))
+    cuts = count(members).withColumnRenamed("n", "nm").join(count(loose).withColumnRenamed("n", "nl"), "main")
+    block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = members.join(cuts, "main").select("main", "key", F.lit(True).alias("member"), block("nm").alias("i"), every("nl").alias("j"))
+    two = loose.join(cuts, "main").select("main", "key", F.lit(False).alias("member"), every("nm").alias("i"), block("nl").alias("j"))
+    rows = one.unionByName(two).join(live, "key")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        inside = pdf[pdf["member"]]
+        sets = [np.frombuffer(x, "<u8") for x in inside["tokens"]]
+        sizes, names = inside["size"].to_numpy(), inside["key"].to_numpy()
+        if not len(sets):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        a, b = [], []
+        outside = pdf[~pdf["member"]]
+        for key, size, raw in zip(outside["key"], outside["size"], outside["tokens"]):
+            mine = np.frombuffer(raw, "<u8")
+            lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            hit = np.flatnonzero((100 * common >= percent * (size + sizes - common)) & (names != key))
+            a += [key] * len(hit)
+            b += list(names[hit])
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return rows.select("main", "i", "j", "member", "key", "size", "tokens").groupBy("main", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(key, comp): the smallest key reachable from each key of the edges, by alternating large and small stars."""
-    mark = None
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    """(key, comp) of every key of the edges (a, b): the smallest key it reaches, by alternating large and small stars."""
+    pair = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = materialize(pair, "edges")
     while True:
+        # done when every key has one parent and no parent has a parent
+        roles = now.select("u", F.lit(1).alias("child")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("child"))).groupBy("u").agg(F.sum("child").alias("n"), F.min("child").alias("least"))
+        if not roles.where("n > 1 or (n = 1 and least = 0)").limit(1).count():
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         then = materialize(small, "edges")
-        before, after = mark, then.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         release(now)
-        now, mark = then, after
-        if before == after:
-            break
+        now = then
     return now.select(F.col("u").alias("key"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("key"), F.col("v").alias("comp")).distinct())
 
 
+def roots(forest: DataFrame) -> DataFrame:
+    """(key, comp): the root above each key of a forest of (a parent, b child), one parent each, by pointer jumping. Roots
+    themselves have no row."""
+    now = forest.select(F.col("b").alias("key"), F.col("a").alias("comp"))
+    while True:
+        above = now.select(F.col("key").alias("comp"), F.col("comp").alias("next"))
+        jumped = materialize(now.join(above, "comp", "left").select("key", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")), "roots")
+        now = jumped.select("key", "comp")
+        if not jumped.where("moved").limit(1).count():
+            return now
+
+
 def linked_keys(docs: DataFrame, seen: DataFrame, percent: int, frequent: int) -> DataFrame:
     """(key, comp) of the documents that link with another."""
     spark = docs.sparkSession
@@ -407,23 +468,34 @@ def linked_keys(docs: DataFrame, seen: DataFrame, percent: int, frequent: int) -
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sums["shingles"] or 0) // RANGE))
     table = materialize(index(shared(deal(docs, hot, parts), parts), parts, percent, frequent), "join-index")
     live = table.where("kind = 0").select("key", "size", "tokens")
-    sigs = table.where("kind = 1").select("sig", "key")
-    lists = sigs.groupBy("sig").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    sigs = table.where("kind = 1").select("sig", "key", F.col("size").alias("n"), "room", "own")
+    # the head of a list is the document with the smallest part of its own: near the middle of a group of copies
+    lists = sigs.groupBy("sig").agg(F.min(F.struct("own", "key"))["key"].alias("first"), F.count("*").alias("docs")).where("docs > 1")
     met = materialize(sigs.join(lists.select("sig", "first"), "sig"), "join-lists")
     # one partner each: the head of most of its lists
     heads = met.where("key <> first").groupBy("key", "first").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("first", F.struct("n", F.col("first"))).alias("first"))
     one = materialize(verify(heads.select(F.col("first").alias("a"), F.col("key").alias("b")), live, percent), "links")
-    comps = components(one)
-    labelled = met.select("sig", "key").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    counted = labelled.groupBy("sig", "comp").agg(F.count("*").alias("n"))
-    mixed_lists = counted.groupBy("sig").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("sig", "main")
-    rest = materialize(labelled.join(mixed_lists, "sig"), "join-mixed")
-    small = rest.where("comp <> main").select("sig", F.col("key").alias("p"), F.col("comp").alias("pc"))
-    every = rest.select("sig", F.col("key").alias("q"), F.col("comp").alias("qc"), (F.col("comp") == F.col("main")).alias("q_main"))
-    across = small.join(every, "sig").where((F.col("pc") != F.col("qc")) & (F.col("q_main") | (F.col("p") < F.col("q"))))
-    pairs = across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    more = materialize(verify(pairs, live, percent), "links")
-    return components(one.unionByName(more))
+    comps = roots(one)  # the head of a list comes before its members by (own, key), so heads form a forest
+    labelled = met.drop("first", "own").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    counted = labelled.groupBy("sig", "comp").agg(F.count("*").alias("docs"))
+    split = counted.groupBy("sig").agg(F.max(F.struct("docs", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    rest = materialize(labelled.join(split.select("sig", F.col("top.comp").alias("main"), (F.col("top.docs") >= BIG).alias("big")), "sig"), "join-mixed")
+    # lists with a large component: its members against the others, in blocks
+    loose = rest.where("big and comp <> main").select("key", "main").distinct()
+    members = rest.where("big and comp = main").select("key", "main").distinct()
+    blocks = verify_blocks(members, loose, live, percent)
+    # the lists without one: pairs of different components that can share enough from where they meet
+    left = rest.where("not big").select("sig", F.col("key").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("room").alias("pr"))
+    right = left.withColumnsRenamed({"p": "q", "pc": "qc", "pn": "qn", "pr": "qr"})
+    enough = (100 + percent) * F.least("pr", "qr") >= percent * (F.col("pn") + F.col("qn"))
+    across = left.join(right, "sig").where((F.col("p") < F.col("q")) & (F.col("pc") != F.col("qc")) & enough)
+    pairs = across.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
+    more = materialize(verify(pairs, live, percent).unionByName(blocks), "links")
+    of = lambda c: comps.select(F.col("key").alias(c), F.col("comp").alias(f"{c}c"))
+    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+    merged = components(joined).select(F.col("key").alias("comp"), F.col("comp").alias("whole"))
+    every = comps.unionByName(merged.select(F.col("comp").alias("key"), "comp")).unionByName(comps.select(F.col("comp").alias("key"), "comp")).distinct()
+    return every.join(merged, "comp", "left").select("key", F.coalesce("whole", "comp").alias("comp"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, frequent: int = FREQUENT) -> DataFrame:
