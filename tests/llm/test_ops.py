@@ -79,12 +79,15 @@ def test_secrets(spark):
     assert got[n + 3]["spans"] == "" and got[n + 4]["spans"] == ""
 
 
-def test_secrets_oracle(spark, duck, sf_dir):
-    sql = queries.oracle_sql().get("op1_secret_scans")
-    if sql is None:
-        pytest.skip("no SQL")
-    rows = {r["doc_id"]: tuple(r[c] for c in ("n_assign", "n_access", "n_hex", "base_sha256")) for r in queries.op1_secret_scans(spark, sf_dir).collect()}
-    assert rows
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_oracle(spark, duck, sf_dir, name):
+    df = queries.queries()[name](spark, sf_dir)
+    columns = sorted(df.columns)
+    result = duck.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in result.description]
+    assert sorted(names) == columns
+    expected = sorted(tuple(r[names.index(c)] for c in columns) for r in result.fetchall())
+    assert expected and sorted(tuple(r[c] for c in columns) for r in df.collect()) == expected
 
 
 # --- 2 ------------------------------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.llm import decontam, langid, mainhtml, packing, pairrank, secrets, sharding, tokenbin, tokenjoin, weakrules
+from timedtext.llm import decontam, langid, mainhtml, oracles, packing, pairrank, secrets, sharding, tokenbin, tokenjoin, weakrules
 from timedtext.llm.common import crc_of_id, table
 
 
@@ -64,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
