@@ -150,3 +150,31 @@ def test_streams_equal_batch(spark, tmp_path, kind):
         assert {r["anchor"] for r in got} == anchors
     else:
         assert {r["cid"]: value(r) for r in got} == expected
+
+
+def test_rule_files_are_edited_in_place(tmp_path):
+    from timedtext.sources.rulefile import RuleFile
+
+    xml = tmp_path / "r.xml"
+    xml.write_text('<?xml version="1.0"?>\n<filters>\n  <item enabled="true">t=a</item>\n<!-- note -->\n</filters>\n', encoding="utf-8")
+    f = RuleFile(str(xml))
+    assert f.add("b") and not f.add("b") and not f.add("  ")
+    f.toggle(0)
+    assert f.add("a") and [(r.pattern, r.enabled) for r in RuleFile(str(xml)).rules] == [("a", True), ("b", True)]
+    assert "<!-- note -->" in xml.read_text(encoding="utf-8") and xml.read_text(encoding="utf-8").rstrip().endswith("</filters>")
+    f.edit(1, "c")
+    f.delete(0)
+    assert [r.pattern for r in RuleFile(str(xml)).rules] == ["c"]
+    js = tmp_path / "r.json"
+    js.write_text('[{"type":1,"filter":"z"},{"type":0,"filter":"a","opened":false,"id":7}]')
+    g = RuleFile(str(js))
+    assert g.add("a") and g.add("n") and '"id": 7' in js.read_text() and len(RuleFile(str(js)).rules) == 2 and '"type": 1' in js.read_text()
+    txt = tmp_path / "r.txt"
+    txt.write_text("one\n\n two \n")
+    h = RuleFile(str(txt))
+    h.delete(0)
+    assert txt.read_text() == "two\n"
+    h.path = str(tmp_path / "missing" / "r.txt")
+    with pytest.raises(OSError):
+        h.add("three")
+    assert [r.pattern for r in h.rules] == ["two"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.functions import names, similarity, text
+from timedtext.functions import addresses, names, similarity, text
 from timedtext.functions.similarity import Cascade
 from timedtext.operators import layout, merging, tables, timeline
 from timedtext.plans.comments import DUCK, comments, flow
@@ -568,6 +568,52 @@ def _(spark, d):
     return rows.select("vid", F.explode(tables.segment_starts(text.length_seconds(F.col("s")))).alias("seg_start"))
 
 
+@query("url_identifiers", "select * from (values ('https://h/video/BV1x?p=3', 'BV1x', null, 3, 'BV1x'), ('https://h/video/av77', null, '77', 1, 'av77'), ('https://h/x/abc.html?vid=v9', null, null, 1, 'v9')) t(url, bv, av, page, vid)")
+def _(spark, d):
+    bv, av, page = addresses.video_and_page(F.col("url"))
+    return spark.sql("select * from (values ('https://h/video/BV1x?p=3'), ('https://h/video/av77'), ('https://h/x/abc.html?vid=v9')) as t(url)").select("url", bv.alias("bv"), av.alias("av"), page.alias("page"), addresses.video_parameter(F.col("url")).alias("vid"))
+
+
+@query("path_identifiers", "select * from (values ('a:b:123:c', '123', null, null), ('/b/11/22.html', null, '11', '22'), ('/x/y/z.mp4', null, 'y', 'z')) t(s, third, collection, video)")
+def _(spark, d):
+    collection, video = addresses.collection_and_video(F.col("s"))
+    return spark.sql("select * from (values ('a:b:123:c'), ('/b/11/22.html'), ('/x/y/z.mp4')) as t(s)").select("s", addresses.third_field(F.col("s")).alias("third"), collection.alias("collection"), video.alias("video"))
+
+
+@query("query_syntax", "select * from (values ('show | 动漫', 'show', '动漫', null), ('show @ main', 'show', null, 'main'), ('a@b@', 'a@b', null, null), ('plain', 'plain', null, null)) t(q, name, class, note)")
+def _(spark, d):
+    name, kind, note = addresses.query_parts(F.col("q"))
+    return spark.sql("select * from (values ('show | 动漫'), ('show @ main'), ('a@b@'), ('plain')) as t(q)").select("q", name.alias("name"), kind.alias("class"), note.alias("note"))
+
+
+@query("server_list", "select * from (values (0, 'u1', 'main'), (1, 'u2', null), (2, 'u3', 'x')) t(pos, url, note)")
+def _(spark, d):
+    return spark.sql("select ' u1 | main , u2,, u3#x ' as s").select(F.posexplode(addresses.servers(F.col("s"))).alias("pos", "x")).select("pos", "x.url", "x.note")
+
+
+@query("title_rules", "select * from (values ('〔组〕Show_Name', '组 Show Name'), ('x《Title》y', 'Titley'), ('plain', 'plain')) t(title, out_text)")
+def _(spark, d):
+    rules = addresses.title_rules('[{"rules":[{"^〔(.-)〕": "%1 "},{"^.*《(.-)》": "%1"},{"[bad": "x"}]}]')
+    return spark.sql("select * from (values ('〔组〕Show_Name'), ('x《Title》y'), ('plain')) as t(title)").select("title", addresses.replace_title(F.col("title"), rules).alias("out_text"))
+
+
+@query("media_names", "select * from (values (1, 'My Show'), (2, 'file'), (3, 'file')) t(id, name)")
+def _(spark, d):
+    rows = spark.sql("select * from (values (1, 'https://h/v', 'My%20Show | 动漫', 'f'), (2, '/home/file.mkv', 'T', 'file'), (3, 'https://h/v', '', 'file')) as t(id, path, title, file)")
+    return rows.select("id", addresses.media_name(F.col("path"), F.col("title"), F.col("file")).alias("name"))
+
+
+@query("failure_hints", "select * from (values ('Exit code: 7 Error: refused  now', 'exit 7 连不上服务器：refused now'), ('Exit code: 99', 'exit 99'), ('', '无详细信息')) t(e, hint)")
+def _(spark, d):
+    return spark.sql("select * from (values ('Exit code: 7 Error: refused  now'), ('Exit code: 99'), ('')) as t(e)").select("e", addresses.failure_hint(F.col("e")).alias("hint"))
+
+
+@query("fingerprints", "select doc_id, lpad(format('{:x}', list_reduce(list_prepend(5381::bigint, list_transform(range(1, length(head) + 1), lambda i: ascii(head[i])::bigint)), lambda h, b: (h * 33 + b) % 4294967296)), 8, '0') as fingerprint from (select doc_id, regexp_replace(substr(text, 1, 40), '[^ -~]', '', 'g') as head from documents where text is not null)")
+def _(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    return docs.select("doc_id", addresses.times33(F.encode(F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", ""), "UTF-8")).alias("fingerprint"))
+
+
 # --- payloads -----------------------------------------------------------------------------------------------------------------------
 
 
