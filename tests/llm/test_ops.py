@@ -379,6 +379,8 @@ def test_html():
     )
     assert mainhtml.main_text(page) == "Title\n\nSome long text of the article here.\n\nMore <b> text here link.\n\none\n\ntwo"
     assert mainhtml.main_text("<article><h1>A</h1><p>b<aside>no</aside><p><b>c<br>d</article><p>not this, though it is much longer than the article is</p>") == "A\n\nb\n\nc d"
+    nested = "<main><nav>n</nav><h2>Related</h2><p>much longer text around the article than in it</p><article><h1>T</h1><p>body</p></article><section class=comment-list><article>me too</article></section></main>"
+    assert mainhtml.main_text(nested) == "T\n\nbody"
     assert [mainhtml.main_text(x) for x in (None, "", "<div", "plain &amp; text", "<p>x &am", "<p>a<br/>b")] == ["", "", "", "plain & text", "x &am", "a b"]
     assert mainhtml.main_text("<p>" * 20_000 + "deep") == "deep"
 

@@ -62,7 +62,7 @@ def _is_side(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, container) of each block with text; container 0 is none."""
+    """(text, weight, container) of each block with text; container 0 is none, a negative one is an article in another."""
     found: list[tuple[str, int, int]] = []
     parts: list[str] = []
     state = {"all": 0, "linked": 0}
@@ -131,9 +131,9 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         stack.append((tag, side, container, links))
         if not side and _is_side(tag, m[3], bool(container)):
             side = True
-        elif tag in CONTAINERS and not container and not side:
+        elif tag in CONTAINERS and not side and (not container or tag == "article" and any(x[0] == "main" for x in stack[:-1]) and not any(x[0] == "article" for x in stack[:-1])):
             containers += 1
-            container = containers
+            container = -containers if container else containers
         if tag == "a":
             links += 1
     flush()
@@ -168,9 +168,10 @@ def main_text(page: str | None) -> str:
         # a page that marks its article: only lines of the heaviest container have weight
         mass: dict[int, int] = {}
         for _, w, c in lines:
-            if c:
+            if c and w:
                 mass[c] = mass.get(c, 0) + w
-        best = max(mass, key=lambda c: (mass[c], -c))
+        # an article inside a main part goes before the part around it
+        best = max(mass, key=lambda c: (c < 0, mass[c], -abs(c)))
     weights = [w if not best or c == best else 0 for _, w, c in lines]
     stretches = surges(weights)
     if not stretches:
