@@ -36,7 +36,8 @@ class Backoff:
         self.langs = sorted(counts)
         n_langs = len(self.langs)
         vocabulary = sorted(set().union(*counts.values())) if counts else []
-        self.words = self._table({w: [counts[x].get(w, 0) for x in self.langs] for w in vocabulary}, unseen)
+        # for each kind of unit its row in a table of log frequencies
+        self.words, self.word_rows = self._table({w: [counts[x].get(w, 0) for x in self.langs] for w in vocabulary}, unseen)
         self.grams = {}
         for n in GRAMS:
             found: dict[str, list[int]] = defaultdict(lambda: [0] * n_langs)
@@ -48,51 +49,78 @@ class Backoff:
             top = sorted(found, key=lambda g: (-sum(found[g]), g))[:max_grams]
             self.grams[n] = self._table({g: found[g] for g in top}, unseen)
 
-    def _table(self, rows: dict[str, list[int]], unseen: float) -> dict[str, np.ndarray]:
+    def _table(self, rows: dict[str, list[int]], unseen: float) -> tuple[dict[str, int], np.ndarray]:
         if not rows:
-            return {}
+            return {}, np.zeros((0, len(self.langs)))
         m = np.array(list(rows.values()), float) + unseen
-        m = np.log(m) - np.log(m.sum(axis=0))
-        return dict(zip(rows, m))
-
-    def of_word(self, word: str) -> np.ndarray | None:
-        if (row := self.words.get(word)) is not None:
-            return row
+        return {w: i for i, w in enumerate(rows)}, np.log(m) - np.log(m.sum(axis=0))
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """The log frequencies of distinct words: their own, else the mean over their longest known n-grams, else zeros."""
+        out = np.zeros((len(words), len(self.langs)))
+        rest = []
+        for i, w in enumerate(words):
+            k = self.words.get(w)
+            if k is None:
+                rest.append(i)
+            else:
+                out[i] = self.word_rows[k]
         for n in GRAMS:
-            table = self.grams[n]
-            known = [row for g in grams_of(word, n) if (row := table.get(g)) is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return None
-
-    def scorer(self, max_cached: int = 200_000):
-        """text -> (language, score); words met before are looked up in a bounded cache."""
+            names, table = self.grams[n]
+            at, cut, done, left = [], [0], [], []
+            for i in rest:
+                known = [k for g in grams_of(words[i], n) if (k := names.get(g)) is not None]
+                if known:
+                    at += known
+                    cut.append(len(at))
+                    done.append(i)
+                else:
+                    left.append(i)
+            if done:
+                out[done] = np.add.reduceat(table[at], cut[:-1], axis=0) / np.diff(cut)[:, None]
+            rest = left
+        return out
+
+    def scorer(self, max_cached: int = 100_000, chunk: int = 100_000):
+        """texts -> languages and scores; words met before keep their row in a bounded cache."""
         cache: dict[str, int] = {}
-        rows: list[np.ndarray] = []
         table = np.zeros((0, len(self.langs)))
 
-        def score(text: str | None) -> tuple[str, float]:
+        def score(texts: list[str | None]) -> tuple[list[str], list[float]]:
             nonlocal table
-            words = words_of(text) if text else []
-            if not words or not self.langs:
-                return "und", 0.0
-            if len(cache) + len(set(words)) > max_cached:
-                cache.clear()
-                rows.clear()
-                table = table[:0]
-            at = []
-            for w in words:
-                k = cache.get(w)
-                if k is None:
-                    row = self.of_word(w)
-                    k = cache[w] = len(rows)
-                    rows.append(np.zeros(len(self.langs)) if row is None else row)
-                at.append(k)
-            if len(rows) > len(table):
-                table = np.concatenate([table, np.array(rows[len(table) :])])
-            total = (np.bincount(at, minlength=len(table))[:, None] * table).sum(axis=0) if len(at) > 4 * len(table) else table[at].sum(axis=0)
-            best = int(total.argmax())
-            return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -60, 0)).sum())
+            names, scores = [], []
+            k = 0
+            while k < len(texts):
+                # as many texts as make a chunk of words, one at least
+                held: list[list[str]] = []
+                size = 0
+                while k < len(texts) and (not held or size < chunk):
+                    held.append(words_of(texts[k]) if texts[k] and self.langs else [])
+                    size += len(held[-1])
+                    k += 1
+                flat = [w for ws in held for w in ws]
+                new = list(dict.fromkeys(w for w in flat if w not in cache))
+                if new:
+                    if len(cache) > max_cached:
+                        cache.clear()
+                        table = table[:0]
+                        new = list(dict.fromkeys(flat))
+                    cache.update(zip(new, range(len(cache), len(cache) + len(new))))
+                    table = np.concatenate([table, self.rows_of(new)])
+                cut = np.cumsum([0, *map(len, held)])
+                sums = np.zeros((len(held), len(self.langs)))
+                some = np.flatnonzero(np.diff(cut))
+                if len(some):
+                    sums[some] = np.add.reduceat(table[[cache[w] for w in flat]], cut[some], axis=0)
+                for total, ws in zip(sums, held):
+                    if ws:
+                        best = int(total.argmax())
+                        names.append(self.langs[best])
+                        scores.append(float(1 / np.exp(np.clip(total - total[best], -60, 0)).sum()))
+                    else:
+                        names.append("und")
+                        scores.append(0.0)
+            return names, scores
 
         return score
 
@@ -143,7 +171,7 @@ def predict(docs: DataFrame, model: Backoff, text: str = "text", out: str = "lan
     def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         run = received(sent).scorer()
         for texts in parts:
-            found = [run(t) for t in texts]
-            yield pd.DataFrame(found, columns=["lang", "score"]) if found else pd.DataFrame({"lang": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
+            names, scores = run(texts.tolist())
+            yield pd.DataFrame({"lang": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
 
     return docs.withColumn("__guess", guess(text)).withColumns({out: F.col("__guess.lang"), score: F.col("__guess.score")}).drop("__guess")
