@@ -193,9 +193,11 @@ def join_cases():
     return texts
 
 
-@pytest.mark.parametrize("frequent, big", [(64, 16), (2, 2)])
-def test_jaccard_join(spark, monkeypatch, frequent, big):
+@pytest.mark.parametrize("frequent, big, tasks", [(64, 16, 20_000), (2, 2, 3)])
+def test_jaccard_join(spark, monkeypatch, frequent, big, tasks):
     monkeypatch.setattr(tokenjoin, "BIG", big)
+    monkeypatch.setattr(tokenjoin, "MAX_TASKS", tasks)
+    monkeypatch.setattr(tokenjoin, "RANGE", 20_000 if tasks > 3 else 1_000)
     monkeypatch.setattr(tokenjoin, "BLOCK_SIDE", 7)
     texts = join_cases()
     expected = groups(list(enumerate(texts)))

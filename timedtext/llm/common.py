@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import pickle
+import sys
 import tempfile
 import uuid
 
@@ -111,3 +115,24 @@ def send(spark: SparkSession, value):
 
 def received(sent):
     return pickle.loads(sent.value)
+
+
+def give_back() -> None:
+    """Return freed memory of a worker process to the machine; reused workers otherwise keep their peak."""
+    gc.collect()
+    if pa := sys.modules.get("pyarrow"):
+        pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """A function over batches that gives memory back at the end of each task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped

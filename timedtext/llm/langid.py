@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import received, send
+from timedtext.llm.common import give_back, received, send, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 GRAMS = (4, 3, 2, 1)
@@ -150,7 +150,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 found.clear()
         yield _frame(found)
 
-    counts = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInPandas(counted, "lang string, word string, n long")
+    counts = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInPandas(tidy(counted), "lang string, word string, n long")
     by_word = counts.groupBy("word", "lang").agg(F.sum("n").alias("n"))
     top = by_word.where("n > 1").orderBy(F.desc("n"), "word", "lang").limit(max_words).collect()
     learned: dict[str, dict[str, int]] = {r[0]: {} for r in rows.select(lang).distinct().limit(1_000).collect()}
@@ -173,5 +173,7 @@ def predict(docs: DataFrame, model: Backoff, text: str = "text", out: str = "lan
         for texts in parts:
             names, scores = run(texts.tolist())
             yield pd.DataFrame({"lang": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
+        del run
+        give_back()
 
     return docs.withColumn("__guess", guess(text)).withColumns({out: F.col("__guess.lang"), score: F.col("__guess.score")}).drop("__guess")

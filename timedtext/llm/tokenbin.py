@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timedtext.llm.common import tidy
 from timedtext.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -129,7 +130,7 @@ def write_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", capacit
         if parts:
             yield from block()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(packed, SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(packed), SCHEMA)
 
 
 def unpack(rows: list, dtype: str = "<u2") -> dict:

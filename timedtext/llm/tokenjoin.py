@@ -8,9 +8,10 @@ How links are found, all of them:
 1. ``profile`` reads the texts once: the key of each word sequence, the size of its set, and the shingles that repeat
    within a block of documents. Shingles in more than 1/2000 of all documents are *hot*; at most 2000 times the mean set
    size can be, so they are broadcast. Equal texts share a key and go on as one document.
-2. ``shared`` reads the texts again and deals the other shingles, packed, to ranges of their hash. There each shingle's
-   document frequency is known; shingles of one document only - nearly all - end there. The rest goes back to its document.
-3. A global order of shingles is now known: rare first, ties by hash. A set can only link if enough of it is shared, so most
+2. ``deal`` reads the texts again and sends the other shingles, packed, to ranges of their hash. There, in ``shared``, each
+   shingle's document frequency is known; shingles of one document only - nearly all - end there. The rest goes back to
+   its document.
+3. In ``index`` a global order of shingles is known: rare first, ties by hash. A set can only link if enough of it is shared, so most
    documents drop out without being compared. The others index prefixes: single shingles of the rare class; of the
    frequent class, whose lists are long, combinations of two within each of several sub-classes, with the prefix extended
    so that two linked sets share at least one signature: a prefix with n1 rare shingles and n(c) of sub-class c holds
@@ -31,14 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import SPACES, fixed_uint64, materialize, mixed, release
+from timedtext.llm.common import SPACES, fixed_uint64, materialize, mixed, release, tidy
 
 WORDS = 5
 #: Shingles a task gathers before it hands them on, and documents.
-BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 60_000
+BLOCK_SHINGLES, BLOCK_DOCS = 600_000, 60_000
 #: A hot shingle is in more than 1/HOT of the documents.
 HOT = 2_000
 #: Document frequency above which a shingle is of the frequent class.
@@ -47,6 +49,8 @@ FREQUENT = 64
 BIG, BLOCK_SIDE = 16, 512
 #: Shingles in a range of hashes, about.
 RANGE = 1_500_000
+#: Tasks of a stage that takes ranges; more ranges than that are taken in turn, so memory stays that of one range.
+MAX_TASKS = 20_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -87,7 +91,7 @@ def sets_of(texts: list[bytes]) -> Iterator[tuple[int | None, np.ndarray]]:
     k = 0
     while k < len(texts):
         group, held = [], 0
-        while k < len(texts) and (not group or held + len(texts[k]) < 1_000_000):
+        while k < len(texts) and (not group or held + len(texts[k]) < 300_000):
             group.append(texts[k])
             held += len(texts[k])
             k += 1
@@ -113,43 +117,45 @@ def sets_of(texts: list[bytes]) -> Iterator[tuple[int | None, np.ndarray]]:
                 yield key, whole & LOW48
 
 
-def _blocks(batches: Iterator[pd.DataFrame]):
+def _blocks(batches: Iterator[pa.RecordBatch]):
     """Blocks of documents new to this task: lists of keys and sets; and each row's (id, key, size)."""
     seen: set[int] = set()
     keys, sets, held = [], [], 0
-    for pdf in batches:
-        rows = []
-        texts = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in pdf["text"]]
-        for doc_id, (key, found) in zip(pdf["doc_id"], sets_of(texts)):
-            rows.append((None if doc_id is None else int(doc_id), key, len(found)))
-            if key is not None and key not in seen:
-                seen.add(key)
-                keys.append(key)
-                sets.append(found)
-                held += len(found)
-                if held >= BLOCK_SHINGLES or len(keys) >= BLOCK_DOCS:
-                    yield rows, keys, sets
-                    rows, keys, sets, held = [], [], [], 0
-        yield rows, None, None
+    for batch in batches:
+        # a few rows at a time become Python objects
+        for at in range(0, batch.num_rows, 256):
+            rows = []
+            ids, texts = (batch.column(i).slice(at, 256).to_pylist() for i in (0, 1))
+            for doc_id, (key, found) in zip(ids, sets_of([(t or "").encode("utf-8", "replace") for t in texts])):
+                rows.append((doc_id, key, len(found)))
+                if key is not None and key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    sets.append(found)
+                    held += len(found)
+                    if held >= BLOCK_SHINGLES or len(keys) >= BLOCK_DOCS:
+                        yield rows, keys, sets
+                        rows, keys, sets, held = [], [], [], 0
+            yield rows, None, None
     yield [], keys, sets
 
 
 def profile(docs: DataFrame) -> DataFrame:
     """Rows of kind 0: doc_id, key, size; of kind 1: a shingle that repeats in a block, and how often."""
+    columns = ["kind", "doc_id", "key", "size"]
 
     def run(batches):
         for rows, keys, sets in _blocks(batches):
             if rows:
                 ids, names, sizes = zip(*rows)
-                yield pd.DataFrame({"kind": 0, "doc_id": pd.array(ids, dtype="Int64"), "key": pd.array(names, dtype="Int64"), "size": sizes})
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(0, pa.int32()), len(ids)), pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], columns)
             if keys:
                 found, counts = np.unique(np.concatenate(sets), return_counts=True)
                 often = counts >= max(4, len(keys) // HOT)
-                found, counts = found[often], counts[often]
-                nulls = pd.array([pd.NA] * len(found), dtype="Int64")
-                yield pd.DataFrame({"kind": 1, "doc_id": nulls, "key": found.astype(np.int64), "size": counts})
+                found, counts = found[often].astype(np.int64), counts[often]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(1, pa.int32()), len(found)), pa.nulls(len(found), pa.int64()), pa.array(found), pa.array(counts, pa.int64())], columns)
 
-    return docs.mapInPandas(run, "kind int, doc_id long, key long, size long")
+    return docs.mapInArrow(tidy(run), "kind int, doc_id long, key long, size long")
 
 
 def _pack(part, tokens, counts, docs, keys, sizes) -> tuple:
@@ -185,9 +191,24 @@ def _unpack(pdf: pd.DataFrame):
     return np.concatenate(tokens), np.concatenate(counts), np.concatenate(keys), np.concatenate(sizes)
 
 
-def _all(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    got = list(batches)
-    return pd.concat(got) if got else pd.DataFrame(columns=_COLUMNS)
+def _spread(packed: DataFrame, parts: int) -> DataFrame:
+    """Each part's rows side by side in one task; beyond MAX_TASKS parts a task takes several, one after the other."""
+    tasks = min(parts, MAX_TASKS)
+    out = packed.repartitionById(tasks, F.col("part") % tasks)
+    return out.sortWithinPartitions("part") if parts > tasks else out
+
+
+def _by_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one part at a time."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        for part, rows in pdf.groupby("part", sort=False):
+            if held and held[0]["part"].iloc[0] != part:
+                yield pd.concat(held)
+                held = []
+            held.append(rows)
+    if held:
+        yield pd.concat(held)
 
 
 def deal(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
@@ -224,9 +245,9 @@ def deal(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> Dat
             t, o = tokens[~is_hot], owner[~is_hot]
             cut = np.concatenate([[0], np.searchsorted(t, bounds), [len(t)]])
             rows += [_pack(p, t[a:b], None, o[a:b], keys, sizes) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=_COLUMNS).astype({"part": "int32", "n": "int32"}), preserve_index=False)
 
-    return docs.mapInPandas(run, PACKED)
+    return docs.mapInArrow(tidy(run), PACKED)
 
 
 def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
@@ -239,10 +260,13 @@ def shared(dealt: DataFrame, parts: int) -> DataFrame:
     """Packed postings of shingles that two documents or more hold, with their frequency, by part of the document's key."""
 
     def run(batches):
-        pdf = _all(batches)
-        known = pdf["counts"].map(len) > 0 if len(pdf) else pd.Series(dtype=bool)
-        ht, hc, hk, hs = _unpack(pdf[known]) if len(pdf) else _unpack(pdf)
-        t, _, k, s = _unpack(pdf[~known]) if len(pdf) else _unpack(pdf)
+        for pdf in _by_part(batches):
+            yield from one(pdf)
+
+    def one(pdf):
+        known = pdf["counts"].map(len) > 0
+        ht, hc, hk, hs = _unpack(pdf[known])
+        t, _, k, s = _unpack(pdf[~known])
         del pdf
         order = np.argsort(t, kind="stable")
         t, k, s = t[order], k[order], s[order]
@@ -277,7 +301,7 @@ def shared(dealt: DataFrame, parts: int) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return dealt.repartitionById(parts, F.col("part")).mapInPandas(run, PACKED)
+    return _spread(dealt, parts).mapInPandas(tidy(run), PACKED)
 
 
 def band(n: int, percent: int) -> int:
@@ -334,7 +358,12 @@ def index(packed: DataFrame, parts: int, percent: int, frequent: int = FREQUENT)
     part of the set (in thousandths) that no other set holds."""
 
     def run(batches):
-        t, c, k, s = _unpack(_all(batches))
+        for pdf in _by_part(batches):
+            yield from one(pdf)
+
+    def one(pdf):
+        t, c, k, s = _unpack(pdf)
+        del pdf
         order = np.lexsort((t, k))
         t, c, k, s = t[order], c[order], k[order], s[order]
         if not len(t):
@@ -354,7 +383,7 @@ def index(packed: DataFrame, parts: int, percent: int, frequent: int = FREQUENT)
                 live, sigs, held = [], [], 0
         yield from _indexed(live, sigs)
 
-    return packed.repartitionById(parts, F.col("part")).mapInPandas(run, INDEX)
+    return _spread(packed, parts).mapInPandas(tidy(run), INDEX)
 
 
 def _indexed(live, sigs):
@@ -384,7 +413,7 @@ def verify(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     left = live.select(F.col("key").alias("a"), F.col("size").alias("n"), F.col("tokens").alias("x"))
     right = live.select(F.col("key").alias("b"), F.col("size").alias("m"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b").where((100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n")))
-    return both.select("a", "b", "n", "m", "x", "y").mapInPandas(run, "a long, b long")
+    return both.select("a", "b", "n", "m", "x", "y").mapInPandas(tidy(run), "a long, b long")
 
 
 def verify_blocks(members: DataFrame, loose: DataFrame, live: DataFrame, percent: int) -> DataFrame:
@@ -500,8 +529,7 @@ def linked_keys(docs: DataFrame, seen: DataFrame, percent: int, frequent: int) -
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    # ids as text: pandas would turn a column of integers with nulls into floats
-    given = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    given = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = materialize(profile(given), "join-profile")
     members = seen.where("kind = 0").select("doc_id", "key", F.col("size").alias("n_shingles"))
     comps = linked_keys(given, seen, percent, frequent)
