@@ -59,6 +59,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
+    give_back()
     return back
 
 
@@ -118,7 +119,7 @@ def received(sent):
 
 
 def give_back() -> None:
-    """Return freed memory of a worker process to the machine; reused workers otherwise keep their peak."""
+    """Return freed memory of this process to the machine; reused workers and the driver otherwise keep their peak."""
     gc.collect()
     if pa := sys.modules.get("pyarrow"):
         pa.default_memory_pool().release_unused()

@@ -32,7 +32,7 @@ UNITS = (
     "dollars?|cents?|euros?|usd|eur|gbp|percent|degrees?|kmh|mph|watts?|kw|volts?|bytes?|kb|mb|gb|tb"
 )
 #: Slots of the bitmaps and rows up to which the benchmark's windows are broadcast.
-BITS = 1 << 20
+BITS = 1 << 18
 BROADCAST_ROWS = 400_000
 
 

@@ -156,7 +156,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     learned: dict[str, dict[str, int]] = {r[0]: {} for r in rows.select(lang).distinct().limit(1_000).collect()}
     for r in top:
         learned[r["lang"]][r["word"]] = r["n"]
-    return Backoff(learned)
+    del top
+    model = Backoff(learned)
+    give_back()
+    return model
 
 
 def _frame(found: Counter) -> pd.DataFrame:
