@@ -109,6 +109,20 @@ def test_decontamination(spark):
     assert got == {(n, 1), (n + 2, 4), (n + 4, 1)}
 
 
+def test_decontamination_of_edited_copies(spark):
+    question = "Anna bought 12 apples for 3.50 dollars and gave half of them to Peter on the way home, so how many apples did Anna keep?"
+    words = question.split()
+    texts = [
+        " ".join([*words[:8], "hmm", *words[8:16], "well", *words[16:]]),
+        " ".join(words[:11] + words[12:]),
+        question.replace("Peter", "Mary Ann"),
+        question.replace("Anna", "Mary Ann").replace("Peter", "Tom"),
+        "Anna likes apples and gave half of them to the children of the village, who ate them on the same day.",
+    ]
+    items = spark.createDataFrame([(1, question)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.find(docs_of(spark, texts), items).collect()} == {0, 1, 2, 3}
+
+
 def test_decontamination_whole_table(spark, sf_dir, documents):
     plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
     items = [(r["item_id"], plain(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

@@ -1,11 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are runs of letters and digits. Numbers, names (words in title case) and units become typed placeholders, the
-rest goes to lower case. Windows of eight such words of the benchmark are joined by hash with those of the documents;
-a bitmap of fixed size drops nearly all windows of a document before any row is made. Matches on one diagonal (position
-in the document less position in the item) are put together: an item is found when its matched windows cover at least
-half of its words and the values in the slots map one to one, so that a question with other numbers and names counts
-and a chance likeness does not.
+Words are runs of letters and digits. Numbers, names (words in title case) and units become typed placeholders, names in
+a row one placeholder, the rest goes to lower case. Windows of such tokens of the benchmark, of eight and of a quarter of
+the item (four at least), are joined by hash with those of the documents; a bitmap of fixed size drops nearly all windows
+of a document before any row is made. Matches on one diagonal (position in the document less position in the item) make a
+run; runs on neighbouring diagonals are put together, as inserted and dropped words and longer names shift them: an item is
+found when the windows matched there cover at least half of its words and the values in the slots of its longest run map
+one to one, so that a question with other numbers and names counts and a chance likeness does not.
 
 All of it is DataFrame functions.
 
@@ -24,6 +25,8 @@ from timedtext.llm.common import materialize
 
 WINDOW = 8
 LEAST_WORDS = 4
+#: Tokens of the prefix that the first bitmap looks at; no window is shorter.
+PREFIX = 3
 COVERED = 0.5
 NAME, NUMBER, UNIT = "@", "#", "&"
 UNITS = (
@@ -70,69 +73,138 @@ def _set(bitmap: Column, h: Column) -> Column:
     return F.substring(bitmap, (F.pmod(h, F.lit(BITS)) + 1).cast("int"), 1) == F.lit(b"\x01")
 
 
-def _spread(df: DataFrame, lengths: list[int], keep=None) -> DataFrame:
-    """One row for each kept window: its length, position, hash, words and template words."""
-    n = F.size("c")
+def _tokens(df: DataFrame) -> DataFrame:
+    """``p`` becomes w, its words; t, their template with names in a row as one token; s, the word each token starts at."""
+    others = [c for c in df.columns if c != "p"]
+    df = df.select(*others, _words(F.col("p")).alias("w"), _words(template(F.col("p"))).alias("c"))
+
+    def first(x, i):
+        return (x != NAME) | (i == 0) | (F.get("c", i - 1) != NAME)
+
+    return df.select(*others, "w", F.filter("c", first).alias("t"), F.filter(F.transform("c", lambda x, i: i), lambda i: first(F.get("c", i), i)).alias("s"))
+
+
+def _window(i: Column, k: int) -> Column:
+    """The window of k tokens from token i: where it and its second token start, hash and values."""
+    value = lambda j: F.lower(F.array_join(F.slice("w", F.get("s", j) + 1, F.coalesce(F.get("s", j + 1), F.size("w")) - F.get("s", j)), " "))
+    return F.struct(
+        F.lit(k).alias("k"),
+        F.get("s", i).alias("at"),
+        F.get("s", i + 1).alias("next"),
+        _hash(F.col("t"), i, k).alias("h"),
+        F.transform(F.sequence(i, i + (k - 1)), value).alias("v"),
+    )
+
+
+def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """The indexed windows: item_id, item_words, bk, item_at, item_next, bh, item_v, item_t, item_s, opens, closes, prefix."""
+    base = _tokens(items.select(F.col(key).alias("item_id"), plain(F.col(text)).alias("p")))
+    base = base.withColumn("item_words", F.size("w")).withColumn("n", F.size("t")).where((F.col("item_words") >= LEAST_WORDS) & (F.col("n") >= PREFIX))
+    short = F.least(F.greatest(F.floor(F.col("n") / 4), F.lit(LEAST_WORDS)), F.lit(WINDOW), F.col("n")).cast("int")
+    base = base.withColumn("lengths", F.array_distinct(F.array(short, F.least(F.lit(WINDOW), F.col("n")))))
 
     def of_length(k: int) -> Column:
-        at = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-        if keep is not None:
-            at = F.filter(at, lambda i: keep(F.col("c"), i, k))
+        starts = F.when(F.array_contains("lengths", k), F.sequence(F.lit(0), F.col("n") - k)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("i"), _window(i, k).alias("x"), F.slice("t", i + 1, k).alias("t"), F.slice("s", i + 1, k).alias("s")))
+
+    windows = base.select("item_id", "item_words", "n", F.inline(F.concat(*map(of_length, range(PREFIX, WINDOW + 1)))))
+    windows = windows.where(2 * F.size(F.filter("t", lambda x: ~x.isin(NAME, NUMBER, UNIT))) >= F.col("x.k"))
+    return windows.select(
+        "item_id",
+        "item_words",
+        F.col("x.k").alias("bk"),
+        F.col("x.at").alias("item_at"),
+        F.col("x.next").alias("item_next"),
+        F.col("x.h").alias("bh"),
+        F.col("x.v").alias("item_v"),
+        F.col("t").alias("item_t"),
+        F.col("s").alias("item_s"),
+        (F.col("i") == 0).alias("opens"),
+        (F.col("i") + F.col("x.k") == F.col("n")).alias("closes"),
+        _hash(F.col("t"), F.lit(0), PREFIX).alias("prefix"),
+    )
+
+
+def _document_windows(docs: DataFrame, lengths: list[int], keep) -> DataFrame:
+    """The windows of the documents that ``keep``, two tests of a hash (of the prefix and of the whole), lets pass."""
+    base = _tokens(docs)
+    places = F.filter(F.transform("t", lambda x, i: i), lambda i: i <= F.size("t") - PREFIX)
+    if keep is not None:
+        places = F.filter(places, lambda i: keep[0](_hash(F.col("t"), i, PREFIX)))
+    base = base.withColumn("places", places)
+
+    def of_length(k: int) -> Column:
+        here = F.filter("places", lambda i: (i <= F.size("t") - k) & (keep[1](_hash(F.col("t"), i, k)) if keep is not None else F.lit(True)))
+        return F.transform(here, lambda i: _window(i, k))
+
+    return base.select("rid", "doc_id", F.inline(F.concat(*map(of_length, lengths))))
+
+
+def _seen() -> Column:
+    """For each word of the item in a matched window: its place x, template token t and the values i and d in item and document.
+
+    Names in a row of unequal number are one value. Where the item begins or ends with names, the document's may go on
+    beyond it; what belongs to the item is then known only where the values are the same, else d is null.
+    """
+
+    def word(j):
+        i, d, at, t = F.get("item_v", j), F.get("v", j), F.get("item_s", j), F.get("item_t", j)
+        iw, dw = F.split(i, " "), F.split(d, " ")
+        more = F.size(dw) > F.size(iw)
+        opens, closes = F.col("opens") & (j == 0), F.col("closes") & (j == F.col("k") - 1)
+        same = (opens & d.endswith(F.concat(F.lit(" "), i))) | (closes & d.startswith(F.concat(i, F.lit(" "))))
+        single = F.size(iw) == F.size(dw)
         return F.transform(
-            at,
-            lambda i: F.struct(F.lit(k).alias("k"), i.alias("at"), _hash(F.col("c"), i, k).alias("h"), F.slice("w", i + 1, F.lit(k)).alias("v"), F.slice("c", i + 1, F.lit(k)).alias("t")),
+            iw,
+            lambda w, m: F.struct(
+                (at + m).alias("x"),
+                t.alias("t"),
+                F.when(single | same, w).otherwise(i).alias("i"),
+                F.when(single, F.get(dw, m)).when(same, w).when(more & (opens | closes), F.lit(None).cast("string")).otherwise(d).alias("d"),
+            ),
         )
 
-    return df.select(*[c for c in df.columns if c not in ("w", "c")], F.inline(F.concat(*map(of_length, lengths))))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.col("k") - 1), word))
 
 
-def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """The indexed windows: item_id, item_words, k, at, h, v."""
-    base = items.select(F.col(key).alias("item_id"), plain(F.col(text)).alias("p")).select("item_id", _words(F.col("p")).alias("w"), _words(template(F.col("p"))).alias("c"))
-    base = base.withColumn("item_words", F.size("c")).where(F.col("item_words") >= LEAST_WORDS)
-    windows = _spread(base, [WINDOW]).unionByName(
-        base.where(F.col("item_words") < WINDOW).select("item_id", "item_words", F.col("item_words").alias("k"), F.lit(0).alias("at"), F.lit(None).cast("long").alias("h"), F.col("w").alias("v"), F.col("c").alias("t"))
-    )
-    literals = F.size(F.filter("t", lambda x: ~x.isin(NAME, NUMBER, UNIT)))
-    return windows.where(2 * literals >= F.col("k"))
+def _slots(seen: Column) -> Column:
+    """The distinct pairs of values in slots."""
+    return F.array_distinct(F.transform(F.filter(seen, lambda o: o["t"].isin(NAME, NUMBER, UNIT) & o["d"].isNotNull()), lambda o: F.struct(o["i"].alias("i"), o["d"].alias("d"))))
+
+
+def _places(seen: Column) -> Column:
+    return F.array_distinct(F.transform(seen, lambda o: o["x"]))
+
+
+def _accepted(runs: DataFrame) -> Column:
+    pairs = F.col("main.pairs")
+    return (F.size(pairs) == F.size(F.array_distinct(pairs["i"]))) & (F.size(pairs) == F.size(F.array_distinct(pairs["d"])))
 
 
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", covered: float = COVERED) -> DataFrame:
     """doc_id, item_id, where the item starts (in words), words covered, words of the item, slots, whether word for word."""
     windows = materialize(benchmark_windows(items, item_key, item_text), "benchmark-windows")
-    lengths = sorted(r[0] for r in windows.select("k").distinct().collect()) or [WINDOW]
-    hashed = windows.withColumn("h", F.coalesce("h", F.xxhash64(F.lit(0))))
-    for k in lengths:
-        if k < WINDOW:
-            hashed = hashed.withColumn("h", F.when(F.col("k") == k, _hash(F.col("t"), F.lit(0), k)).otherwise(F.col("h")))
-    hashed = hashed.select("item_id", "item_words", F.col("k").alias("bk"), F.col("at").alias("item_at"), F.col("h").alias("bh"), F.col("v").alias("item_v"))
-    rows = hashed.count()
-    if rows <= BROADCAST_ROWS:
-        known = hashed.select("bh").distinct().collect()
-        short = windows.select(_hash(F.col("t"), F.lit(0), 3).alias("h")).distinct().collect()
-        full, first = _bitmap([r[0] for r in known]), _bitmap([r[0] for r in short])
-        keep = lambda c, i, k: _set(first, _hash(c, i, 3)) & _set(full, _hash(c, i, k))
+    lengths = sorted(r[0] for r in windows.select("bk").distinct().collect()) or [WINDOW]
+    hashed = windows.drop("prefix")
+    if windows.count() <= BROADCAST_ROWS:
+        first, full = (_bitmap([r[0] for r in windows.select(h).distinct().collect()]) for h in ("prefix", "bh"))
+        keep = (lambda h: _set(first, h)), (lambda h: _set(full, h))
         hashed = F.broadcast(hashed)
     else:
         keep = None
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), plain(F.col(text)).alias("p"))
-    base = base.select("rid", "doc_id", _words(F.col("p")).alias("w"), _words(template(F.col("p"))).alias("c"))
-    met = _spread(base, lengths, keep).join(hashed, (F.col("h") == F.col("bh")) & (F.col("k") == F.col("bk")))
-    pairs = F.transform(
-        F.filter(F.arrays_zip(F.col("item_v").alias("i"), F.col("v").alias("d"), F.col("t").alias("t")), lambda z: z["t"].isin(NAME, NUMBER, UNIT)),
-        lambda z: F.struct(F.lower(z["i"]).alias("i"), F.lower(z["d"]).alias("d")),
-    )
-    same = F.lower(F.array_join("item_v", " ")) == F.lower(F.array_join("v", " "))
-    runs = met.groupBy("rid", "doc_id", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("start")).agg(
-        F.flatten(F.collect_list(F.sequence(F.col("item_at"), F.col("item_at") + F.col("k") - 1))).alias("words"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
-        F.min(same).alias("verbatim"),
-    )
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.i")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.d"))))
-    kept = (
-        runs.withColumn("covered", F.size(F.array_distinct("words")))
-        .where((F.col("covered") >= covered * F.col("item_words")) & one_to_one)
-        .select("rid", "doc_id", "item_id", "item_words", F.struct("covered", -F.col("start"), "verbatim", F.size("pairs").alias("slots")).alias("run"))
-    )
-    best = kept.groupBy("rid", "doc_id", "item_id", "item_words").agg(F.max("run").alias("run"))
-    return best.select("doc_id", "item_id", (-F.col("run.col2")).alias("start"), "run.covered", "item_words", "run.slots", "run.verbatim")
+    met = _document_windows(base, lengths, keep).join(hashed, (F.col("h") == F.col("bh")) & (F.col("k") == F.col("bk")))
+    # a first token of names may be longer or shorter than the item's: what follows it tells the diagonal
+    start = F.when(F.get("item_t", F.lit(0)) == NAME, F.col("next") - F.col("item_next")).otherwise(F.col("at") - F.col("item_at"))
+    ids = ["rid", "doc_id", "item_id", "item_words"]
+    runs = met.groupBy(*ids, start.alias("start")).agg(F.array_distinct(F.flatten(F.collect_list(_seen()))).alias("seen"))
+    # each run goes to two bands, so that any runs less than a width apart meet in one
+    width = F.lit(WINDOW) + F.floor(F.col("item_words") / 4)
+    band = F.floor(F.col("start") / width)
+    runs = runs.withColumn("main", F.struct(F.size(_places(F.col("seen"))).alias("covered"), (-F.col("start")).alias("before"), _slots(F.col("seen")).alias("pairs")))
+    bands = runs.withColumn("band", F.explode(F.array(band - 1, band))).groupBy(*ids, "band").agg(F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.max("main").alias("main"))
+    same = F.filter("seen", lambda o: o["i"] == o["d"])
+    bands = bands.withColumn("covered", F.size(_places(F.col("seen")))).where(F.col("covered") >= covered * F.col("item_words")).withColumn("same", F.array_sort(_places(same)))
+    run = F.struct("covered", F.col("main.before").alias("before"), (F.size("same") == F.col("covered")).alias("verbatim"), F.size("main.pairs").alias("slots"))
+    best = bands.where(_accepted(bands)).groupBy(*ids).agg(F.max(run).alias("run"))
+    return best.select("doc_id", "item_id", (-F.col("run.before")).cast("int").alias("start"), "run.covered", "item_words", "run.slots", "run.verbatim")
