@@ -123,6 +123,17 @@ def test_decontamination_of_edited_copies(spark):
     assert {r["doc_id"] for r in decontam.find(docs_of(spark, texts), items).collect()} == {0, 1, 2, 3}
 
 
+def test_decontamination_of_unequal_slots(spark):
+    question = "If Anna has 12 apples and sells them for 12 dollars while 3 boys eat 5 pears each, how much does Anna earn in the end?"
+    texts = [
+        question.replace("does Anna", "does Bert"),
+        question.replace("12 apples", "7 apples").replace("12 dollars", "9 dollars"),
+        question.replace("3 boys", "4 boys").replace("5 pears", "4 pears"),
+    ]
+    items = spark.createDataFrame([(1, question)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.find(docs_of(spark, texts), items).collect()} == {0, 1, 2}
+
+
 def test_decontamination_whole_table(spark, sf_dir, documents):
     plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
     items = [(r["item_id"], plain(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

@@ -5,8 +5,9 @@ a row one placeholder, the rest goes to lower case. Windows of such tokens of th
 the item (four at least), are joined by hash with those of the documents; a bitmap of fixed size drops nearly all windows
 of a document before any row is made. Matches on one diagonal (position in the document less position in the item) make a
 run; runs on neighbouring diagonals are put together, as inserted and dropped words and longer names shift them: an item is
-found when the windows matched there cover at least half of its words and the values in the slots of its longest run map
-one to one, so that a question with other numbers and names counts and a chance likeness does not.
+found when the windows matched there cover at least half of its words and either three quarters of the places of names map
+one to one, or four fifths of the words covered are the same, or stretches of eight same words cover half of the item. So a
+question with other numbers and names counts and a chance likeness does not; numbers and units may change freely.
 
 All of it is DataFrame functions.
 
@@ -28,6 +29,8 @@ LEAST_WORDS = 4
 #: Tokens of the prefix that the first bitmap looks at; no window is shorter.
 PREFIX = 3
 COVERED = 0.5
+#: Shares of the places of names that must agree, or of the covered words that must be the same.
+CONSISTENT, ALIKE = 0.75, 0.8
 NAME, NUMBER, UNIT = "@", "#", "&"
 UNITS = (
     "mm|cm|dm|m|km|in|inch|inches|ft|foot|feet|yd|yards?|miles?|mg|g|kg|grams?|kilograms?|tons?|tonnes?|oz|ounces?|lb|lbs|pounds?|ml|cl|l|liters?|litres?|gallons?|"
@@ -176,9 +179,34 @@ def _places(seen: Column) -> Column:
     return F.array_distinct(F.transform(seen, lambda o: o["x"]))
 
 
-def _accepted(runs: DataFrame) -> Column:
-    pairs = F.col("main.pairs")
-    return (F.size(pairs) == F.size(F.array_distinct(pairs["i"]))) & (F.size(pairs) == F.size(F.array_distinct(pairs["d"])))
+def _stretches(places: Column) -> Column:
+    """Of sorted places, those in stretches of a whole window."""
+    starts = F.filter(places, lambda x, i: F.get(places, i + (WINDOW - 1)) == x + (WINDOW - 1))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda x: F.sequence(x, x + (WINDOW - 1)))))
+
+
+def _named(seen: Column) -> Column:
+    return F.array_distinct(F.filter(seen, lambda o: (o["t"] == NAME) & o["d"].isNotNull()))
+
+
+def _consistent(bands: DataFrame) -> Column:
+    """Whether most places of names agree with a mapping one to one: of pairs that contradict, the more frequent one
+    holds, then the one of equal values, then the first."""
+
+    def pair(o):
+        here = F.filter("named", lambda p: (p["i"] == o["i"]) & (p["d"] == o["d"]))
+        return F.struct(o["i"].alias("i"), o["d"].alias("d"), F.struct(F.size(here).alias("n"), (o["i"] == o["d"]).alias("same"), (-F.array_min(_places(here))).alias("x")).alias("weight"))
+
+    pairs = F.array_distinct(F.transform("named", pair))
+    beaten = lambda o: F.exists(pairs, lambda p: ((p["i"] == o["i"]) != (p["d"] == o["d"])) & (p["weight"] > o["weight"]))
+    held = F.filter(pairs, lambda o: ~beaten(o))
+    agreeing = F.filter("named", lambda o: F.exists(held, lambda g: (g["i"] == o["i"]) & (g["d"] == o["d"])))
+    return F.size(_places(agreeing)) >= CONSISTENT * F.size(_places(F.col("named")))
+
+
+def _accepted(bands: DataFrame, covered: float) -> Column:
+    alike = (F.size("same") >= ALIKE * F.col("covered")) | (F.size(_stretches(F.col("same"))) >= covered * F.col("item_words"))
+    return alike | _consistent(bands)
 
 
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", covered: float = COVERED) -> DataFrame:
@@ -206,5 +234,6 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     same = F.filter("seen", lambda o: o["i"] == o["d"])
     bands = bands.withColumn("covered", F.size(_places(F.col("seen")))).where(F.col("covered") >= covered * F.col("item_words")).withColumn("same", F.array_sort(_places(same)))
     run = F.struct("covered", F.col("main.before").alias("before"), (F.size("same") == F.col("covered")).alias("verbatim"), F.size("main.pairs").alias("slots"))
-    best = bands.where(_accepted(bands)).groupBy(*ids).agg(F.max(run).alias("run"))
+    bands = bands.withColumn("named", _named(F.col("seen")))
+    best = bands.where(_accepted(bands, covered)).groupBy(*ids).agg(F.max(run).alias("run"))
     return best.select("doc_id", "item_id", (-F.col("run.before")).cast("int").alias("start"), "run.covered", "item_words", "run.slots", "run.verbatim")
