@@ -134,6 +134,14 @@ def test_decontamination_of_unequal_slots(spark):
     assert {r["doc_id"] for r in decontam.find(docs_of(spark, texts), items).collect()} == {0, 1, 2}
 
 
+def test_decontamination_without_literals(spark):
+    items = ["What is 12 times 34 plus 56?", "The Quick Brown Fox Jumps Over Lazy Dogs", "Is 7 prime", "Sum 9", "Zymurgy", " ?! ", "3 4 5 6 7 8 9 10 11 12 13 14"]
+    texts = [f"Well: {t} So it is" for t in items] + ["What is 13 times 35 plus 57? The Slow Red Hen. Is 8 prime. Sum 8. 4 5 6 7 7 3", None]
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find(docs_of(spark, texts), items).collect()}
+    assert got == {(i, i) for i in (0, 1, 2, 3, 4, 6)} | {(7, 0)}
+
+
 def test_decontamination_whole_table(spark, sf_dir, documents):
     plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
     items = [(r["item_id"], plain(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

@@ -11,10 +11,10 @@ question with other numbers and names counts and a chance likeness does not; num
 
 All of it is DataFrame functions.
 
-Defined results: a null or empty text holds nothing. Items of fewer than four words are not searched; an item shorter
-than a window is one window. Windows with fewer than half literal words are not indexed, and
-an item without any other is not searched. Repeated rows each get theirs. Empty tables give an empty result. Extra columns
-are ignored.
+Defined results: a null or empty text holds nothing. Windows with fewer than half literal tokens are not joined by their
+template; items with such windows, and items of fewer than four words, are joined by their exact words in lower case too, so
+that a copy word for word is always found: an item of one word is found wherever that word is. Repeated rows each get
+theirs. Empty tables give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,8 +60,8 @@ def _words(joined: Column) -> Column:
     return F.filter(F.split(joined, " "), lambda w: w != "")
 
 
-def _hash(words: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(*(F.get(words, at + k) for k in range(n)))
+def _hash(words: Column, at: Column, n: int, exact: bool = False) -> Column:
+    return F.xxhash64(*([F.lit(1)] if exact else []), *(F.get(words, at + k) for k in range(n)))
 
 
 def _bitmap(hashes: list[int]) -> Column:
@@ -77,14 +77,15 @@ def _set(bitmap: Column, h: Column) -> Column:
 
 
 def _tokens(df: DataFrame) -> DataFrame:
-    """``p`` becomes w, its words; t, their template with names in a row as one token; s, the word each token starts at."""
+    """``p`` becomes w and l, its words as they are and in lower case; c, their template; t, that with names in a row as one
+    token; s, the word each token starts at."""
     others = [c for c in df.columns if c != "p"]
-    df = df.select(*others, _words(F.col("p")).alias("w"), _words(template(F.col("p"))).alias("c"))
+    df = df.select(*others, _words(F.col("p")).alias("w"), _words(template(F.col("p"))).alias("c"), _words(F.lower("p")).alias("l"))
 
     def first(x, i):
         return (x != NAME) | (i == 0) | (F.get("c", i - 1) != NAME)
 
-    return df.select(*others, "w", F.filter("c", first).alias("t"), F.filter(F.transform("c", lambda x, i: i), lambda i: first(F.get("c", i), i)).alias("s"))
+    return df.select(*others, "w", "l", "c", F.filter("c", first).alias("t"), F.filter(F.transform("c", lambda x, i: i), lambda i: first(F.get("c", i), i)).alias("s"))
 
 
 def _window(i: Column, k: int) -> Column:
@@ -99,22 +100,43 @@ def _window(i: Column, k: int) -> Column:
     )
 
 
+def _exact_window(i: Column, k: int) -> Column:
+    """The window of k words from word i, by the words in lower case."""
+    return F.struct(F.lit(k).alias("k"), i.alias("at"), (i + 1).alias("next"), _hash(F.col("l"), i, k, True).alias("h"), F.slice("l", i + 1, k).alias("v"))
+
+
+def _lengths(n: Column) -> Column:
+    """The lengths of the windows of an item of n tokens."""
+    short = F.least(F.greatest(F.floor(n / 4), F.lit(LEAST_WORDS)), F.lit(WINDOW), n).cast("int")
+    return F.array_distinct(F.array(short, F.least(F.lit(WINDOW), n)))
+
+
 def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """The indexed windows: item_id, item_words, bk, item_at, item_next, bh, item_v, item_t, item_s, opens, closes, prefix."""
+    """The indexed windows: item_id, item_words, exact, bk, item_at, item_next, bh, item_v, item_t, item_s, opens, closes, prefix."""
     base = _tokens(items.select(F.col(key).alias("item_id"), plain(F.col(text)).alias("p")))
-    base = base.withColumn("item_words", F.size("w")).withColumn("n", F.size("t")).where((F.col("item_words") >= LEAST_WORDS) & (F.col("n") >= PREFIX))
-    short = F.least(F.greatest(F.floor(F.col("n") / 4), F.lit(LEAST_WORDS)), F.lit(WINDOW), F.col("n")).cast("int")
-    base = base.withColumn("lengths", F.array_distinct(F.array(short, F.least(F.lit(WINDOW), F.col("n")))))
+    base = base.withColumn("item_words", F.size("w")).withColumn("n", F.size("t"))
+    none = F.array().cast("array<int>")
 
     def of_length(k: int) -> Column:
-        starts = F.when(F.array_contains("lengths", k), F.sequence(F.lit(0), F.col("n") - k)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("i"), _window(i, k).alias("x"), F.slice("t", i + 1, k).alias("t"), F.slice("s", i + 1, k).alias("s")))
-
-    windows = base.select("item_id", "item_words", "n", F.inline(F.concat(*map(of_length, range(PREFIX, WINDOW + 1)))))
-    windows = windows.where(2 * F.size(F.filter("t", lambda x: ~x.isin(NAME, NUMBER, UNIT))) >= F.col("x.k"))
+        used = (F.col("item_words") >= LEAST_WORDS) & (F.col("n") >= k) & F.array_contains(_lengths(F.col("n")), k)
+        starts = F.when(used, F.sequence(F.lit(0), F.col("n") - k)).otherwise(none)
+        return F.transform(starts, lambda i: _indexed(i, _window(i, k), F.slice("t", i + 1, k), F.slice("s", i + 1, k), F.col("n"), _hash(F.col("t"), i, PREFIX), False))
+
+    def of_exact_length(k: int) -> Column:
+        n = F.col("item_words")
+        used = F.col("dense") & (n >= k) & F.array_contains(_lengths(n), k)
+        starts = F.when(used, F.sequence(F.lit(0), n - k)).otherwise(none)
+        return F.transform(starts, lambda i: _indexed(i, _exact_window(i, k), F.slice("c", i + 1, k), F.sequence(i, i + (k - 1)), n, _hash(F.col("l"), i, PREFIX, True) if k >= PREFIX else F.lit(None).cast("long"), True))
+
+    literal = lambda o: 2 * F.size(F.filter(o["t"], lambda x: ~x.isin(NAME, NUMBER, UNIT))) >= o["x"]["k"]
+    base = base.withColumn("all", F.concat(*map(of_length, range(PREFIX, WINDOW + 1))))
+    # columns rather than filters of rows, which would be pushed down with all they are made from
+    base = base.withColumn("dense", (F.size("all") == 0) | F.exists("all", lambda o: ~literal(o)))
+    windows = base.select("item_id", "item_words", F.inline(F.concat(F.filter("all", literal), *map(of_exact_length, range(1, WINDOW + 1)))))
     return windows.select(
         "item_id",
         "item_words",
+        "exact",
         F.col("x.k").alias("bk"),
         F.col("x.at").alias("item_at"),
         F.col("x.next").alias("item_next"),
@@ -122,25 +144,37 @@ def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text"
         F.col("x.v").alias("item_v"),
         F.col("t").alias("item_t"),
         F.col("s").alias("item_s"),
-        (F.col("i") == 0).alias("opens"),
-        (F.col("i") + F.col("x.k") == F.col("n")).alias("closes"),
-        _hash(F.col("t"), F.lit(0), PREFIX).alias("prefix"),
+        "opens",
+        "closes",
+        "prefix",
     )
 
 
-def _document_windows(docs: DataFrame, lengths: list[int], keep) -> DataFrame:
-    """The windows of the documents that ``keep``, two tests of a hash (of the prefix and of the whole), lets pass."""
+def _indexed(i: Column, window: Column, t: Column, s: Column, n: Column, prefix: Column, exact: bool) -> Column:
+    return F.struct(window.alias("x"), t.alias("t"), s.alias("s"), (i == 0).alias("opens"), (i + window["k"] == n).alias("closes"), prefix.alias("prefix"), F.lit(exact).alias("exact"))
+
+
+def _document_windows(docs: DataFrame, lengths: list[tuple[bool, int]], keep) -> DataFrame:
+    """The windows of the documents that ``keep``, two tests of a hash (of the prefix and of the whole), lets pass.
+    ``lengths``: whether exact, and of how many tokens."""
     base = _tokens(docs)
-    places = F.filter(F.transform("t", lambda x, i: i), lambda i: i <= F.size("t") - PREFIX)
-    if keep is not None:
-        places = F.filter(places, lambda i: keep[0](_hash(F.col("t"), i, PREFIX)))
-    base = base.withColumn("places", places)
 
-    def of_length(k: int) -> Column:
-        here = F.filter("places", lambda i: (i <= F.size("t") - k) & (keep[1](_hash(F.col("t"), i, k)) if keep is not None else F.lit(True)))
-        return F.transform(here, lambda i: _window(i, k))
+    def places_of(exact: bool, words: str) -> Column:
+        at = F.transform(words, lambda x, i: i)
+        if keep is None or any(k < PREFIX for e, k in lengths if e == exact):
+            return at
+        return F.filter(at, lambda i: (i <= F.size(words) - PREFIX) & keep[0](_hash(F.col(words), i, PREFIX, exact)))
+
+    for exact, words, places in ((False, "t", "places"), (True, "l", "exact_places")):
+        if any(e == exact for e, _ in lengths):
+            base = base.withColumn(places, places_of(exact, words))
+
+    def of_length(exact: bool, k: int) -> Column:
+        words, places, window = ("l", "exact_places", _exact_window) if exact else ("t", "places", _window)
+        here = F.filter(places, lambda i: (i <= F.size(words) - k) & (keep[1](_hash(F.col(words), i, k, exact)) if keep is not None else F.lit(True)))
+        return F.transform(here, lambda i: window(i, k))
 
-    return base.select("rid", "doc_id", F.inline(F.concat(*map(of_length, lengths))))
+    return base.select("rid", "doc_id", F.inline(F.concat(*(of_length(e, k) for e, k in lengths))))
 
 
 def _seen() -> Column:
@@ -212,10 +246,10 @@ def _accepted(bands: DataFrame, covered: float) -> Column:
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", covered: float = COVERED) -> DataFrame:
     """doc_id, item_id, where the item starts (in words), words covered, words of the item, slots, whether word for word."""
     windows = materialize(benchmark_windows(items, item_key, item_text), "benchmark-windows")
-    lengths = sorted(r[0] for r in windows.select("bk").distinct().collect()) or [WINDOW]
-    hashed = windows.drop("prefix")
+    lengths = sorted((r[0], r[1]) for r in windows.select("exact", "bk").distinct().collect()) or [(False, WINDOW)]
+    hashed = windows.drop("prefix", "exact")
     if windows.count() <= BROADCAST_ROWS:
-        first, full = (_bitmap([r[0] for r in windows.select(h).distinct().collect()]) for h in ("prefix", "bh"))
+        first, full = (_bitmap([r[0] for r in windows.select(h).where(F.col(h).isNotNull()).distinct().collect()]) for h in ("prefix", "bh"))
         keep = (lambda h: _set(first, h)), (lambda h: _set(full, h))
         hashed = F.broadcast(hashed)
     else:
