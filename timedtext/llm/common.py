@@ -25,9 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Where that is unset, one of our own if everything
+    runs in this one process; on a cluster no folder of this machine would do, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set, and on {master} intermediate tables need a folder that the driver and all executors share")
         root = _own_root()
     return root
 
@@ -69,6 +73,31 @@ def release(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+class Scratch:
+    """The intermediate tables of one operator, deleted as soon as its result is written."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        self.made.append(materialize(df, label))
+        return self.made[-1]
+
+    def result(self, df: DataFrame, label: str) -> DataFrame:
+        """The result as a table of its own; nothing reads the others after that."""
+        out = materialize(df, label)
+        for t in self.made:
+            release(t)
+        self.made.clear()
+        return out
+
+
+def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows at most, drawn by a hash of the key; all of them where there are no more."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 48)) < int((1 << 48) * most / n))
+
+
 def number_within(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_bucket: int = 20_000) -> DataFrame:
     """Number the rows of each key 0, 1, 2, ... without gathering a key in one task.
 
