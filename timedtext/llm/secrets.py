@@ -9,7 +9,8 @@ All of it is DataFrame functions. Positions follow from splitting a text at a pa
 the matches themselves alternate, and their lengths add up.
 
 Defined results: a null or empty text has no spans. Repeated rows each get a row. An empty table gives an empty result.
-A weak candidate that overlaps a strong span is not reported. Extra columns are ignored.
+A weak candidate that overlaps a strong span is not reported, and a part is never its own complement: a key within an
+identifier or an endpoint is that one's value. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ WEAK = {
         0,
         0,
     ),
-    "key": (r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}", 0, 0),
+    # some stretch without hyphens and underscores has ten characters, letters and digits among them: build names have none
+    "key": (r"(?<![A-Za-z0-9+/_=.@-])(?=(?:[A-Za-z0-9+/_-]*[_-])?(?=[A-Za-z+/]*[0-9])(?=[0-9+/]*[A-Za-z])[A-Za-z0-9+/]{10,})[A-Za-z0-9+/_-]{16,}={0,2}", 0, 0),
     "endpoint": (
         r"(?:(?<![A-Za-z0-9])(?i:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x20\x09-\x0D\"'<>]+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?(?![\d.])|(?<![A-Za-z0-9])(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}(?::\d+)?)",
         0,
@@ -79,24 +81,31 @@ def written(spans: Column) -> Column:
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """parts: rid, start, order, end. The weak ones that a complementary part within ``scope`` makes reportable.
 
-    Along each document, the furthest end before a part and the nearest start after it, for each role, decide.
+    A weak candidate that overlaps a strong span is no candidate, and a key that overlaps an identifier or an endpoint is
+    that one's value and no key, so no part is its own complement. Along each document, the furthest end before a part and
+    the nearest start after it, for each role, decide.
     """
     order = {k: i for i, k in enumerate(KINDS)}
     is_in = lambda *kinds: F.col("order").isin(*(order[k] for k in kinds))
-    roles = {"strong": is_in(*STRONG), "secret": is_in("assign", "hex", "key"), "part": is_in("access", "ident", "endpoint")}
     along = Window.partitionBy("rid").orderBy("start", "order", "end")
     before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+
+    def nearest(role: Column) -> tuple[Column, Column]:
+        return F.max(F.when(role, F.col("end"))).over(before), F.min(F.when(role, F.col("start"))).over(after)
+
+    def clear_of(rows: DataFrame, role: Column, who: Column) -> DataFrame:
+        """Without those of ``who`` that overlap some part of the role."""
+        left, right = nearest(role)
+        over = F.coalesce(left > F.col("start"), F.lit(False)) | F.coalesce(right < F.col("end"), F.lit(False))
+        return rows.withColumn("over", who & over).where(~F.col("over")).drop("over")
+
+    strong = is_in(*STRONG)
+    apart = clear_of(clear_of(parts, strong, ~strong), is_in("ident", "endpoint"), is_in("key"))
     cols = {}
-    for r, cond in roles.items():
-        cols[f"{r}_end"] = F.max(F.when(cond, F.col("end"))).over(before)
-        cols[f"{r}_start"] = F.min(F.when(cond, F.col("start"))).over(after)
+    for r, role in (("secret", is_in("assign", "hex", "key")), ("part", is_in("access", "ident", "endpoint"))):
+        cols[f"{r}_end"], cols[f"{r}_start"] = nearest(role)
     near = lambda r: F.coalesce(F.col("start") - F.col(f"{r}_end") <= scope, F.lit(False)) | F.coalesce(F.col(f"{r}_start") - F.col("end") <= scope, F.lit(False))
-    overlaps = F.coalesce(F.col("strong_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("strong_start") < F.col("end"), F.lit(False))
-    return (
-        parts.withColumns(cols)
-        .where(~roles["strong"] & ~overlaps & F.when(is_in("key"), near("part")).otherwise(near("secret")))
-        .select("rid", "start", "order", "end")
-    )
+    return apart.withColumns(cols).where(~strong & F.when(is_in("key"), near("part")).otherwise(near("secret"))).select("rid", "start", "order", "end")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
