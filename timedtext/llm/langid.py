@@ -1,16 +1,22 @@
 """Language identification by word-first backoff.
 
-A word known from training scores by its log frequency in each language. An unseen word falls back to its
-character 4-grams, those unknown to their 3-grams, and so on down to single letters. Word scores add up over the
-whole text.
+A word known from training scores by its log frequency in each language. An unseen word falls back to its character
+4-grams, those unknown to their 3-grams, and so on down to single letters; the mean over its longest known grams counts.
+Word scores add up over the whole text. Words of a text are not independent, so the evidence for the best language
+grows with the square root of their number: the score is the posterior for the sum divided by that root. It tells mixed
+texts from plain ones at any length.
 
-Defined results: a null, empty or letterless text is ``und`` with score 0. Ties between languages go to the
-alphabetically first. Repeated rows each get their own row. With no training rows every text is ``und``. Columns of
-the input other than the id and the text pass through untouched when ``keep`` is set.
+A word or gram has an entry only for the languages it was seen in, so the model's size follows the vocabulary and not the
+number of languages.
+
+Defined results: a null, empty or letterless text is ``und`` with score 0; letters are what Unicode calls alphabetic, so
+digits, fractions and circled numbers are none. Ties between languages go to the alphabetically first. Repeated rows each
+get their own row. With no training rows every text is ``und``. Other columns pass through; one named like a new one is
+replaced.
 """
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,145 +24,240 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import give_back, received, send, tidy
+from timedtext.llm.common import give_back, materialize, received, release, sampled, send, tidy
+
+
+def _letters() -> str:
+    """A class of the alphabetic characters: word characters but for the digits and the other numbers."""
+    numbers, spans = [c for c in range(128, 0x110000) if chr(c).isalnum() and not chr(c).isalpha()], []
+    for c in numbers:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return rf"[^\W\d_{''.join(f'{chr(a)}-{chr(b)}' for a, b in spans)}]"
+
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(f"{_letters()}+")
 GRAMS = (4, 3, 2, 1)
+#: Characters of a text that are taken apart at once, words of a chunk, and sums held for its texts.
+PIECE, CHUNK, CELLS = 1_000_000, 100_000, 2_000_000
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def grams_of(word: str, n: int) -> list[str]:
+    if n == 1:
+        return list(word)
+    w = f"^{word}$"
+    return [w[i : i + n] for i in range(len(w) - n + 1)]
+
+
+def pieces_of(text: str) -> Iterator[list[str]]:
+    """The words of a text, a bounded number of characters at a time."""
+    start = 0
+    while start < len(text):
+        end = start + PIECE
+        while end < len(text) and text[end - 1].isalpha() and text[end].isalpha():
+            end += 1
+        yield words_of(text[start:end])
+        start = end
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of stretches of the given sizes, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
+class Units:
+    """Words, or grams of one length: for each its languages and how much more than an unseen one it counts there."""
+
+    def __init__(self, counts: list[dict[str, int]], unseen: float, most: int | None = None):
+        """counts: unit -> count for each language. ``most``: units kept, by their greatest share in any language."""
+        if most is not None and len(set().union(*counts)) > most:
+            best: dict[str, float] = {}
+            for found in counts:
+                total = sum(found.values())
+                for u, n in found.items():
+                    best[u] = max(best.get(u, 0.0), n / total)
+            kept = set(sorted(best, key=lambda u: (-best[u], u))[:most])
+            counts = [{u: n for u, n in found.items() if u in kept} for found in counts]
+        self.at = {u: i for i, u in enumerate(sorted(set().union(*counts)))}
+        unit = np.fromiter((self.at[u] for found in counts for u in found), np.int64)
+        lang = np.repeat(np.arange(len(counts), dtype=np.int32), [len(found) for found in counts])
+        n = np.fromiter((n for found in counts for n in found.values()), float)
+        order = np.argsort(unit, kind="stable")
+        self.lang, self.more = lang[order], (np.log(n + unseen) - np.log(unseen))[order]
+        self.start = np.searchsorted(unit[order], np.arange(len(self.at) + 1))
+        totals = np.bincount(lang, weights=n, minlength=len(counts)) + unseen * len(self.at)
+        self.base = np.log(unseen) - np.log(np.maximum(totals, unseen))
+
+
 class Backoff:
     """Log frequencies by language for words and character n-grams."""
 
     def __init__(self, counts: dict[str, dict[str, int]], max_grams: int = 60_000, unseen: float = 0.5):
         """counts: language -> word -> count."""
         self.langs = sorted(counts)
-        n_langs = len(self.langs)
-        vocabulary = sorted(set().union(*counts.values())) if counts else []
-        # for each kind of unit its row in a table of log frequencies
-        self.words, self.word_rows = self._table({w: [counts[x].get(w, 0) for x in self.langs] for w in vocabulary}, unseen)
-        self.grams = {}
-        for n in GRAMS:
-            found: dict[str, list[int]] = defaultdict(lambda: [0] * n_langs)
-            for w in vocabulary:
-                for g in grams_of(w, n):
-                    row = found[g]
-                    for k, x in enumerate(self.langs):
-                        row[k] += counts[x].get(w, 0)
-            top = sorted(found, key=lambda g: (-sum(found[g]), g))[:max_grams]
-            self.grams[n] = self._table({g: found[g] for g in top}, unseen)
-
-    def _table(self, rows: dict[str, list[int]], unseen: float) -> tuple[dict[str, int], np.ndarray]:
-        if not rows:
-            return {}, np.zeros((0, len(self.langs)))
-        m = np.array(list(rows.values()), float) + unseen
-        return {w: i for i, w in enumerate(rows)}, np.log(m) - np.log(m.sum(axis=0))
-
-    def rows_of(self, words: list[str]) -> np.ndarray:
-        """The log frequencies of distinct words: their own, else the mean over their longest known n-grams, else zeros."""
-        out = np.zeros((len(words), len(self.langs)))
-        rest = []
-        for i, w in enumerate(words):
-            k = self.words.get(w)
-            if k is None:
-                rest.append(i)
-            else:
-                out[i] = self.word_rows[k]
+        found = [counts[x] for x in self.langs]
+        self.levels = [Units(found, unseen)]
         for n in GRAMS:
-            names, table = self.grams[n]
-            at, cut, done, left = [], [0], [], []
+            grams = [Counter() for _ in found]
+            for into, words in zip(grams, found):
+                for w, k in words.items():
+                    for g in grams_of(w, n):
+                        into[g] += k
+            self.levels.append(Units(grams, unseen, max_grams))
+        # the last level: a word none of whose letters is known says nothing
+        self.bases = np.array([*(u.base for u in self.levels), np.zeros(len(self.langs))])
+
+    def rows_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words: the level that knows each, how many entries it has, and their languages and values."""
+        level = np.full(len(words), len(self.levels))
+        made = []
+        rest = range(len(words))
+        for k, units in enumerate(self.levels):
+            who, at, left = [], [], []
             for i in rest:
-                known = [k for g in grams_of(words[i], n) if (k := names.get(g)) is not None]
+                known = [u for g in ([words[i]] if k == 0 else grams_of(words[i], GRAMS[k - 1])) if (u := units.at.get(g)) is not None]
                 if known:
-                    at += known
-                    cut.append(len(at))
-                    done.append(i)
+                    who.append(i)
+                    at.append(known)
                 else:
                     left.append(i)
-            if done:
-                out[done] = np.add.reduceat(table[at], cut[:-1], axis=0) / np.diff(cut)[:, None]
             rest = left
-        return out
+            if who:
+                level[who] = k
+                grams = np.array([len(x) for x in at])
+                flat = np.array([u for x in at for u in x])
+                sizes = units.start[flat + 1] - units.start[flat]
+                entry = _spread(units.start[flat], sizes)
+                # the mean over the grams of a word
+                cell = np.repeat(np.repeat(np.array(who), grams), sizes) * len(self.langs) + units.lang[entry]
+                cells, inverse = np.unique(cell, return_inverse=True)
+                value = np.bincount(inverse, weights=units.more[entry] / np.repeat(np.repeat(grams, grams), sizes))
+                made.append((cells, value))
+        cells, values = (np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, np.int64), np.zeros(0))
+        order = np.argsort(cells, kind="stable")
+        owner, lang = np.divmod(cells[order], max(len(self.langs), 1))
+        return level, np.bincount(owner, minlength=len(words)), lang.astype(np.int32), values[order]
 
-    def scorer(self, max_cached: int = 100_000, chunk: int = 100_000):
+    def scorer(self, max_cached: int = 100_000):
         """texts -> languages and scores; words met before keep their row in a bounded cache."""
         cache: dict[str, int] = {}
-        table = np.zeros((0, len(self.langs)))
+        empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
+        levels, sizes, langs, values = empty
+        n_langs = len(self.langs)
+
+        def sums(held: list[list[str]]) -> np.ndarray:
+            nonlocal levels, sizes, langs, values
+            flat = [w for ws in held for w in ws]
+            new = list(dict.fromkeys(w for w in flat if w not in cache))
+            if new:
+                if len(cache) > max_cached:
+                    cache.clear()
+                    levels, sizes, langs, values = empty
+                    new = list(dict.fromkeys(flat))
+                cache.update(zip(new, range(len(cache), len(cache) + len(new))))
+                levels, sizes, langs, values = (np.concatenate(x) for x in zip((levels, sizes, langs, values), self.rows_of(new)))
+            doc = np.repeat(np.arange(len(held)), [len(ws) for ws in held])
+            at = np.fromiter((cache[w] for w in flat), np.int64, len(flat))
+            starts = np.cumsum(sizes) - sizes
+            entry = _spread(starts[at], sizes[at])
+            cell = np.repeat(doc, sizes[at]) * n_langs + langs[entry]
+            total = np.bincount(cell, weights=values[entry], minlength=len(held) * n_langs).astype(float).reshape(len(held), n_langs)
+            used = np.bincount(doc * len(self.bases) + levels[at], minlength=len(held) * len(self.bases)).reshape(len(held), -1)
+            for k, base in enumerate(self.bases):
+                total += used[:, k, None] * base
+            return total
 
         def score(texts: list[str | None]) -> tuple[list[str], list[float]]:
-            nonlocal table
-            names, scores = [], []
-            k = 0
-            while k < len(texts):
-                # as many texts as make a chunk of words, one at least
-                held: list[list[str]] = []
-                size = 0
-                while k < len(texts) and (not held or size < chunk):
-                    held.append(words_of(texts[k]) if texts[k] and self.langs else [])
-                    size += len(held[-1])
-                    k += 1
-                flat = [w for ws in held for w in ws]
-                new = list(dict.fromkeys(w for w in flat if w not in cache))
-                if new:
-                    if len(cache) > max_cached:
-                        cache.clear()
-                        table = table[:0]
-                        new = list(dict.fromkeys(flat))
-                    cache.update(zip(new, range(len(cache), len(cache) + len(new))))
-                    table = np.concatenate([table, self.rows_of(new)])
-                cut = np.cumsum([0, *map(len, held)])
-                sums = np.zeros((len(held), len(self.langs)))
-                some = np.flatnonzero(np.diff(cut))
-                if len(some):
-                    sums[some] = np.add.reduceat(table[[cache[w] for w in flat]], cut[some], axis=0)
-                for total, ws in zip(sums, held):
-                    if ws:
-                        best = int(total.argmax())
-                        names.append(self.langs[best])
-                        scores.append(float(1 / np.exp(np.clip(total - total[best], -60, 0)).sum()))
-                    else:
-                        names.append("und")
-                        scores.append(0.0)
-            return names, scores
+            names: list[str] = []
+            scores: list[float] = []
 
-        return score
+            def done(totals: np.ndarray, words: list[int]) -> None:
+                best = totals.argmax(axis=1)
+                gap = (totals - totals[np.arange(len(best)), best][:, None]) / np.sqrt(np.maximum(words, 1))[:, None]
+                share = 1 / np.exp(np.clip(gap, -60, 0)).sum(axis=1)
+                for b, s, n in zip(best, share, words):
+                    names.append(self.langs[b] if n else "und")
+                    scores.append(float(s) if n else 0.0)
 
+            held: list[list[str]] = []
+            size = 0
+            for text in texts:
+                if not n_langs:
+                    names.append("und")
+                    scores.append(0.0)
+                    continue
+                if text and len(text) > PIECE:
+                    # by itself, piece by piece
+                    if held:
+                        done(sums(held), [len(x) for x in held])
+                        held, size = [], 0
+                    total, n = np.zeros((1, n_langs)), 0
+                    for words in pieces_of(text):
+                        total += sums([words])
+                        n += len(words)
+                    done(total, [n])
+                    continue
+                held.append(words_of(text) if text else [])
+                size += len(held[-1])
+                if size >= CHUNK or len(held) * n_langs >= CELLS:
+                    done(sums(held), [len(x) for x in held])
+                    held, size = [], 0
+            if held:
+                done(sums(held), [len(x) for x in held])
+            return names, scores
 
-def grams_of(word: str, n: int) -> list[str]:
-    if n == 1:
-        return list(word)
-    w = f"^{word}$"
-    return [w[i : i + n] for i in range(len(w) - n + 1)]
+        return score
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 20_000, max_words: int = 60_000) -> Backoff:
-    """Learn from at most about ``max_docs`` labelled rows, drawn by a hash of the id; the ``max_words`` most
-    frequent words are kept, so the model has a fixed bound."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = rows.select(lang).count()
-    if n > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < int(1_000_003 * max_docs / n))
+    """Learn from at most about ``max_docs`` labelled rows, drawn by a hash of the id. Every language keeps its most
+    frequent words: its part of ``max_words``, 50 at least, and fewer where equally frequent words would pass that; words
+    beyond it are left to their grams. So the model has a fixed bound."""
+    rows = sampled(labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), key, max_docs)
 
     def counted(batches):
         found: Counter = Counter()
         for pdf in batches:
             for text_, lang_ in zip(pdf["text"], pdf["lang"]):
-                found.update((lang_, w) for w in words_of(text_))
-            if len(found) > 500_000:
-                yield _frame(found)
-                found.clear()
+                found[(lang_, "")] += 0
+                for words in pieces_of(text_):
+                    found.update((lang_, w) for w in words)
+                if len(found) > 500_000:
+                    yield _frame(found)
+                    found.clear()
         yield _frame(found)
 
     counts = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInPandas(tidy(counted), "lang string, word string, n long")
-    by_word = counts.groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    top = by_word.where("n > 1").orderBy(F.desc("n"), "word", "lang").limit(max_words).collect()
-    learned: dict[str, dict[str, int]] = {r[0]: {} for r in rows.select(lang).distinct().limit(1_000).collect()}
-    for r in top:
-        learned[r["lang"]][r["word"]] = r["n"]
-    del top
+    by_word = materialize(counts.groupBy("word", "lang").agg(F.sum("n").alias("n")), "words")
+    # how many words of each language come how often; from there its least frequent level that fits the quota
+    levels: dict[str, list] = {r["lang"]: [] for r in by_word.where("n = 0").collect()}
+    for r in by_word.where("n > 0").groupBy("lang", "n").agg(F.count("*").alias("words")).collect():
+        levels[r["lang"]].append((r["n"], r["words"]))
+    quota = max(50, max_words // max(len(levels), 1))
+    least = []
+    for name, found in levels.items():
+        room, low = quota, None
+        for n, words in sorted(found, reverse=True):
+            room -= words
+            if room < 0:
+                break
+            low = n
+        if low is not None:
+            least.append((name, low))
+    learned: dict[str, dict[str, int]] = {name: {} for name in levels}
+    if least:
+        limits = labelled.sparkSession.createDataFrame(least, "lang string, low long")
+        # one row for each language learned, at most max_docs
+        for r in by_word.join(F.broadcast(limits), "lang").where("n >= low").select("lang", "word", "n").collect():
+            learned[r["lang"]][r["word"]] = r["n"]
+    release(by_word)
     model = Backoff(learned)
     give_back()
     return model
@@ -167,7 +268,7 @@ def _frame(found: Counter) -> pd.DataFrame:
 
 
 def predict(docs: DataFrame, model: Backoff, text: str = "text", out: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """Add the predicted language and its posterior (0 to 1) to every row."""
+    """Add the predicted language and its score (0 to 1) to every row."""
     sent = send(docs.sparkSession, model)
 
     @F.pandas_udf("struct<lang:string,score:double>")
