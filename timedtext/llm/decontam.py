@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are runs of letters and digits. Numbers, names (words in title case) and units become typed placeholders, names in
-a row one placeholder, the rest goes to lower case. Windows of such tokens of the benchmark, of eight and of a quarter of
-the item (four at least), are joined by hash with those of the documents; a bitmap of fixed size drops nearly all windows
-of a document before any row is made. Matches on one diagonal (position in the document less position in the item) make a
+Words are runs of letters and digits. Numbers (as digits or words), names (words in title case) and units become typed
+placeholders, names or numbers in a row one placeholder, the rest goes to lower case. Windows of such tokens of the benchmark, of eight and of a quarter of
+the item (four at least), are joined by hash with those of the documents; bitmaps sized to the benchmark drop nearly all
+windows of a document before any row is made. Matches on one diagonal (position in the document less position in the item) make a
 run; runs on neighbouring diagonals are put together, as inserted and dropped words and longer names shift them: an item is
 found when the windows matched there cover at least half of its words and either three quarters of the places of names map
 one to one, or four fifths of the words covered are the same, or stretches of eight same words cover half of the item. So a
@@ -19,6 +19,9 @@ theirs. Empty tables give an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,8 @@ from timedtext.llm.common import materialize
 
 WINDOW = 8
 LEAST_WORDS = 4
-#: Tokens of the prefix that the first bitmap looks at; no window is shorter.
-PREFIX = 3
+#: Tokens of the shortest template.
+SHORTEST = 3
 COVERED = 0.5
 #: Shares of the places of names that must agree, or of the covered words that must be the same.
 CONSISTENT, ALIKE = 0.75, 0.8
@@ -37,23 +40,28 @@ UNITS = (
     "ms|s|sec|secs|seconds?|min|mins|minutes?|h|hr|hrs|hours?|days?|weeks?|months?|years?|meters?|metres?|kilometers?|kilometres?|centimeters?|centimetres?|"
     "dollars?|cents?|euros?|usd|eur|gbp|percent|degrees?|kmh|mph|watts?|kw|volts?|bytes?|kb|mb|gb|tb"
 )
-#: Slots of the bitmaps and rows up to which the benchmark's windows are broadcast.
-BITS = 1 << 18
-BROADCAST_ROWS = 400_000
+#: Numbers as words; "one" is more often a pronoun.
+NUMBER_WORDS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty|hundred|thousand|million|billion"
+#: Slots of a bitmap for each window in it, the fewest and the most; beyond that the benchmark is taken in blocks.
+SLOTS, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 18, 1 << 25
+#: Rows up to which the benchmark's windows are broadcast (about 100 MB); beyond, both sides are shuffled, a frequent window
+#: to as many tasks as there are salts.
+BROADCAST_ROWS, SALTS = 400_000, 16
 
 
 def plain(text: Column) -> Column:
-    """Words joined by single spaces: separators inside numbers go, digits and letters part."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\d)[.,:/](?=\d)", "")
-    parted = F.regexp_replace(joined, r"(?<=\d)(?=\p{L})|(?<=\p{L})(?=\d)", " ")
-    return F.trim(F.regexp_replace(parted, r"[^\p{L}\p{N}]+", " "))
+    """Words joined by single spaces: separators inside numbers go, digits and letters part. Each pattern begins with what
+    is rare, so that most places of a text are passed at one look."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.,:/](?<=\d.)(?=\d)", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(\d)(?=\p{L})", "$1 "), r"(\d)(?<=\p{L}\d)", " $1")
+    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
 def template(words: Column) -> Column:
-    """The canonical form of ``plain`` text, word for word."""
-    named = F.regexp_replace(words, r"(?<![^ ])\p{Lu}\p{Ll}*(?![^ ])", NAME)
-    numbered = F.regexp_replace(named, r"(?<![^ ])\p{N}+(?![^ ])", NUMBER)
-    return F.regexp_replace(F.lower(numbered), rf"(?<![^ ])(?:{UNITS})(?![^ ])", UNIT)
+    """The canonical form of ``plain`` text, word for word. Patterns begin with the space before a word."""
+    named = F.regexp_replace(F.concat(F.lit(" "), words), r" \p{Lu}\p{Ll}*(?![^ ])", f" {NAME}")
+    numbered = F.regexp_replace(F.lower(named), rf" (?:\p{{N}}+|{NUMBER_WORDS})(?![^ ])", f" {NUMBER}")
+    return F.ltrim(F.regexp_replace(numbered, rf" (?:{UNITS})(?![^ ])", f" {UNIT}"))
 
 
 def _words(joined: Column) -> Column:
@@ -64,40 +72,43 @@ def _hash(words: Column, at: Column, n: int, exact: bool = False) -> Column:
     return F.xxhash64(*([F.lit(1)] if exact else []), *(F.get(words, at + k) for k in range(n)))
 
 
-def _bitmap(hashes: list[int]) -> Column:
-    """A literal with one byte for each slot; a slot is set if some hash falls there."""
-    out = bytearray(BITS)
-    for h in hashes:
-        out[h % BITS] = 1
-    return F.lit(bytes(out))
+def _bitmap(hashes: DataFrame, slots: int):
+    """A test of a hash against a literal with one byte for each slot; a slot is set if some hash falls there."""
+    out = np.zeros(slots, np.uint8)
+    out[hashes.toArrow().column(0).drop_null().to_numpy() & (slots - 1)] = 1
+    bitmap = F.lit(out.tobytes())
+    return lambda h: F.substring(bitmap, (h.bitwiseAND(F.lit(slots - 1)) + 1).cast("int"), 1) == F.lit(b"\x01")
+
+
+def _collapsed(c: Column) -> Column:
+    """A template with names in a row and numbers in a row as one token each."""
+    return F.regexp_replace(c, rf"([{NAME}{NUMBER}])(?: \1)+", "$1")
 
 
-def _set(bitmap: Column, h: Column) -> Column:
-    return F.substring(bitmap, (F.pmod(h, F.lit(BITS)) + 1).cast("int"), 1) == F.lit(b"\x01")
+def _starts() -> Column:
+    """The word that each token of the template ``c`` starts at."""
+    first = lambda i: ~F.get("c", i).isin(NAME, NUMBER) | (i == 0) | (F.get("c", i - 1) != F.get("c", i))
+    return F.filter(F.transform("c", lambda x, i: i), first)
 
 
 def _tokens(df: DataFrame) -> DataFrame:
-    """``p`` becomes w and l, its words as they are and in lower case; c, their template; t, that with names in a row as one
-    token; s, the word each token starts at."""
+    """``p`` becomes w and l, its words as they are and in lower case; c, their template; t, its tokens; s, the word each
+    token starts at."""
     others = [c for c in df.columns if c != "p"]
-    df = df.select(*others, _words(F.col("p")).alias("w"), _words(template(F.col("p"))).alias("c"), _words(F.lower("p")).alias("l"))
+    df = df.withColumn("c", template(F.col("p")))
+    df = df.select(*others, _words(F.col("p")).alias("w"), _words(F.lower("p")).alias("l"), _words(F.col("c")).alias("c"), _words(_collapsed(F.col("c"))).alias("t"))
+    return df.withColumn("s", _starts())
 
-    def first(x, i):
-        return (x != NAME) | (i == 0) | (F.get("c", i - 1) != NAME)
 
-    return df.select(*others, "w", "l", "c", F.filter("c", first).alias("t"), F.filter(F.transform("c", lambda x, i: i), lambda i: first(F.get("c", i), i)).alias("s"))
+def _values(i: Column, k: Column | int) -> Column:
+    """The words in lower case that the k tokens from token i stand for."""
+    value = lambda j: F.lower(F.array_join(F.slice("w", F.get("s", j) + 1, F.coalesce(F.get("s", j + 1), F.size("w")) - F.get("s", j)), " "))
+    return F.transform(F.sequence(i, i + (k - 1)), value)
 
 
 def _window(i: Column, k: int) -> Column:
     """The window of k tokens from token i: where it and its second token start, hash and values."""
-    value = lambda j: F.lower(F.array_join(F.slice("w", F.get("s", j) + 1, F.coalesce(F.get("s", j + 1), F.size("w")) - F.get("s", j)), " "))
-    return F.struct(
-        F.lit(k).alias("k"),
-        F.get("s", i).alias("at"),
-        F.get("s", i + 1).alias("next"),
-        _hash(F.col("t"), i, k).alias("h"),
-        F.transform(F.sequence(i, i + (k - 1)), value).alias("v"),
-    )
+    return F.struct(F.lit(k).alias("k"), F.get("s", i).alias("at"), F.get("s", i + 1).alias("next"), _hash(F.col("t"), i, k).alias("h"), _values(i, k).alias("v"))
 
 
 def _exact_window(i: Column, k: int) -> Column:
@@ -112,7 +123,7 @@ def _lengths(n: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """The indexed windows: item_id, item_words, exact, bk, item_at, item_next, bh, item_v, item_t, item_s, opens, closes, prefix."""
+    """The indexed windows: item_id, item_words, exact, bk, item_at, item_next, bh, item_v, item_t, item_s, opens, closes."""
     base = _tokens(items.select(F.col(key).alias("item_id"), plain(F.col(text)).alias("p")))
     base = base.withColumn("item_words", F.size("w")).withColumn("n", F.size("t"))
     none = F.array().cast("array<int>")
@@ -120,16 +131,16 @@ def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text"
     def of_length(k: int) -> Column:
         used = (F.col("item_words") >= LEAST_WORDS) & (F.col("n") >= k) & F.array_contains(_lengths(F.col("n")), k)
         starts = F.when(used, F.sequence(F.lit(0), F.col("n") - k)).otherwise(none)
-        return F.transform(starts, lambda i: _indexed(i, _window(i, k), F.slice("t", i + 1, k), F.slice("s", i + 1, k), F.col("n"), _hash(F.col("t"), i, PREFIX), False))
+        return F.transform(starts, lambda i: _indexed(i, _window(i, k), F.slice("t", i + 1, k), F.slice("s", i + 1, k), F.col("n"), False))
 
     def of_exact_length(k: int) -> Column:
         n = F.col("item_words")
         used = F.col("dense") & (n >= k) & F.array_contains(_lengths(n), k)
         starts = F.when(used, F.sequence(F.lit(0), n - k)).otherwise(none)
-        return F.transform(starts, lambda i: _indexed(i, _exact_window(i, k), F.slice("c", i + 1, k), F.sequence(i, i + (k - 1)), n, _hash(F.col("l"), i, PREFIX, True) if k >= PREFIX else F.lit(None).cast("long"), True))
+        return F.transform(starts, lambda i: _indexed(i, _exact_window(i, k), F.slice("c", i + 1, k), F.sequence(i, i + (k - 1)), n, True))
 
     literal = lambda o: 2 * F.size(F.filter(o["t"], lambda x: ~x.isin(NAME, NUMBER, UNIT))) >= o["x"]["k"]
-    base = base.withColumn("all", F.concat(*map(of_length, range(PREFIX, WINDOW + 1))))
+    base = base.withColumn("all", F.concat(*map(of_length, range(SHORTEST, WINDOW + 1))))
     # columns rather than filters of rows, which would be pushed down with all they are made from
     base = base.withColumn("dense", (F.size("all") == 0) | F.exists("all", lambda o: ~literal(o)))
     windows = base.select("item_id", "item_words", F.inline(F.concat(F.filter("all", literal), *map(of_exact_length, range(1, WINDOW + 1)))))
@@ -146,35 +157,55 @@ def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text"
         F.col("s").alias("item_s"),
         "opens",
         "closes",
-        "prefix",
     )
 
 
-def _indexed(i: Column, window: Column, t: Column, s: Column, n: Column, prefix: Column, exact: bool) -> Column:
-    return F.struct(window.alias("x"), t.alias("t"), s.alias("s"), (i == 0).alias("opens"), (i + window["k"] == n).alias("closes"), prefix.alias("prefix"), F.lit(exact).alias("exact"))
+def _indexed(i: Column, window: Column, t: Column, s: Column, n: Column, exact: bool) -> Column:
+    return F.struct(window.alias("x"), t.alias("t"), s.alias("s"), (i == 0).alias("opens"), (i + window["k"] == n).alias("closes"), F.lit(exact).alias("exact"))
+
+
+def _prefix(lengths: list[tuple[bool, int]], exact: bool) -> int:
+    """How many tokens the first bitmap looks at: windows by words are few, so two tell enough."""
+    return min(2 if exact else SHORTEST, *(k for e, k in lengths if e == exact))
 
 
 def _document_windows(docs: DataFrame, lengths: list[tuple[bool, int]], keep) -> DataFrame:
-    """The windows of the documents that ``keep``, two tests of a hash (of the prefix and of the whole), lets pass.
-    ``lengths``: whether exact, and of how many tokens."""
-    base = _tokens(docs)
+    """The windows of the documents (rid, doc_id, p) that ``keep``, two tests of a hash (of the prefix and of the whole),
+    lets pass. ``lengths``: whether exact, and of how many tokens. Only documents with such windows pay for their values."""
+    none = F.array().cast("array<int>")
+    base = docs.withColumn("tc", template(F.col("p")))
+    base = base.select("*", _words(_collapsed(F.col("tc"))).alias("t"), _words(F.lower("p")).alias("l"))
 
     def places_of(exact: bool, words: str) -> Column:
-        at = F.transform(words, lambda x, i: i)
-        if keep is None or any(k < PREFIX for e, k in lengths if e == exact):
-            return at
-        return F.filter(at, lambda i: (i <= F.size(words) - PREFIX) & keep[0](_hash(F.col(words), i, PREFIX, exact)))
+        least = min(k for e, k in lengths if e == exact)
+        at = F.when(F.size(words) >= least, F.sequence(F.lit(0), F.size(words) - least)).otherwise(none)
+        return F.filter(at, lambda i: keep[0](_hash(F.col(words), i, _prefix(lengths, exact), exact)))
 
-    for exact, words, places in ((False, "t", "places"), (True, "l", "exact_places")):
-        if any(e == exact for e, _ in lengths):
-            base = base.withColumn(places, places_of(exact, words))
+    sides = [(e, words, places) for e, words, places in ((False, "t", "places"), (True, "l", "exact_places")) if any(x == e for x, _ in lengths)]
+    for exact, words, places in sides:
+        base = base.withColumn(places, places_of(exact, words))
 
     def of_length(exact: bool, k: int) -> Column:
-        words, places, window = ("l", "exact_places", _exact_window) if exact else ("t", "places", _window)
-        here = F.filter(places, lambda i: (i <= F.size(words) - k) & (keep[1](_hash(F.col(words), i, k, exact)) if keep is not None else F.lit(True)))
-        return F.transform(here, lambda i: window(i, k))
-
-    return base.select("rid", "doc_id", F.inline(F.concat(*(of_length(e, k) for e, k in lengths))))
+        words, places = next((w, p) for e, w, p in sides if e == exact)
+        hashed = lambda i: _hash(F.col(words), i, k, exact)
+        here = F.filter(places, lambda i: (i <= F.size(words) - k) & keep[1](hashed(i)))
+        return F.transform(here, lambda i: F.struct(F.lit(exact).alias("exact"), F.lit(k).alias("k"), i.alias("i"), hashed(i).alias("h")))
+
+    found = base.withColumn("found", F.concat(*(of_length(e, k) for e, k in lengths))).drop(*(p for _, _, p in sides), "t")
+    # columns that are null rather than a filter of rows, which would be pushed down with all it is made from
+    some = lambda c: F.when(F.size("found") > 0, c)
+    full = found.select("rid", "doc_id", "l", "found", some(_words(F.col("p"))).alias("w"), some(_words(F.col("tc"))).alias("c")).withColumn("s", some(_starts()))
+    shown = F.transform(
+        "found",
+        lambda x: F.struct(
+            x["k"].alias("k"),
+            F.when(x["exact"], x["i"]).otherwise(F.get("s", x["i"])).alias("at"),
+            F.when(x["exact"], x["i"] + 1).otherwise(F.get("s", x["i"] + 1)).alias("next"),
+            x["h"].alias("h"),
+            F.when(x["exact"], F.slice("l", x["i"] + 1, x["k"])).otherwise(_values(x["i"], x["k"])).alias("v"),
+        ),
+    )
+    return full.select("rid", "doc_id", F.inline(some(shown)))
 
 
 def _seen() -> Column:
@@ -243,19 +274,31 @@ def _accepted(bands: DataFrame, covered: float) -> Column:
     return alike | _consistent(bands)
 
 
+def _met(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
+    """The windows of documents that equal one of the about ``n`` benchmark windows, each with it."""
+    lengths = sorted((r[0], r[1]) for r in windows.select("exact", "bk").distinct().collect()) or [(False, WINDOW)]
+    slots = min(max(LEAST_SLOTS, 1 << (SLOTS * n).bit_length()), MOST_SLOTS)
+    prefix = F.lit(None).cast("long")
+    for exact, words in ((False, "item_t"), (True, "item_v")):
+        if any(e == exact for e, _ in lengths):
+            prefix = F.when(F.col("exact") == exact, _hash(F.col(words), F.lit(0), _prefix(lengths, exact), exact)).otherwise(prefix)
+    here = _document_windows(docs, lengths, [_bitmap(windows.select(h), slots) for h in (prefix, "bh")])
+    same = (F.col("h") == F.col("bh")) & (F.col("k") == F.col("bk"))
+    hashed = windows.drop("exact")
+    if n <= BROADCAST_ROWS:
+        return here.join(F.broadcast(hashed), same)
+    salted = hashed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return here.withColumn("own", F.pmod(F.xxhash64("rid", "at"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("own") == F.col("salt"))).drop("own", "salt")
+
+
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", covered: float = COVERED) -> DataFrame:
     """doc_id, item_id, where the item starts (in words), words covered, words of the item, slots, whether word for word."""
     windows = materialize(benchmark_windows(items, item_key, item_text), "benchmark-windows")
-    lengths = sorted((r[0], r[1]) for r in windows.select("exact", "bk").distinct().collect()) or [(False, WINDOW)]
-    hashed = windows.drop("prefix", "exact")
-    if windows.count() <= BROADCAST_ROWS:
-        first, full = (_bitmap([r[0] for r in windows.select(h).where(F.col(h).isNotNull()).distinct().collect()]) for h in ("prefix", "bh"))
-        keep = (lambda h: _set(first, h)), (lambda h: _set(full, h))
-        hashed = F.broadcast(hashed)
-    else:
-        keep = None
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), plain(F.col(text)).alias("p"))
-    met = _document_windows(base, lengths, keep).join(hashed, (F.col("h") == F.col("bh")) & (F.col("k") == F.col("bk")))
+    n = windows.count()
+    blocks = max(1, -(-n * SLOTS // MOST_SLOTS))
+    words = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), plain(F.col(text)).alias("p"))
+    parts = [_met(words, windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), n // blocks) for k in range(blocks)]
+    met = reduce(DataFrame.unionByName, parts)
     # a first token of names may be longer or shorter than the item's: what follows it tells the diagonal
     start = F.when(F.get("item_t", F.lit(0)) == NAME, F.col("next") - F.col("item_next")).otherwise(F.col("at") - F.col("item_at"))
     ids = ["rid", "doc_id", "item_id", "item_words"]

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-from timedtext.llm.decontam import COVERED, LEAST_WORDS, UNITS, WINDOW
+from timedtext.llm.decontam import COVERED, LEAST_WORDS, NUMBER_WORDS, UNITS, WINDOW
 from timedtext.llm.tokenjoin import WORDS
 
 _SPLIT = r"'[ \t\n\x0b\x0c\r]+'"
@@ -26,7 +26,7 @@ def _plain(text: str) -> str:
     return rf"list_filter(string_split(trim(regexp_replace({joined}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
-_TEMPLATE = rf"list_transform(w, lambda x: case when regexp_full_match(x, '\p{{Lu}}\p{{Ll}}*') then '@' when regexp_full_match(x, '\p{{N}}+') then '#' when regexp_full_match(lower(x), '{UNITS}') then '&' else lower(x) end)"
+_TEMPLATE = rf"list_transform(w, lambda x: case when regexp_full_match(x, '\p{{Lu}}\p{{Ll}}*') then '@' when regexp_full_match(lower(x), '\p{{N}}+|{NUMBER_WORDS}') then '#' when regexp_full_match(lower(x), '{UNITS}') then '&' else lower(x) end)"
 _SLOTS = "list_filter(range(1, k + 1), lambda i: t[i] in ('@', '#', '&'))"
 
 DECONTAMINATION = rf"""with recursive d as (select row_number() over () as rid, doc_id, {_plain('text')} as w from documents), dc as (select *, {_TEMPLATE} as c from d),
