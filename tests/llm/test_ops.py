@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -79,6 +81,44 @@ def test_secrets(spark):
     assert got[n + 3]["spans"] == "" and got[n + 4]["spans"] == ""
 
 
+def linked_spans(text, scope=secrets.SCOPE):
+    """Weak candidates that have a complement within reach, by comparing all pairs of parts."""
+    strong = strong_spans(text)
+    weak = [(k, m.start(), m.end()) for k, (p, _, _) in secrets.WEAK.items() for m in re.finditer(p, text or "")]
+    overlap = lambda x, y: x[1] < y[2] and y[1] < x[2]
+    weak = [w for w in weak if not any(overlap(w, s) for s in strong)]
+    weak = [w for w in weak if w[0] != "key" or not any(v[0] != "key" and overlap(w, v) for v in weak)]
+    role = lambda x: "part" if x[0] in ("access", "ident", "endpoint") else "secret"
+    apart = lambda x, y: max(x[1] - y[2], y[1] - x[2])
+    return {w for w in weak if any(role(w) != role(x) and apart(w, x) <= scope for x in strong + weak)}
+
+
+def secret_texts(n, seed):
+    r = random.Random(seed)
+    made = [
+        lambda: "user=" + "".join(r.choices("abcxyz", k=r.randint(2, 6))), lambda: "client_id = " + "".join(r.choices("abcdef0123456789", k=r.choice([4, 20, 26]))),
+        lambda: "".join(r.choices("ABCDEFghijkl0123456789+/-_", k=r.randint(12, 30))), lambda: "https://db%d.example.com/x" % r.randint(1, 9),
+        lambda: "10.0.%d.7" % r.randint(0, 255), lambda: "host: " + "".join(r.choices("abcd0123", k=18)), lambda: "AKIA" + "".join(r.choices("ABCD0123", k=r.choice([5, 16]))),
+        lambda: "password=" + "".join(r.choices("abc012", k=r.randint(3, 20))), lambda: "token: 'https://u:pw@h.example'", lambda: "build-2024-11-26-nightly",
+    ]
+    for _ in range(n):
+        yield "".join(r.choice(made)() + r.choice([" ", "\n", ", ", "é ", " word " * r.choice([2, 20, 45])]) for _ in range(r.randint(1, 7)))
+
+
+def test_secret_links(spark):
+    texts = [*secret_texts(600, 11), "my client_id = 1234567890abcdef1234 only", "server: deploybox2024production01", "login: longusername12345678", "see 192.168.1.1 and build-2024-11-26-nightly done"]
+    found = 0
+    for r in secrets.scan(docs_of(spark, texts)).collect():
+        t = texts[r["doc_id"]]
+        every = strong_spans(t) + sorted(linked_spans(t))
+        found += len(every) - len(strong_spans(t))
+        assert sorted(filter(None, r["spans"].split(","))) == sorted(f"{k}:{a}:{b}" for k, a, b in every), t
+        assert r["n_linked"] == len(every) - len(strong_spans(t))
+        if r["doc_id"] >= 600:
+            assert r["spans"] == ""
+    assert found > 300
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, duck, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir)
@@ -142,6 +182,74 @@ def test_decontamination_without_literals(spark):
     assert got == {(i, i) for i in (0, 1, 2, 3, 4, 6)} | {(7, 0)}
 
 
+def questions(n, seed):
+    """(question, ways to ask it again) made of phrases with slots for names, numbers and units."""
+    r = random.Random(seed)
+    names = "Anna Peter Tom Mary Lucy John Sara Paul Nina Omar".split()
+    things = "apples pears books coins stamps cards marbles shells tickets pens".split()
+    verbs = "buys sells finds counts gives loses packs carries shares paints".split()
+    units = "dollars euros kg km hours minutes grams miles cents days".split()
+    made = []
+    word = lambda: "".join(r.choice(["ba", "de", "li", "mo", "nu", "ra", "so", "ti", "ve", "ka"]) for _ in range(r.randint(2, 3)))
+    for _ in range(n):
+        places = [f"{x} the {word()} {word()}" for x in ("at", "in", "near", "after", "before", "for")]
+        ends = [f"How many {{t}} does {{a}} {word()} in the {word()}?", f"What {word()} can {{b}} pay for the {word()} of {{t}}?", f"How long will {{b}} need for the {word()} {word()}?"]
+        a, b = r.sample(names, 2)
+        t = r.choice(things)
+        clauses = [f"{{{'ab'[k % 2]}}} {r.choice(verbs)} {{n{k}}} {t} {r.choice(places)}" for k in range(r.randint(2, 4))]
+        extra = f"which takes {{n8}} {{u}} and costs {{n9}} {{v}}"
+        body = ". ".join(clauses) + f" {extra}. " + r.choice(ends).format(t=t, a="{a}", b="{b}")
+        values = {"a": a, "b": b, **{f"n{k}": r.randint(2, 99) for k in range(10)}, "u": r.choice(units), "v": r.choice(units)}
+        other = lambda: {f"n{k}": r.randint(2, 999) for k in range(10)}
+        c, d = r.sample([x for x in names if x not in (a, b)], 2)
+        again = {
+            "numbers": body.format(**values | other()),
+            "equal numbers": body.format(**values | {f"n{k}": 5 for k in range(10)}),
+            "units": body.format(**values | {"u": r.choice(units), "v": r.choice(units)}),
+            "names": body.format(**values | {"a": c, "b": d}),
+            "longer names": body.format(**values | {"a": "Mary Ann", "b": "John Paul Smith"}),
+            "all slots": body.format(**values | other() | {"a": c, "b": d, "u": r.choice(units), "v": r.choice(units)}),
+            "lower case": body.format(**values | other()).lower(),
+            "upper case": body.format(**values | other()).upper(),
+            "spelt numbers": body.format(**values | {f"n{k}": r.choice(["two", "seven", "twelve", "twenty five"]) for k in range(10)}),
+            "inserted words": " ".join(w + (" well" if r.random() < 0.07 else "") for w in body.format(**values | other()).split()),
+            "decimals": body.format(**values | {f"n{k}": f"{r.randint(1, 9)},{r.randint(100, 999)}.50" for k in range(10)}),
+        }
+        made.append((body.format(**values), again))
+    return made
+
+
+def test_decontamination_recall(spark):
+    """Questions asked again with other numbers, names and units are found, other questions of the same kind are not."""
+    asked = questions(60, 5)
+    items = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(asked)], "item_id long, text string")
+    kinds = [(i, kind, f"Some words before it. {text} And some after.") for i, (_, again) in enumerate(asked) for kind, text in again.items()]
+    others = [q for q, _ in questions(100, 77)]
+    got = collections.defaultdict(set)
+    for r in decontam.find(docs_of(spark, [t for *_, t in kinds] + others), items).collect():
+        got[r["doc_id"]].add(r["item_id"])
+    found, asked_of = collections.Counter(), collections.Counter()
+    for k, (i, kind, _) in enumerate(kinds):
+        found[kind] += i in got[k]
+        asked_of[kind] += 1
+        assert got[k] <= {i}
+    assert not any(got[len(kinds) + k] for k in range(len(others)))
+    assert found.total() / asked_of.total() > 0.93
+    assert all(found[k] == asked_of[k] for k in ("numbers", "equal numbers", "units", "names", "longer names", "all slots", "spelt numbers", "decimals"))
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """A benchmark beyond the limits is taken in blocks and joined by shuffle, with the same result."""
+    asked = questions(40, 9)
+    items = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(asked)] + [(100, "Zymurgy"), (101, None)], "item_id long, text string")
+    docs = docs_of(spark, [t for _, again in asked for t in again.values()] + ["a zymurgy b", None] + [asked[0][0]] * 50)
+    whole = sorted(map(tuple, decontam.find(docs, items).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "LEAST_SLOTS", 1 << 13)
+    monkeypatch.setattr(decontam, "MOST_SLOTS", 1 << 13)
+    assert sorted(map(tuple, decontam.find(docs, items).collect())) == whole and len(whole) > 400
+
+
 def test_decontamination_whole_table(spark, sf_dir, documents):
     plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
     items = [(r["item_id"], plain(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
@@ -164,6 +272,57 @@ def test_language(spark, sf_dir, documents):
     assert got[6]["lang_pred"] == got[7]["lang_pred"] and all(0 <= r["lang_score"] <= 1 for r in got)
 
 
+def backoff_sums(counts, word, max_grams=60_000, unseen=0.5):
+    """Log frequencies of one word by language, straight from the definition."""
+    langs = sorted(counts)
+    for n in (None, 4, 3, 2, 1):
+        table = {x: collections.Counter() for x in langs}
+        for x in langs:
+            for w, k in counts[x].items():
+                for u in [w] if n is None else langid.grams_of(w, n):
+                    table[x][u] += k
+        units = set().union(*table.values())
+        known = [u for u in ([word] if n is None else langid.grams_of(word, n)) if u in units]
+        if known:
+            total = {x: sum(table[x].values()) + unseen * len(units) for x in langs}
+            return [sum(math.log((table[x][u] + unseen) / total[x]) for u in known) / len(known) for x in langs]
+    return [0.0] * len(langs)
+
+
+def test_backoff_by_definition(monkeypatch):
+    r = random.Random(4)
+    word = lambda letters: "".join(r.choices(letters, k=r.randint(1, 7)))
+    counts = {x: {word(letters): r.randint(1, 9) for _ in range(40)} for x, letters in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "efghé"), ("dd", "xy"))}
+    texts = [" ".join(word(r.choice(["abcde", "cdefg", "efghé", "xyz", "ж"])) for _ in range(r.randint(1, 30))) for _ in range(60)]
+    expected = []
+    for t in texts:
+        words = langid.words_of(t)
+        sums = [sum(x) for x in zip(*(backoff_sums(counts, w) for w in words))]
+        best = max(range(4), key=lambda k: (round(sums[k], 9), -k))
+        expected.append((sorted(counts)[best], 1 / sum(math.exp((s - sums[best]) / math.sqrt(len(words))) for s in sums)))
+    for piece, chunk in ((1_000_000, 100_000), (7, 5)):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        names, scores = langid.Backoff(counts).scorer(max_cached=20)(texts)
+        assert names == [x for x, _ in expected] and np.allclose(scores, [p for _, p in expected])
+
+
+def test_language_edges(spark):
+    rows = [(i, f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]} common", f"l{i}") for i in range(1500)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 1500
+    texts = ["½ ²", "① 12", "Ⅷ", "a½b", None, "common wordaku", "ß", "wordaku " * 300_000]
+    got = langid.predict(docs_of(spark, texts), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] == "und" for r in got] == [True, True, True, False, True, False, False, False]
+    assert got[5]["lang_pred"] == got[7]["lang_pred"] == "l0" and all(0 <= r["lang_score"] <= 1 and (r["lang_score"] == 0) == (r["lang_pred"] == "und") for r in got)
+    # a text of two languages is told from one of one
+    counts = {x: {f"{x}{k}": 5 for k in "abcdefgh"} for x in ("p", "q")}
+    (_, _), (plain, mixed) = langid.Backoff(counts).scorer()([" ".join(["pa pb pc"] * 300), " ".join(["pa pb qc"] * 5 + ["qa qb pc"] * 5 + ["pa"])])
+    assert plain > 0.999 and mixed < 0.9
+    nulls = spark.createDataFrame([(None, None, "x", "y"), (None, "pa", "x", None)], "doc_id long, text string, lang_pred string, __other string")
+    assert langid.predict(nulls, model).count() == 2 and langid.fit(nulls, lang="__other").langs == []
+
+
 def test_quality_ranking(spark, sf_dir):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = queries.op6_quality_classifier(spark, sf_dir).collect()
@@ -174,6 +333,43 @@ def test_quality_ranking(spark, sf_dir):
     assert {r["score"] for r in pairrank.predict(docs_of(spark, EDGES), ranker).collect()} == {0.5}
 
 
+def test_ranker_sees_words_and_their_order(spark):
+    """Only the order of words, or only the words, tell good from bad: counts of characters and words are the same."""
+    r = random.Random(8)
+    steps = {a: r.sample("abcdefghijklmnop", 2) for a in "abcdefghijklmnop"}
+
+    def sentence():
+        out = [r.choice("abcdefghijklmnop")]
+        while len(out) < 60:
+            out.append(r.choice(steps[out[-1]]))
+        return ["w" + x for x in out]
+
+    texts, labels = [], []
+    for _ in range(500):
+        words = sentence()
+        texts += [" ".join(words), " ".join(r.sample(words, len(words)))]
+        labels += [1, 0]
+    for _ in range(200):
+        texts += [" ".join(r.choices(["good", "fine"], k=40)), " ".join(r.choices(["evil", "vile"], k=40))]
+        labels += [1, 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    given = spark.createDataFrame([(i, y) for i, y in enumerate(labels) if i % 5], "doc_id long, quality int")
+    ranker = pairrank.fit(docs, given)
+    got = {x["doc_id"]: x["score"] for x in pairrank.predict(docs, ranker).collect()}
+    held = [i for i in got if i % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == labels[i] for i in held if i < 1000]) > 0.9
+    assert np.mean([(got[i] >= 0.5) == labels[i] for i in held if i >= 1000]) > 0.97
+    edges = [*EDGES, "a b " * 200_000]
+    scores = {x["doc_id"]: x["score"] for x in pairrank.predict(docs_of(spark, edges), ranker).collect()}
+    assert len(scores) == len(edges) and all(0 <= v <= 1 for v in scores.values()) and scores[0] == scores[1] and scores[6] == scores[7]
+    # repeated ids and labels, nulls, one hot id: the same rows are learned from whatever the order
+    twice = docs.unionByName(docs.where("doc_id < 3")).unionByName(spark.createDataFrame([(None, "x"), (5, None)], "doc_id long, text string"))
+    more = given.unionByName(given.where("doc_id < 9")).unionByName(spark.createDataFrame([(None, 1), (4, None)], "doc_id long, quality int"))
+    one, two = (pairrank.fit(twice.repartition(n), more) for n in (2, 5))
+    assert np.array_equal(one.words, two.words) and one.threshold == two.threshold
+    assert pairrank.fit(docs, given.where("quality = 1")).words is None and pairrank.fit(docs.limit(0), given).words is None
+
+
 # --- 4 --------------------------------------------------------------------------------------------------------------------
 
 
@@ -404,6 +600,32 @@ def test_sharding(spark):
         homes[t].add(x["shard"])
     assert all(s == set(range(len(s))) for s in slots.values()) and set(slots) <= set(range(10))
     assert len(homes["hot text " * 30]) > 3 and len(homes["same text here"]) == 1
+    # one text is larger than a shard; apart from it the law holds
+    home = next(x["shard"] for x in rows if x["size"] > 100_000)
+    others = [load[k] for k in range(10) if k != home]
+    assert max(others) <= 1.05 * min(others)
+
+
+def test_sharding_law(spark, sf_dir):
+    rows = queries.op8_sharding(spark, sf_dir).collect()
+    load, count = collections.Counter(), collections.Counter()
+    for x in rows:
+        load[x["shard"]] += x["size"]
+        count[x["shard"]] += 1
+    largest = max(x["size"] for x in rows)
+    assert set(load) == set(range(40)) and max(load.values()) - min(load.values()) <= max(largest, 0.02 * sum(load.values()) / 40)
+
+
+def test_vector_placement():
+    """Each item goes where its dot product with what is left is highest, by trying every shard."""
+    r = np.random.default_rng(6)
+    items = r.dirichlet(np.ones(80), 3).T
+    load, expected = np.zeros((7, 3)), np.zeros(80, int)
+    for k in sorted(range(80), key=lambda i: (-items[i].max(), i)):
+        dots = [sum(w * (1 / 7 - load[s][c]) * items[k][c] for c, w in enumerate((4, 1, 1))) for s in range(7)]
+        expected[k] = max(range(7), key=lambda s: (round(dots[s], 15), -s))
+        load[expected[k]] += items[k]
+    assert (sharding.place(items, 7) == expected).all()
 
 
 def test_html():
@@ -414,12 +636,58 @@ def test_html():
     )
     assert mainhtml.main_text(page) == "Title\n\nSome long text of the article here.\n\nMore <b> text here link.\n\none\n\ntwo"
     assert mainhtml.main_text("<article><h1>A</h1><p>b<aside>no</aside><p><b>c<br>d</article><p>not this, though it is much longer than the article is</p>") == "A\n\nb\n\nc d"
-    nested = "<main><nav>n</nav><h2>Related</h2><p>much longer text around the article than in it</p><article><h1>T</h1><p>body</p></article><section class=comment-list><article>me too</article></section></main>"
-    assert mainhtml.main_text(nested) == "T\n\nbody"
+    body = "the text of the article, which goes on for a while"
+    nested = f"<main><nav>n</nav><h2>Related</h2><p>some text around the article</p><article><h1>T</h1><p>{body}</p></article><section class=comment-list><article>me too</article></section></main>"
+    assert mainhtml.main_text(nested) == f"T\n\n{body}"
+    # a card marked as an article does not take the place of what stands around it
+    card = f"<main><h1>T</h1><p>{body * 5}</p><article class=card><h3>Read</h3><p>next</p></article><p>end</p></main>"
+    assert mainhtml.main_text(card) == f"T\n\n{body * 5}\n\nend"
     assert [mainhtml.main_text(x) for x in (None, "", "<div", "plain &amp; text", "<p>x &am", "<p>a<br/>b")] == ["", "", "", "plain & text", "x &am", "a b"]
     assert mainhtml.main_text("<p>" * 20_000 + "deep") == "deep"
 
 
+def test_html_without_marked_parts():
+    """Surge and dive points choose the text: notices cut an article, menus of links and boilerplate end it."""
+    ad, body = "<div class=ad>Buy this now, it is cheap and good</div>", "Words of the article. " * 8
+    halves = f"<body><p>{body}</p>{ad * 3}<p>short end</p>"
+    assert mainhtml.main_text(halves) == f"{body.strip()}\n\nshort end"
+    divs = f"<body><div class=menu>Home</div><div id=x><div>{body}</div>{ad * 4}<div>tail</div></div>" + "<div class=ad>a</div>" * 3 + "<div>small print</div>"
+    assert mainhtml.main_text(divs) == f"{body.strip()}\n\ntail"
+    links = "".join(f"<li><a href=/{k}>Some page {k}</a></li>" for k in range(9))
+    assert mainhtml.main_text(f"<ul>{links}</ul><h1>T</h1><p>{body}</p><p><a href=y>a link</a></p><p>{body}</p><ul>{links}</ul>") == f"T\n\n{body.strip()}\n\na link\n\n{body.strip()}"
+    two = f"<div><p>{body}</p><p>{body}</p></div>{ad * 3}<div><p>{body}</p></div>{ad * 3}<div>tiny</div>"
+    assert mainhtml.main_text(two) == "\n\n".join([body.strip()] * 3)
+    assert mainhtml.main_text("<article><section class='related-work'><p>r</p></section><p id='search-results'>s</p><div class='header'><h2>h</h2></div><div class='ad'>no</div></article>") == "r\n\ns\n\nh"
+    assert mainhtml.main_text("<div class='post has-sidebar'><div class='entry comments-open'><p>kept</p></div></div>") == "kept"
+
+
+def test_surges_by_definition():
+    r = random.Random(3)
+    for _ in range(300):
+        weights = [r.choice([0, 0, 0, 1, 5]) for _ in range(r.randint(0, 30))]
+        n, kept, zeros = len(weights), set(), 0
+        # a place lies in a region if no window of zeros parts it from the weights on both sides
+        for i in range(n):
+            left = next((i - j for j in range(i, -1, -1) if weights[j]), None)
+            right = next((j - i for j in range(i, n) if weights[j]), None)
+            if weights[i] or (left is not None and right is not None and left + right - 1 < mainhtml.WINDOW):
+                kept.add(i)
+        assert {i for a, b in mainhtml.surges(weights) for i in range(a, b)} == kept
+
+
+@pytest.mark.parametrize("page", ["<b>" * 150_000 + "</i>" * 100_000 + "x", "<b></i>" * 150_000 + "x", "<div>" * 100_000 + "x" + "</section>" * 50_000, "<li>x" * 150_000, "<p><b>" * 150_000 + "x", "<article>" * 80_000 + "x"])
+def test_html_is_linear(page):
+    began = time.process_time()
+    assert mainhtml.main_text(page)
+    assert time.process_time() - began < 20 * len(page) / 1e6
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", None, 7), (1, "u", None, 7), (None, None, "", 7), (3, "v", "<p>a" * 100_000, 7), (3, "v", "<article>x &lt; y", 7)]
+    got = mainhtml.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"], r["text"][:5]) for r in got) == [(0, 0, ""), (1, 0, ""), (1, 0, ""), (3, 5, "x < y"), (3, 299_998, "a\n\na\n")]
+
+
 def test_html_whole_table(spark, sf_dir):
     import html
 
@@ -436,6 +704,21 @@ def test_html_whole_table(spark, sf_dir):
 # --- shared ----------------------------------------------------------------------------------------------------------------------------
 
 
+def test_scratch_folder(spark, monkeypatch):
+    class Fake:
+        conf, sparkContext = {}, type("C", (), {"master": "spark://host:7077"})
+
+    assert spark.conf.get("spark.checkpoint.dir", None) or common.scratch_root(spark).startswith("file:")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_root(Fake)
+    kept = common.Scratch()
+    first = kept.table(spark.range(5).toDF("a"), "one")
+    last = kept.result(first.where("a > 2"), "two")
+    assert last.count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST"):
+        spark.read.parquet(first._scratch_path)
+
+
 def test_numbering(spark):
     df = common.materialize(spark.range(1000).selectExpr("id % 3 as k", "id * 7 % 1000 as v"), "test")
     rows = common.number_within(df, ["k"], ["v"], "n", rows_per_bucket=50).collect()
