@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import SPACES, fixed_uint64, materialize, mixed, release, tidy
+from timedtext.llm.common import SPACES, Scratch, fixed_uint64, materialize, mixed, release, tidy
 
 WORDS = 5
 #: Shingles a task gathers before it hands them on, and documents.
@@ -51,6 +51,11 @@ BIG, BLOCK_SIDE = 16, 512
 RANGE = 1_500_000
 #: Tasks of a stage that takes ranges; more ranges than that are taken in turn, so memory stays that of one range.
 MAX_TASKS = 20_000
+#: Ranges that shingles are dealt to at once. Where there are more, they go to groups of ranges first, and tasks that gather
+#: ``REGROUP`` shingles of a group deal those to its ranges, so that rows stay long.
+COARSE, REGROUP = 2_000, 4_000_000
+#: Documents of a list from which they are compared in blocks, whatever their components, and salts of a component's members.
+LONG_LIST, SALTS = 64, 32
 LOW48 = np.uint64((1 << 48) - 1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -211,13 +216,70 @@ def _by_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
+def bounds_of(parts: int, groups: int) -> np.ndarray:
+    """The first hash of each group of ranges but the first one."""
+    return np.array([(-(-g * parts // groups) << 48) // parts for g in range(1, groups)], np.uint64)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each document."""
+    return (mixed(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def regroup(packed: DataFrame, parts: int, by_key: bool) -> DataFrame:
+    """Rows of groups of parts as rows of the parts. A group's rows may go to several tasks, so none is too long."""
+    groups = min(parts, COARSE)
+    if groups == parts:
+        return packed
+    bounds = bounds_of(parts, parts) if not by_key else None
+    salts = -(-parts // (64 * groups))
+    tasks = min(groups * salts, MAX_TASKS)
+
+    def run(batches):
+        held, n = {}, 0
+        for pdf in batches:
+            for part, rows in pdf.groupby("part", sort=False):
+                held.setdefault(part, []).append(rows)
+                n += int(rows["n"].sum())
+            if n >= REGROUP:
+                yield from flush(held)
+                held, n = {}, 0
+        yield from flush(held)
+
+    def flush(held):
+        for rows in held.values():
+            rows = pd.concat(rows)
+            for counted in (True, False):
+                some = rows[(rows["counts"].map(len) > 0) == counted]
+                t, c, k, s = _unpack(some)
+                if not len(t):
+                    continue
+                to = part_of(k, parts) if by_key or counted else np.searchsorted(bounds, t, "right")
+                order = np.lexsort((t, to))
+                t, c, k, s, to = t[order], c[order], k[order], s[order], to[order]
+                out = []
+                for a, b in _runs(to):
+                    own, first, at = np.unique(k[a:b], return_index=True, return_inverse=True)
+                    out.append(_pack(int(to[a]), t[a:b], c[a:b] if counted else None, at, own, s[a:b][first]))
+                    if len(out) >= 256:
+                        yield pd.DataFrame(out, columns=_COLUMNS)
+                        out = []
+                if out:
+                    yield pd.DataFrame(out, columns=_COLUMNS)
+
+    to = F.pmod(F.xxhash64("part", F.pmod(F.xxhash64("keys"), F.lit(salts))), F.lit(tasks)).cast("int")
+    return packed.repartitionById(tasks, to).mapInPandas(tidy(run), PACKED)
+
+
 def deal(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
-    """Packed postings by range of the shingle's hash; hot shingles carry their frequency already."""
+    """Packed postings by range of the shingle's hash, or by group of ranges where there are many; hot shingles carry
+    their frequency already."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
+    groups = min(parts, COARSE)
+    bounds = bounds_of(parts, groups)
 
     def run(batches):
         names, freqs = sent.value
-        bounds = np.array([(i << 48) // parts for i in range(1, parts)], np.uint64)
         for _, keys, sets in _blocks(batches):
             if not keys:
                 continue
@@ -237,7 +299,7 @@ def deal(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> Dat
             # hot shingles need no counting: they ride along with their document, to a part chosen by its key
             if is_hot.any():
                 t, c, o = tokens[is_hot], counts[is_hot], owner[is_hot]
-                to = (mixed(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)[o]
+                to = part_of(keys, parts)[o] * groups // parts
                 by = np.lexsort((t, to))
                 t, c, o, to = t[by], c[by], o[by], to[by]
                 for a, b in _runs(to):
@@ -257,7 +319,9 @@ def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
 
 
 def shared(dealt: DataFrame, parts: int) -> DataFrame:
-    """Packed postings of shingles that two documents or more hold, with their frequency, by part of the document's key."""
+    """Packed postings of shingles that two documents or more hold, with their frequency, by part of the document's key, or
+    by group of parts where there are many."""
+    groups = min(parts, COARSE)
 
     def run(batches):
         for pdf in _by_part(batches):
@@ -288,7 +352,7 @@ def shared(dealt: DataFrame, parts: int) -> DataFrame:
         t, k, s, c = np.concatenate([t, ht]), np.concatenate([k, hk]), np.concatenate([s, hs]), np.concatenate([c, hc])
         if not len(t):
             return
-        to = (mixed(k.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        to = part_of(k, parts) * groups // parts
         order = np.lexsort((t, to))
         t, k, s, c, to = t[order], k[order], s[order], c[order], to[order]
         rows = []
@@ -425,8 +489,11 @@ def verify_blocks(members: DataFrame, loose: DataFrame, live: DataFrame, percent
     cuts = count(members).withColumnRenamed("n", "nm").join(count(loose).withColumnRenamed("n", "nl"), "main")
     block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = members.join(cuts, "main").select("main", "key", F.lit(True).alias("member"), block("nm").alias("i"), every("nl").alias("j"))
-    two = loose.join(cuts, "main").select("main", "key", F.lit(False).alias("member"), every("nm").alias("i"), block("nl").alias("j"))
+    # a component may hold a third of all documents: its members are joined with its numbers salt by salt
+    cuts = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(SALTS)).cast("int")).join(cuts, ["main", "salt"])
+    one = salted(members).select("main", "key", F.lit(True).alias("member"), block("nm").alias("i"), every("nl").alias("j"))
+    two = salted(loose).select("main", "key", F.lit(False).alias("member"), every("nm").alias("i"), block("nl").alias("j"))
     rows = one.unionByName(two).join(live, "key")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -477,16 +544,18 @@ def components(edges: DataFrame) -> DataFrame:
 def roots(forest: DataFrame) -> DataFrame:
     """(key, comp): the root above each key of a forest of (a parent, b child), one parent each, by pointer jumping. Roots
     themselves have no row."""
-    now = forest.select(F.col("b").alias("key"), F.col("a").alias("comp"))
+    now, jumped = forest.select(F.col("b").alias("key"), F.col("a").alias("comp")), None
     while True:
         above = now.select(F.col("key").alias("comp"), F.col("comp").alias("next"))
-        jumped = materialize(now.join(above, "comp", "left").select("key", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")), "roots")
+        before, jumped = jumped, materialize(now.join(above, "comp", "left").select("key", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")), "roots")
+        if before is not None:
+            release(before)
         now = jumped.select("key", "comp")
         if not jumped.where("moved").limit(1).count():
             return now
 
 
-def linked_keys(docs: DataFrame, seen: DataFrame, percent: int, frequent: int) -> DataFrame:
+def linked_keys(docs: DataFrame, seen: DataFrame, percent: int, frequent: int, scratch: Scratch) -> DataFrame:
     """(key, comp) of the documents that link with another."""
     spark = docs.sparkSession
     sums = seen.where("kind = 0").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles")).first()
@@ -495,34 +564,37 @@ def linked_keys(docs: DataFrame, seen: DataFrame, percent: int, frequent: int) -
     hot = seen.where("kind = 1").groupBy("key").agg(F.sum("size").alias("n")).where(F.col("n") >= least).orderBy("key").collect()
     hot = np.array([r[0] for r in hot], np.uint64), np.array([min(r[1], 2**32 - 1) for r in hot], np.uint32)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sums["shingles"] or 0) // RANGE))
-    table = materialize(index(shared(deal(docs, hot, parts), parts), parts, percent, frequent), "join-index")
+    dealt = regroup(deal(docs, hot, parts), parts, by_key=False)
+    back = regroup(shared(dealt, parts), parts, by_key=True)
+    table = scratch.table(index(back, parts, percent, frequent), "join-index")
     live = table.where("kind = 0").select("key", "size", "tokens")
     sigs = table.where("kind = 1").select("sig", "key", F.col("size").alias("n"), "room", "own")
     # the head of a list is the document with the smallest part of its own: near the middle of a group of copies
     lists = sigs.groupBy("sig").agg(F.min(F.struct("own", "key"))["key"].alias("first"), F.count("*").alias("docs")).where("docs > 1")
-    met = materialize(sigs.join(lists.select("sig", "first"), "sig"), "join-lists")
+    met = scratch.table(sigs.join(lists.select("sig", "first"), "sig"), "join-lists")
     # one partner each: the head of most of its lists
     heads = met.where("key <> first").groupBy("key", "first").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("first", F.struct("n", F.col("first"))).alias("first"))
-    one = materialize(verify(heads.select(F.col("first").alias("a"), F.col("key").alias("b")), live, percent), "links")
-    comps = roots(one)  # the head of a list comes before its members by (own, key), so heads form a forest
+    one = scratch.table(verify(heads.select(F.col("first").alias("a"), F.col("key").alias("b")), live, percent), "links")
+    comps = scratch.table(roots(one), "roots")  # the head of a list comes before its members by (own, key), so heads form a forest
     labelled = met.drop("first", "own").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     counted = labelled.groupBy("sig", "comp").agg(F.count("*").alias("docs"))
-    split = counted.groupBy("sig").agg(F.max(F.struct("docs", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    rest = materialize(labelled.join(split.select("sig", F.col("top.comp").alias("main"), (F.col("top.docs") >= BIG).alias("big")), "sig"), "join-mixed")
-    # lists with a large component: its members against the others, in blocks
+    split = counted.groupBy("sig").agg(F.max(F.struct("docs", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("docs").alias("all")).where("comps > 1")
+    big = (F.col("top.docs") >= BIG) | (F.col("all") >= LONG_LIST)
+    rest = scratch.table(labelled.join(split.select("sig", F.col("top.comp").alias("main"), big.alias("big")), "sig"), "join-mixed")
+    # long lists and those with a large component: its members against the others and those with each other, in blocks
     loose = rest.where("big and comp <> main").select("key", "main").distinct()
     members = rest.where("big and comp = main").select("key", "main").distinct()
     blocks = verify_blocks(members, loose, live, percent)
-    # the lists without one: pairs of different components that can share enough from where they meet
+    # the short lists: pairs of different components that can share enough from where they meet
     left = rest.where("not big").select("sig", F.col("key").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("room").alias("pr"))
     right = left.withColumnsRenamed({"p": "q", "pc": "qc", "pn": "qn", "pr": "qr"})
     enough = (100 + percent) * F.least("pr", "qr") >= percent * (F.col("pn") + F.col("qn"))
     across = left.join(right, "sig").where((F.col("p") < F.col("q")) & (F.col("pc") != F.col("qc")) & enough)
     pairs = across.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
-    more = materialize(verify(pairs, live, percent).unionByName(blocks), "links")
+    more = scratch.table(verify(pairs, live, percent).unionByName(blocks), "links")
     of = lambda c: comps.select(F.col("key").alias(c), F.col("comp").alias(f"{c}c"))
     joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
-    merged = components(joined).select(F.col("key").alias("comp"), F.col("comp").alias("whole"))
+    merged = scratch.table(components(joined), "components").select(F.col("key").alias("comp"), F.col("comp").alias("whole"))
     every = comps.unionByName(merged.select(F.col("comp").alias("key"), "comp")).unionByName(comps.select(F.col("comp").alias("key"), "comp")).distinct()
     return every.join(merged, "comp", "left").select("key", F.coalesce("whole", "comp").alias("comp"))
 
@@ -530,11 +602,13 @@ def linked_keys(docs: DataFrame, seen: DataFrame, percent: int, frequent: int) -
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     given = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seen = materialize(profile(given), "join-profile")
+    scratch = Scratch()
+    seen = scratch.table(profile(given), "join-profile")
     members = seen.where("kind = 0").select("doc_id", "key", F.col("size").alias("n_shingles"))
-    comps = linked_keys(given, seen, percent, frequent)
+    comps = linked_keys(given, seen, percent, frequent, scratch)
     per_key = members.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("low"))
     grouped = per_key.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     lows = grouped.groupBy("comp").agg(F.min("low").alias("component_id"))
     ids = grouped.join(lows, "comp").select("key", "component_id")
-    return members.join(ids, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = members.join(ids, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return scratch.result(out, "join-result")
