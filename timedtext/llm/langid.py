@@ -6,8 +6,9 @@ Word scores add up over the whole text. Words of a text are not independent, so
 grows with the square root of their number: the score is the posterior for the sum divided by that root. It tells mixed
 texts from plain ones at any length.
 
-A word or gram has an entry only for the languages it was seen in, so the model's size follows the vocabulary and not the
-number of languages.
+Frequencies are shares of a language's words (or grams), with the same small share for unseen ones in every language (a
+fifth of one word of the largest), so that a language is not preferred for having little text. A word or gram thus has an entry only for the languages it was
+seen in, and the model's size follows the vocabulary and not the number of languages.
 
 Defined results: a null, empty or letterless text is ``und`` with score 0; letters are what Unicode calls alphabetic, so
 digits, fractions and circled numbers are none. Ties between languages go to the alphabetically first. Repeated rows each
@@ -41,7 +42,7 @@ def _letters() -> str:
 WORD = re.compile(f"{_letters()}+")
 GRAMS = (4, 3, 2, 1)
 #: Characters of a text that are taken apart at once, words of a chunk, and sums held for its texts.
-PIECE, CHUNK, CELLS = 1_000_000, 100_000, 2_000_000
+PIECE, CHUNK, CELLS = 1_000_000, 40_000, 1_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -90,16 +91,17 @@ class Units:
         lang = np.repeat(np.arange(len(counts), dtype=np.int32), [len(found) for found in counts])
         n = np.fromiter((n for found in counts for n in found.values()), float)
         order = np.argsort(unit, kind="stable")
-        self.lang, self.more = lang[order], (np.log(n + unseen) - np.log(unseen))[order]
+        totals = np.bincount(lang, weights=n, minlength=len(counts))
+        # how much more than the logarithm of the share of unseen ones, which is the same for all languages
+        small = unseen / max(totals.max(initial=0), 1)
+        self.lang, self.more = lang[order], np.log1p(n / totals[lang] / small)[order]
         self.start = np.searchsorted(unit[order], np.arange(len(self.at) + 1))
-        totals = np.bincount(lang, weights=n, minlength=len(counts)) + unseen * len(self.at)
-        self.base = np.log(unseen) - np.log(np.maximum(totals, unseen))
 
 
 class Backoff:
     """Log frequencies by language for words and character n-grams."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], max_grams: int = 60_000, unseen: float = 0.5):
+    def __init__(self, counts: dict[str, dict[str, int]], max_grams: int = 60_000, unseen: float = 0.2):
         """counts: language -> word -> count."""
         self.langs = sorted(counts)
         found = [counts[x] for x in self.langs]
@@ -111,12 +113,10 @@ class Backoff:
                     for g in grams_of(w, n):
                         into[g] += k
             self.levels.append(Units(grams, unseen, max_grams))
-        # the last level: a word none of whose letters is known says nothing
-        self.bases = np.array([*(u.base for u in self.levels), np.zeros(len(self.langs))])
 
-    def rows_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For distinct words: the level that knows each, how many entries it has, and their languages and values."""
-        level = np.full(len(words), len(self.levels))
+    def rows_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words: how many entries each has, and their languages and values. A word none of whose letters is
+        known has none."""
         made = []
         rest = range(len(words))
         for k, units in enumerate(self.levels):
@@ -130,7 +130,6 @@ class Backoff:
                     left.append(i)
             rest = left
             if who:
-                level[who] = k
                 grams = np.array([len(x) for x in at])
                 flat = np.array([u for x in at for u in x])
                 sizes = units.start[flat + 1] - units.start[flat]
@@ -143,36 +142,32 @@ class Backoff:
         cells, values = (np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, np.int64), np.zeros(0))
         order = np.argsort(cells, kind="stable")
         owner, lang = np.divmod(cells[order], max(len(self.langs), 1))
-        return level, np.bincount(owner, minlength=len(words)), lang.astype(np.int32), values[order]
+        return np.bincount(owner, minlength=len(words)), lang.astype(np.int32), values[order]
 
     def scorer(self, max_cached: int = 100_000):
         """texts -> languages and scores; words met before keep their row in a bounded cache."""
         cache: dict[str, int] = {}
-        empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
-        levels, sizes, langs, values = empty
+        empty = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
+        sizes, langs, values = empty
         n_langs = len(self.langs)
 
         def sums(held: list[list[str]]) -> np.ndarray:
-            nonlocal levels, sizes, langs, values
+            nonlocal sizes, langs, values
             flat = [w for ws in held for w in ws]
             new = list(dict.fromkeys(w for w in flat if w not in cache))
             if new:
                 if len(cache) > max_cached:
                     cache.clear()
-                    levels, sizes, langs, values = empty
+                    sizes, langs, values = empty
                     new = list(dict.fromkeys(flat))
                 cache.update(zip(new, range(len(cache), len(cache) + len(new))))
-                levels, sizes, langs, values = (np.concatenate(x) for x in zip((levels, sizes, langs, values), self.rows_of(new)))
+                sizes, langs, values = (np.concatenate(x) for x in zip((sizes, langs, values), self.rows_of(new)))
             doc = np.repeat(np.arange(len(held)), [len(ws) for ws in held])
             at = np.fromiter((cache[w] for w in flat), np.int64, len(flat))
             starts = np.cumsum(sizes) - sizes
             entry = _spread(starts[at], sizes[at])
             cell = np.repeat(doc, sizes[at]) * n_langs + langs[entry]
-            total = np.bincount(cell, weights=values[entry], minlength=len(held) * n_langs).astype(float).reshape(len(held), n_langs)
-            used = np.bincount(doc * len(self.bases) + levels[at], minlength=len(held) * len(self.bases)).reshape(len(held), -1)
-            for k, base in enumerate(self.bases):
-                total += used[:, k, None] * base
-            return total
+            return np.bincount(cell, weights=values[entry], minlength=len(held) * n_langs).astype(float).reshape(len(held), n_langs)
 
         def score(texts: list[str | None]) -> tuple[list[str], list[float]]:
             names: list[str] = []
