@@ -152,6 +152,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     for r in made.where(F.col("length") < capacity).groupBy("class").count().collect():
         demand[r[0] - 1] = r[1]
     planned = plan(demand, classes)
+    # at most a row for each class of each pattern, and there are few more patterns than classes: broadcast below
     table = spark.createDataFrame(slots(planned), "class int, lo long, hi long, per long, sequence long, slot long")
     order = ["doc_id", "start", "ids_crc32"]
     ranked = number_within(made.where(F.col("length") < capacity), ["class"], order, "rank")

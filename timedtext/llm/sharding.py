@@ -1,4 +1,5 @@
-"""Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
+"""Sharding by vector bin packing: bytes, tokens and rows are balanced jointly. Tokens are estimated by the words of a
+text (white space and one), which costs no tokenizer; they grow with the real number.
 
 Rows of equal text form a group and stay together, except that a group over 1/64 of a shard in bytes, tokens or rows
 is split by a hash of the row id, because one group may hold a third of all rows. Small groups share cells by a hash of
@@ -61,7 +62,7 @@ def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "t
     part = {k: total[k] / shards / LARGE for k in ("size", "tokens", "rows")}
     groups = rows.groupBy("group").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     share = F.greatest(*(F.col(k) / F.lit(float(part[k])) for k in part))
-    # at most 3 * shards * LARGE groups can be above the limit
+    # at most 3 * shards * LARGE groups can be above the limit, so they may be collected and broadcast
     large = groups.where((share > 1) & (F.col("rows") > 1)).select("group", F.ceil(share).cast("int").alias("pieces"))
     large = spark.createDataFrame([(r[0], r[1]) for r in large.collect()], "group long, pieces int")
     # a large group's hash is unlike any cell number's: the cell is the hash of a small group modulo the cells
@@ -74,6 +75,7 @@ def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "t
     items = keyed.groupBy("cell", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("cell", "piece").collect()
     vectors = np.array([[r["size"] / total["size"], r["tokens"] / total["tokens"], r["rows"] / total["rows"]] for r in items])
     placed = place(vectors, shards)
+    # a row for each cell and piece: at most shards * CELLS, and twice the parts of large groups
     where = spark.createDataFrame([(r["cell"], r["piece"], int(s)) for r, s in zip(items, placed)], "cell long, piece int, shard int")
     put = materialize(keyed.join(F.broadcast(where), ["cell", "piece"]).select("doc_id", "size", "text_crc32", "shard"), "shard-put")
     return _result(number_within(put, ["shard"], ["doc_id", "size", "text_crc32"], "slot"))

@@ -82,13 +82,14 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def write_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k", dtype: str = "<u2") -> DataFrame:
-    """One row for each packed sequence."""
+    """One row for each packed sequence. ``dtype`` holds the ids; one that does not fit is an error, never another id."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, base, made = encoder(vocabulary), TaskContext.get().partitionId() << 33, 0
         owners, starts, parts, held = [], [], [], 0
+        most = np.iinfo(dtype).max
 
         def block():
             nonlocal made, owners, starts, parts, held
@@ -119,7 +120,10 @@ def write_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", capacit
 
         for batch in batches:
             for doc_id, t in zip(batch.column(0), batch.column(1)):
-                got = np.append(encode(t.as_py()), END).astype(dtype)
+                got = np.append(encode(t.as_py()), END)
+                if got.max() > most:
+                    raise ValueError(f"the vocabulary {vocabulary} has the id {got.max()}, which {dtype} does not hold")
+                got = got.astype(dtype)
                 for a in range(0, len(got), capacity):
                     owners.append(doc_id.as_py())
                     starts.append(a)

@@ -31,8 +31,10 @@ def words_array(text: Column) -> Column:
     return F.filter(F.split(text, SPLIT), lambda w: w != "")
 
 
-def repeated_words(windows: Column) -> Column:
-    """Words covered by windows that occur twice or more; ``windows`` holds a hash of each window by its start.
+def repeated_words(windows: Column) -> tuple:
+    """How to count the words covered by windows that occur twice or more, in three steps of their own so that none is
+    worked out twice: the sorted pairs of ``windows`` (a hash of each by its start), a function from those to the starts
+    of repeated ones, and one from the starts to the count.
 
     Equal windows are neighbours after sorting by (hash, start). Their starts, sorted again, cover
     min(5, distance to the next start) words each.
@@ -101,7 +103,8 @@ def votes(counted: DataFrame) -> DataFrame:
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, prior: float = 0.8) -> tuple[float, list[float], list[dict]]:
-    """Expectation-maximisation over (votes, count). Gives the share of good documents and, for each rule, the
+    """Expectation-maximisation over (votes, count). The share of good documents is kept between 0.05 and 0.95, so that
+    neither side runs out of examples. Gives the share of good documents and, for each rule, the
     chances of its votes when the document is good and when it is bad; starts from rules that are mostly right."""
     if not patterns:
         return prior, [], []
@@ -144,6 +147,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     patterns = [(tuple(r[c] for c in names), r["n"]) for r in counted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
     prior, _, table = estimate(sorted(patterns))
     scored = [(*v, posterior(v, prior, table)) for v, _ in patterns]
+    # one row for each pattern of votes that occurs, 3^9 at most
     by_votes = spark.createDataFrame(scored, ", ".join(f"{c} int" for c in names) + ", quality double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
