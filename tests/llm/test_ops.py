@@ -272,7 +272,7 @@ def test_language(spark, sf_dir, documents):
     assert got[6]["lang_pred"] == got[7]["lang_pred"] and all(0 <= r["lang_score"] <= 1 for r in got)
 
 
-def backoff_sums(counts, word, max_grams=60_000, unseen=0.5):
+def backoff_sums(counts, word, unseen=0.2):
     """Log frequencies of one word by language, straight from the definition."""
     langs = sorted(counts)
     for n in (None, 4, 3, 2, 1):
@@ -284,8 +284,9 @@ def backoff_sums(counts, word, max_grams=60_000, unseen=0.5):
         units = set().union(*table.values())
         known = [u for u in ([word] if n is None else langid.grams_of(word, n)) if u in units]
         if known:
-            total = {x: sum(table[x].values()) + unseen * len(units) for x in langs}
-            return [sum(math.log((table[x][u] + unseen) / total[x]) for u in known) / len(known) for x in langs]
+            total = {x: sum(table[x].values()) for x in langs}
+            small = unseen / max(total.values())
+            return [sum(math.log(table[x][u] / max(total[x], 1) + small) for u in known) / len(known) for x in langs]
     return [0.0] * len(langs)
 
 
@@ -453,6 +454,16 @@ def test_signatures_meet():
         assert (175 * np.minimum(ra[i], rb[j]) >= 75 * (len(x) + len(y))).any()
 
 
+def test_jaccard_join_in_two_steps(spark, monkeypatch):
+    """Many ranges are dealt to groups first, and long lists are compared in blocks; nothing is lost."""
+    for name, value in (("RANGE", 50), ("COARSE", 3), ("REGROUP", 500), ("MAX_TASKS", 7), ("LONG_LIST", 4), ("BLOCK_SIDE", 5), ("SALTS", 3), ("BLOCK_SHINGLES", 700)):
+        monkeypatch.setattr(tokenjoin, name, value)
+    texts = join_cases()
+    expected = groups(list(enumerate(texts)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in tokenjoin.join(docs_of(spark, texts).repartition(3)).collect()}
+    assert got == expected
+
+
 def test_word_hashes_see_word_ends():
     a, b = (tokenjoin.word_hashes(np.frombuffer(t, np.uint8))[1] for t in (b"ab c \n", b"a bc\t\t"))
     assert len(a) == len(b) == 2 and not set(a) & set(b)
@@ -525,6 +536,8 @@ def test_token_matrices(spark, full_encoder):
     for r in rows:
         assert len(r["ids"]) == 2048 and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"] <= 1024 and r["resets"] == r["cu_seqlens"][:-1]
     assert len({r["sequence_id"] for r in rows}) == len(rows)
+    with pytest.raises(Exception, match="does not hold"):
+        tokenbin.write_rows(docs_of(spark, texts), dtype="<u1").collect()
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -573,6 +586,52 @@ def test_quality_rules_agree_with_labels(spark, sf_dir):
     assert np.mean([labels[r["doc_id"]] == int(r["kept"]) for r in rows]) > 0.9
 
 
+VOTES = [
+    lambda c: (c["n_words"] >= 50) - (c["n_words"] < 20), lambda c: (3 * c["n_words"] <= c["word_chars"] <= 9 * c["n_words"]) - (c["word_chars"] < 2 * c["n_words"] or c["word_chars"] > 14 * c["n_words"]),
+    lambda c: (100 * c["n_symbols"] <= c["word_chars"]) - (100 * c["n_symbols"] > 8 * c["word_chars"]), lambda c: (20 * c["n_symbols"] <= c["n_words"]) - (10 * c["n_symbols"] > 3 * c["n_words"]),
+    lambda c: (10 * c["n_dup_lines"] <= c["n_lines"]) - (10 * c["n_dup_lines"] > 3 * c["n_lines"]), lambda c: (20 * c["n_repeat_words"] <= c["n_words"]) - (100 * c["n_repeat_words"] > 15 * c["n_words"]),
+    lambda c: (100 * c["n_capitals"] <= 15 * c["word_chars"]) - (100 * c["n_capitals"] > 35 * c["word_chars"]), lambda c: (50 * c["n_marks"] <= c["n_words"]) - (10 * c["n_marks"] > 3 * c["n_words"]),
+    lambda c: (20 * c["n_digits"] <= c["word_chars"]) - (3 * c["n_digits"] > c["word_chars"]),
+]
+
+
+def test_quality_verdicts_row_by_row(spark, documents):
+    """Votes, estimates over all rows one by one, and posteriors, without patterns or DataFrame functions."""
+    texts = {i: r["text"] for i, r in documents.items()}
+    found = {}
+    for i, t in texts.items():
+        n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words = counted(t)
+        t = t or ""
+        c = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "n_lines": sum(bool(WORDS.search(x)) for x in t.split("\n"))}
+        c |= {"n_capitals": len(re.findall("[A-Z]", t)), "n_marks": len(re.findall("[!?]", t)), "n_digits": len(re.findall("[0-9]", t))}
+        failed = n_words < 10 or 100 * n_repeat_words > 20 * n_words
+        found[i] = tuple(int(v(c)) for v in VOTES), failed
+    prior, table = 0.8, [{True: {1: 0.8, 0: 0.18, -1: 0.02}, False: {1: 0.4, 0: 0.2, -1: 0.4}} for _ in VOTES]
+
+    def quality(v):
+        good, bad = prior, 1 - prior
+        for x, t in zip(v, table):
+            good, bad = good * t[True][x], bad * t[False][x]
+        return good / (good + bad)
+
+    for _ in range(100):
+        posts = {i: quality(v) for i, (v, _) in found.items()}
+        new = min(max((sum(posts.values()) + 1) / (len(found) + 2), 0.05), 0.95)
+        for k, t in enumerate(table):
+            for side in (True, False):
+                seen = {x: 1 + sum(posts[i] if side else 1 - posts[i] for i, (v, _) in found.items() if v[k] == x) for x in (1, 0, -1)}
+                t[side] = {x: n / sum(seen.values()) for x, n in seen.items()}
+            if t[True][1] * t[False][-1] < t[False][1] * t[True][-1]:
+                for x in (1, -1):
+                    t[True][x] = t[False][x] = (t[True][x] + t[False][x]) / 2
+        if abs(new - prior) < 1e-9:
+            break
+        prior = new
+    for r in weakrules.judge(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        v, failed = found[r["doc_id"]]
+        assert r["quality"] == pytest.approx(quality(v), abs=1e-6) and r["kept"] == (not failed and quality(v) >= 0.5)
+
+
 def test_em_recovers_rules():
     r = random.Random(1)
     patterns = collections.Counter()
@@ -731,3 +790,7 @@ def test_null_ids_and_repeats(spark):
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in tokenjoin.join(df).collect()) == [(str(2**60 + 1), 2**60 + 1)] * 2 + [("7", 7), ("None", 2**60 + 1)]
     assert packing.pack(df).count() == 4 and sharding.shard(df, 4).count() == 4 and secrets.scan(df).count() == 4 and weakrules.judge(df).count() == 4
     assert {r["doc_id"] for r in packing.pack(df).collect()} == {None, 2**60 + 1, 7}
+    assert {i for r in tokenbin.write_rows(df).collect() for i in r["doc_ids"]} == {None, 2**60 + 1, 7}
+    model = langid.fit(df.withColumn("lang", F.lit("en")))
+    assert sorted((str(r["doc_id"]), r["lang_pred"]) for r in langid.predict(df, model).collect()) == [(str(2**60 + 1), "en")] * 2 + [("7", "und"), ("None", "en")]
+    assert decontam.find(df, spark.createDataFrame([(None, "three four five six"), (1, None)], "item_id long, text string")).count() == 3
