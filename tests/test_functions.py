@@ -46,13 +46,13 @@ def test_jaro_winkler():
 @given(st.text("abcd!", max_size=12), st.text("abcd!", max_size=12))
 def test_cascade_is_symmetric(a, b):
     c = Cascade()
-    assert c.compare(c.features(a, 1), c.features(b, 1)) == c.compare(c.features(b, 1), c.features(a, 1))
+    assert c.compare(c.features(a), c.features(b)) == c.compare(c.features(b), c.features(a))
 
 
 def test_cascade_types():
     c = Cascade(cross_types=False)
-    assert c.compare(c.features("a", 1), c.features("a", 4)) is None
-    assert Cascade().compare(Cascade().features("哈哈哈哈哈", 1), Cascade().features("哈哈哈哈哈啊", 1)) == "edit"
+    assert c.matcher()("a", 1, "a", 4) is None and c.matcher()("a", 4, "a", 4) == "identical"
+    assert Cascade().matcher()("哈哈哈哈哈", 1, "哈哈哈哈哈啊", 1) == "edit"
 
 
 def test_marks_and_times(spark):

@@ -30,7 +30,7 @@ def test_fuzzy_assign_is_one_pass(spark):
         for cid, _, t, kind, _, _ in sorted((r for r in rows if r[1] == s), key=lambda r: (int(r[2] * 1000 + 0.5), r[0])):
             ms = int(t * 1000 + 0.5)
             live = [x for x in live if ms - x[0] <= 4000]
-            f = c.features(norms[cid], kind)
+            f = c.features(norms[cid])
             hit = next(((leader, why) for _, leader, g in reversed(live) if (why := c.compare(f, g))), None)
             if hit is None:
                 live.append((ms, cid, f))
@@ -48,8 +48,142 @@ def test_lanes_do_not_collide(spark):
         for i, b in enumerate(mine):
             for a in mine[:i]:
                 if a["end_time"] > b["start_time"] and a["y"] < b["y"] + 200 and b["y"] < a["y"] + 200:
-                    before = {"start": a["start_time"], "end": a["end_time"], "length": a["length"], "speed": (a["length"] + 1920) / 15}
-                    assert not layout.catches(before, b["start_time"], (b["length"] + 1920) / 15)
+                    # the front row's tail is left of the follower's head when that enters and when the front row leaves
+                    for t in (b["start_time"], a["end_time"]):
+                        tail = 1920 + a["length"] - (a["length"] + 1920) / 15 * (t - a["start_time"])
+                        assert tail <= 1920 - (b["length"] + 1920) / 15 * (t - b["start_time"]) + 1e-6
+
+
+def first_fit(rows, size, height, upward, meets):
+    """The nearest place to the edge where no row in the way meets the new one, by trying all."""
+    places = range(height - size + 1, 0, -1) if upward else range(1, height - size + 2)
+    return next((y for y in places if not any(y < r["y"] + r["size"] and r["y"] < y + size and meets(r) for r in rows)), None)
+
+
+def test_lanes_by_trying_all_places():
+    r = random.Random(12)
+    for trial in range(20):
+        screen, rows, now = layout.Screen(100), [], 0.0
+        for _ in range(60):
+            now += r.choice([0, 0, 0.5, 1, 2.5])
+            size, length = r.choice([10, 17, 30]), r.choice([10.0, 200.0, 900.0])
+            rows = [x for x in rows if x["end"] > now]
+            if trial % 2:
+                speed = (length + 1920) / 15
+                meets = lambda x: any(1920 + x["length"] - x["speed"] * (t - x["start"]) > 1920 - speed * (t - now) + 1e-9 for t in (now, x["end"]))  # noqa: B023, E731
+                y, got, end = first_fit(rows, size, 100, False, meets), layout.roll(screen, now, length, size, 15), now + 15
+            else:
+                upward = r.random() < 0.5
+                y, got, end = first_fit(rows, size, 100, upward, lambda x: True), layout.stack(screen, now, size, 5, upward), now + 5
+            assert got == y
+            if y is not None:
+                rows.append({"y": y, "size": size, "start": now, "end": end, "length": length, "speed": (length + 1920) / 15})
+
+
+def test_slices_do_not_show(spark):
+    """Numbers, stretches and values on screen are those of one pass over each stream, whatever the slices."""
+    from pyspark.sql import functions as F
+
+    rows, df = made(spark, 500, span=5000.0)
+    df = df.unionByName(spark.createDataFrame([(900, None, 3.0, 1, 0, "x"), (901, "s0", None, 1, 0, "x"), (902, "s0", None, 1, 0, "y"), (903, "s1", 17.0, 1, 0, "y"), (904, "s1", 17.0, 1, 0, "yy")], df.schema))
+    rows = [tuple(r) for r in df.collect()]
+    first = lambda r: (r[2] is not None, r[2] or 0, r[1] or "", r[0])
+    for stream in (["source"], None):
+        expected = {}
+        for s in {r[1] for r in rows} if stream else {None}:
+            mine = sorted((r for r in rows if not stream or r[1] == s), key=first)
+            expected |= {r[0]: k + 1 for k, r in enumerate(mine)}
+        assert {r["cid"]: r["ord"] for r in timeline.ordered(df, stream, span=0.7).collect()} == expected
+    for gap in (0, 1, 9):
+        expected = {}
+        for s in {r[1] for r in rows}:
+            number, last = 0, None
+            for r in sorted((r for r in rows if r[1] == s), key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+                number += not (last is not None and r[2] is not None and r[2] - last <= gap)
+                last = r[2]
+                expected[r[0]] = number
+        assert {r["cid"]: r["session"] for r in timeline.sessions(df, gap, ["source"], order=["cid"]).collect()} == expected
+    timed = df.where("time is not null").withColumn("t_ms", F.floor(F.col("time") * 1000 + 0.5).cast("bigint"))
+    for span in (40, 5000):
+        got = {r["cid"]: r["onscreen"] for r in merging.on_screen(timed, ["source"], F.char_length("text").cast("double"), span_ms=span).collect()}
+        ms = {r[0]: int(r[2] * 1000 + 0.5) for r in rows if r[2] is not None}
+        assert len(got) == len(ms)
+        for r in rows:
+            if r[2] is not None:
+                assert got[r[0]] == sum(len(q[5]) for q in rows if q[1] == r[1] and q[2] is not None and ms[r[0]] - span <= ms[q[0]] and (ms[q[0]], q[0]) <= (ms[r[0]], r[0]))
+
+
+def test_colour_leaders_in_order(spark):
+    r = random.Random(2)
+    colours = [r.choice([0, 0x101010, 0x808080]) + r.randrange(40) * 0x10000 + r.randrange(40) * 0x100 + r.randrange(40) for _ in range(400)]
+    palette, leaders = merging.Palette(15), []
+    apart = lambda a, b: sum((((a >> k) & 255) - ((b >> k) & 255)) ** 2 for k in (0, 8, 16)) ** 0.5
+    for c in colours:
+        found = next((x for x in leaders if apart(x, c) <= 15), c)
+        if found == c and c not in leaders:
+            leaders.append(c)
+        assert palette.leader(c) == found
+    assert len(leaders) > 20
+
+
+def test_equal_texts_merge_by_one_pass(spark):
+    rows, df = made(spark, 300, span=60.0)
+    got = {r["cid"]: (r["merge_count"], r["out_text"]) for r in merging.tolerance_merge(df, 5, stream=["source"]).collect()}
+    expected = {}
+    for key in {(r[1], r[5], r[3]) for r in rows}:
+        run = []
+        for r in [*sorted((r for r in rows if (r[1], r[5], r[3]) == key), key=lambda r: (r[2], r[0])), None]:
+            if run and (r is None or r[2] - run[0][2] > 5):
+                n = len(run)
+                expected[run[0][0]] = (n, key[1] + (f"x{n}" if n > 2 or len({x[2] for x in run}) > 1 else ""))
+                run = []
+            run.append(r)
+    assert got == expected
+
+
+def test_rows_that_do_not_merge_pass_through(spark):
+    df = spark.createDataFrame([(1, "a", 1.0, 1, 5, "hello"), (2, "a", 2.0, 1, 6, "hello"), (3, "a", 2.5, 7, 7, "hello"), (4, "a", 3.0, 1, 8, ""), (5, "a", 3.0, None, 8, "hello"), (6, "a", 3.0, 1, 8, None)], "cid long, source string, time double, type int, color int, text string")
+    got = sorted((r["leader"], r["text"], r["merge_count"], r["merge_reason"]) for r in merging.merge_all(df, ["source"]).na.fill("none").collect())
+    assert got == [(1, "hello(2)", 2, "identical"), (3, "hello", 1, "orig"), (4, "", 1, "orig"), (5, "hello", 1, "orig"), (6, "none", 1, "orig")]
+    plain = merging.fuzzy_merge(merging.fuzzy_assign(spark.createDataFrame([(k, "a", float(k), 1, 0, t) for k, t in enumerate(["yes!", "yes~", "yes~", "yes!", "yes"])], df.schema), ["source"]), normalize_display=False)
+    assert [r["text"] for r in plain.collect()] == ["yes~(5)"]
+
+
+def test_fingerprints_and_file_heads(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from timedtext.functions import addresses
+
+    def brute(data):
+        h = 5381
+        for b in data:
+            h = (h * 33 + b) % 2**32
+        return f"{h:08x}"
+
+    texts = ["", "a", "é😀", "x" * 100 + "1", "x" * 100 + "2"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", addresses.times33(F.encode("t", "UTF-8")).alias("f")).collect()
+    assert all(r["f"] == brute(r["t"].encode()) for r in rows)
+    big = b"ab" * (8 * 1024 * 1024)
+    files = spark.createDataFrame([(bytearray(big + b"tail"),), (bytearray(big),), (bytearray(b"short"),)], "content binary")
+    got = [r[0] for r in files.select(addresses.head_hash(F.col("content"))).collect()]
+    assert got == [hashlib.md5(big).hexdigest()] * 2 + [None]
+    # published vectors of the cipher's standard, first block
+    key, data = F.unhex(F.lit("2b7e151628aed2a6abf7158809cf4f3c")), F.unhex(F.lit("6bc1bee22e409f96e93d7e117393172a"))
+    iv = F.unhex(F.lit("000102030405060708090a0b0c0d0e0f"))
+    ecb, cbc = spark.range(1).select(F.hex(addresses.aes_encrypt(data, key)), F.hex(addresses.aes_encrypt(data, key, "CBC", iv))).first()
+    assert ecb.startswith("3AD77BB40D7A3660A89ECAF32466EF97") and cbc.startswith("7649ABAC8119B246CEE98E9B12E9197D")
+
+
+def test_histories_are_written(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([("b", 2, None), ("a", 1, "x")], "path string, n int, note string")
+    export.write_history(rows, "path", str(tmp_path / "h"))
+    export.write_history(rows, "path", str(tmp_path / "h"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "h")).collect()]
+    assert [json.loads(x) for x in lines] == [{"a": {"n": 1, "note": "x"}, "b": {"n": 2}}]
 
 
 def test_fixed_rows_do_not_overlap(spark):
@@ -115,7 +249,7 @@ def test_archives(spark, tmp_path):
     assert sum(r["error"] is not None for r in rows) == 1
 
 
-@pytest.mark.parametrize("kind", ["fuzzy", "dedup", "tolerance"])
+@pytest.mark.parametrize("kind", ["fuzzy", "dedup", "tolerance", "onscreen"])
 def test_streams_equal_batch(spark, tmp_path, kind):
     from pyspark.sql import functions as F
 
@@ -135,6 +269,11 @@ def test_streams_equal_batch(spark, tmp_path, kind):
         out = stateful.trigger_dedup(stream, "text", delay="200 seconds")
         expected = {r["cid"]: r["accepted"] for r in merging.trigger_dedup(df, "text").collect()}
         value = lambda r: r["accepted"]
+    elif kind == "onscreen":
+        out = stateful.on_screen(stream, "source", delay="200 seconds")
+        whole = df.withColumn("t_ms", F.floor(F.col("time") * 1000 + 0.5).cast("bigint"))
+        expected = {r["cid"]: round(r["onscreen"], 6) for r in merging.on_screen(whole, ["source"], F.sqrt(F.char_length("text"))).collect()}
+        value = lambda r: round(r["onscreen"], 6)
     else:
         out = stateful.tolerance_merge(stream, "text", delay="200 seconds")
         anchors = {r["cid"] for r in merging.tolerance_merge(df, 5, by_type=False).collect()}
@@ -152,6 +291,23 @@ def test_streams_equal_batch(spark, tmp_path, kind):
         assert {r["cid"]: value(r) for r in got} == expected
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    from timedtext.streaming import stateful
+
+    schema = "cid long, source string, ts timestamp, type int, text string"
+    times = [["2024-01-01 00:00:00", "2024-01-01 00:10:00"], ["2024-01-01 00:10:01"], ["2024-01-01 00:00:30", "2024-01-01 00:00:40", "2024-01-01 00:11:00"]]
+    for k, part in enumerate(times):
+        rows = spark.createDataFrame([(10 * k + i, "a", t, 1, "x") for i, t in enumerate(part)], "cid long, source string, t string, type int, text string")
+        rows.selectExpr("cid", "source", "cast(t as timestamp) as ts", "type", "text").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    query = stateful.session_counts(stream, "source", delay="1 second").writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "ckpt")).start()
+    try:
+        query.processAllAvailable()
+        assert stateful.late_rows(query) == 2
+    finally:
+        query.stop()
+
+
 def test_rule_files_are_edited_in_place(tmp_path):
     from timedtext.sources.rulefile import RuleFile
 

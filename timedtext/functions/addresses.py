@@ -119,6 +119,31 @@ def failure_hint(error: Column) -> Column:
     return F.coalesce(F.nullif(F.concat_ws("：", head, detail), F.lit("")), F.lit(NO_DETAIL))
 
 
+def base64(data: Column) -> Column:
+    """Base64 in one line."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
+#: Files are known by this many bytes at their start; shorter ones have no hash.
+HEAD_BYTES = 16 * 1024 * 1024
+
+
+def head_hash(content: Column) -> Column:
+    """MD5 of the first 16 MiB of a file's bytes, null for a shorter file."""
+    return F.when(F.octet_length(content) >= HEAD_BYTES, F.md5(F.substring(content, 1, HEAD_BYTES)))
+
+
+def aes_encrypt(data: Column, key: Column, mode: str = "ECB", iv: Column | None = None) -> Column:
+    """AES in ECB or CBC mode with PKCS padding; in CBC the initial vector is not part of the result."""
+    if mode == "ECB":
+        return F.aes_encrypt(data, key, F.lit(mode), F.lit("PKCS"))
+    return F.substr(F.aes_encrypt(data, key, F.lit(mode), F.lit("PKCS"), iv), F.lit(17))
+
+
+def aes_decrypt(data: Column, key: Column, mode: str = "ECB", iv: Column | None = None) -> Column:
+    return F.aes_decrypt(data if mode == "ECB" else F.concat(iv, data), key, F.lit(mode), F.lit("PKCS"))
+
+
 def times33(data: Column) -> Column:
     """Fingerprint of the bytes: h = (h * 33 + byte) mod 2^32 from 5381, as eight hexadecimal digits."""
     codes = F.transform(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("bigint"))

@@ -49,6 +49,51 @@ def sound_distance(a: Column, b: Column, sounds: dict[str, list[str]]) -> Column
     return bag_distance(sound_tokens(a, sounds), sound_tokens(b, sounds))
 
 
+class _ColumnText:
+    """A normalised text as a column, as ``Cascade`` looks at it."""
+
+    def __init__(self, text: Column, sounds: dict):
+        self.text, self.size = text, F.char_length(text)
+        self.tokens = sound_tokens(text, sounds)
+        self.heard = F.size(self.tokens)
+
+    def apart(self, other: _ColumnText, near: Column) -> Column:
+        return char_distance(self.text, other.text)
+
+    def apart_in_sound(self, other: _ColumnText, near: Column) -> Column:
+        return bag_distance(self.tokens, other.tokens)
+
+    def score(self, other: _ColumnText) -> Column:
+        return bigram_score(self.text, other.text)
+
+
+class _PlainText:
+    """The same of a plain string; distances are not computed where lengths are too far apart."""
+
+    def __init__(self, text: str, sounds: dict):
+        self.text, self.size = text, len(text)
+        tokens = [t for c in text for t in (sounds.get(c) or [c.lower() if "A" <= c <= "Z" else c])] if sounds else []
+        self.heard = len(tokens)
+        self.chars, self.tokens, self.grams = Counter(text), Counter(tokens), Counter(map("".join, zip(text, text[1:])))
+        self.square = sum(v * v for v in self.grams.values())
+
+    def apart(self, other: _PlainText, near: bool) -> float:
+        return self.size + other.size - 2 * _common(self.chars, other.chars) if near else float("inf")
+
+    def apart_in_sound(self, other: _PlainText, near: bool) -> float:
+        return self.heard + other.heard - 2 * _common(self.tokens, other.tokens) if near else float("inf")
+
+    def score(self, other: _PlainText) -> int:
+        if not self.square or not other.square or self.grams.keys().isdisjoint(other.grams):
+            return 0
+        dot = sum(v * other.grams[k] for k, v in self.grams.items() if k in other.grams)
+        return int(dot * dot / self.square / other.square * 100)
+
+
+def _common(a: Counter, b: Counter) -> int:
+    return sum(min(v, b[k]) for k, v in a.items() if k in b)
+
+
 @dataclass(frozen=True)
 class Cascade:
     """When two texts count as alike: the same, by characters, by sound, by bigrams."""
@@ -62,53 +107,65 @@ class Cascade:
     def min_size(self) -> int:
         return max(1, 2 * self.max_dist)
 
+    def tests(self, a, b):
+        """(reason, whether it holds, distance) of each test in order, for texts as columns or as plain strings. Conditions
+        are joined by ``&`` and ``|``, which both understand."""
+        m, size = self.max_dist, self.min_size
+
+        def close(gap, distance, total):
+            return (gap <= m) & (gap >= -m) & (((total < size) & (distance * size < m * total)) | ((total >= size) & (distance <= m)))
+
+        yield "identical", a.text == b.text, 0
+        gap, total = a.size - b.size, a.size + b.size
+        edit = a.apart(b, (gap <= m) & (gap >= -m))
+        yield "edit", close(gap, edit, total), edit
+        if self.sounds:
+            gap_in_sound = a.heard - b.heard
+            heard = a.apart_in_sound(b, (gap_in_sound <= m) & (gap_in_sound >= -m))
+            yield "pinyin", close(gap_in_sound, heard, total), heard
+        if self.max_cosine <= 100:
+            score = a.score(b)
+            # texts of like length without a common character are not looked at
+            yield "cosine", ((gap > m) | (gap < -m) | (edit < total)) & (score >= self.max_cosine), score
+
     def columns(self, a: Column, b: Column) -> tuple[Column, Column]:
         """(reason, distance) for two normalised texts, null where they differ."""
-        la, lb = F.char_length(a), F.char_length(b)
-        total, m, size = la + lb, self.max_dist, self.min_size
-        within = lambda d, both: F.when(both < size, d < F.lit(float(m)) * both / size).otherwise(d <= m)
-        edit = char_distance(a, b)
-        by_edit = (F.abs(la - lb) <= m) & within(edit, total)
-        ta, tb = sound_tokens(a, self.sounds), sound_tokens(b, self.sounds)
-        sound = bag_distance(ta, tb)
-        by_sound = F.lit(bool(self.sounds)) & (F.abs(F.size(ta) - F.size(tb)) <= m) & within(sound, total)
-        score = bigram_score(a, b)
-        apart = (F.abs(la - lb) <= m) & (edit >= total)
-        by_grams = F.lit(self.max_cosine <= 100) & ~apart & (score >= self.max_cosine)
-        reason = F.when(a == b, "identical").when(by_edit, "edit").when(by_sound, "pinyin").when(by_grams, "cosine")
-        dist = F.when(a == b, F.lit(0)).when(by_edit, edit).when(by_sound, sound).when(by_grams, score)
-        return reason, dist.cast("bigint")
-
-    def features(self, text: str, kind: int) -> tuple:
-        tokens = [t for c in text for t in (self.sounds.get(c) or [c.lower() if "A" <= c <= "Z" else c])] if self.sounds else []
-        return text, len(text), Counter(text), Counter(tokens), len(tokens), Counter(map("".join, zip(text, text[1:]))), kind
-
-    def compare(self, a: tuple, b: tuple) -> str | None:
-        """The reason why two texts (as ``features``) are alike, or None."""
-        if not self.cross_types and a[6] != b[6]:
-            return None
-        if a[0] == b[0]:
-            return "identical"
-        total, m, size = a[1] + b[1], self.max_dist, self.min_size
-        close = lambda d: d < m * total / size if total < size else d <= m
-        edit = None
-        if abs(a[1] - b[1]) <= m:
-            edit = _apart(a[2], b[2])
-            if close(edit):
-                return "edit"
-        if self.sounds and abs(a[4] - b[4]) <= m and close(_apart(a[3], b[3])):
-            return "pinyin"
-        if self.max_cosine <= 100 and not (edit is not None and edit >= total):
-            g, h = a[5], b[5]
-            na, nb = sum(v * v for v in g.values()), sum(v * v for v in h.values())
-            if na and nb:
-                dot = sum(v * h[k] for k, v in g.items() if k in h)
-                if dot * dot / na / nb * 100 // 1 >= self.max_cosine:
-                    return "cosine"
-            elif self.max_cosine <= 0:
-                return "cosine"
-        return None
-
-
-def _apart(a: Counter, b: Counter) -> int:
-    return sum(abs(v - b[k]) for k, v in a.items()) + sum(v for k, v in b.items() if k not in a)
+        reason = distance = F
+        for name, holds, value in self.tests(_ColumnText(a, self.sounds), _ColumnText(b, self.sounds)):
+            reason, distance = reason.when(holds, name), distance.when(holds, value)
+        return reason, distance.cast("bigint")
+
+    def features(self, text: str) -> _PlainText:
+        return _PlainText(text, self.sounds)
+
+    def compare(self, a: _PlainText, b: _PlainText) -> str | None:
+        """The reason why two texts are alike, or None."""
+        return next((name for name, holds, _ in self.tests(a, b) if holds), None)
+
+    def matcher(self, most: int = 200_000):
+        """(text, type, text, type) -> reason or None; remembers a bounded number of texts and answers."""
+        texts: dict[str, _PlainText] = {}
+        known: dict[tuple[str, str], str | None] = {}
+
+        def of(text: str) -> _PlainText:
+            found = texts.get(text)
+            if found is None:
+                if len(texts) >= most // 10:
+                    texts.clear()
+                found = texts[text] = self.features(text)
+            return found
+
+        def match(a: str, kind_a: int, b: str, kind_b: int) -> str | None:
+            if kind_a != kind_b and not self.cross_types:
+                return None
+            if a == b:
+                return "identical"
+            try:
+                return known[a, b]
+            except KeyError:
+                if len(known) >= most:
+                    known.clear()
+                found = known[a, b] = self.compare(of(a), of(b))
+                return found
+
+        return match

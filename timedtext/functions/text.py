@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,9 +37,16 @@ def fold_spaces(text: Column) -> Column:
     return F.regexp_replace(inner, r"[ 　]+", " ")
 
 
-def force(text: Column, rules=FORCED) -> Column:
-    """Ordered replacements by regular expression; quantifiers keep their upper bounds."""
-    return reduce(lambda t, rule: F.regexp_replace(t, rule[0].replace("$", r"\z") if rule[0].endswith("$") else rule[0], rule[1]), rules, text)
+def force(text: Column, rules=FORCED, strict_reference: bool = False, once: bool = False) -> Column:
+    """Ordered replacements by regular expression. Quantifiers keep their upper bounds; with ``strict_reference`` ``{n,m}``
+    has none. ``once``: only the first match of each rule is replaced."""
+
+    def one(t: Column, rule: tuple[str, str]) -> Column:
+        pattern = re.sub(r"\{(\d+),\d+\}", r"{\1,}", rule[0]) if strict_reference else rule[0]
+        pattern = pattern[:-1] + r"\z" if pattern.endswith("$") else pattern
+        return F.regexp_replace(t, rf"(?s)\A(.*?){pattern}" if once else pattern, f"$1{rule[1]}" if once else rule[1])
+
+    return reduce(one, rules, text)
 
 
 def normalize(text: Column, ending: bool = True, width: bool = True, spaces: bool = True, rules=FORCED) -> Column:
@@ -111,6 +119,11 @@ def convert_script(text: Column, table: dict[str, str]) -> Column:
     return F.translate(text, "".join(keys), "".join(table[k] for k in keys)) if keys else text
 
 
+def convert_by_mode(text: Column, mode: Column, to_simple: dict[str, str], to_full: dict[str, str]) -> Column:
+    """Mode 1 by the first table, mode 2 by the second, any other not at all."""
+    return F.when(mode == 1, convert_script(text, to_simple)).when(mode == 2, convert_script(text, to_full)).otherwise(text)
+
+
 # --- merge marks ---------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,63 +19,62 @@ def timed(comments: DataFrame, scroll: float = 15, fixed: float = 5) -> DataFram
     return comments.where(F.col("type").between(1, 5)).withColumn("start_time", start).withColumn("end_time", F.col("start_time") + F.when(F.col("type") <= 3, F.lit(float(scroll))).otherwise(F.lit(float(fixed))))
 
 
-class Lanes:
-    """Occupied stretches of the vertical axis, each with what can still collide."""
+class Screen:
+    """Rows on the screen in order of their top edge: (top, first line below, time it ends, time from which a slow row may
+    follow it). Lines are counted from the edge that rows are stacked from."""
 
     def __init__(self, height: int):
         self.height = height
-        self.placed: list[dict] = []
-
-    def expire(self, now: float) -> None:
-        self.placed = [p for p in self.placed if p["end"] > now]
-
-    def first_free(self, size: int, collides, upward: bool = False) -> int | None:
-        """The first place, from the top or from the bottom, whose overlapping rows do not collide."""
-        y = self.height - size + 1 if upward else 1
-        while 1 <= y and y + size - 1 <= self.height:
-            near = [p for p in self.placed if y < p["y"] + p["size"] and p["y"] < y + size and collides(p)]
-            if not near:
-                return y
-            y = min(p["y"] - size for p in near) if upward else max(p["y"] + p["size"] for p in near)
-        return None
-
-
-def catches(previous: dict, start: float, speed: float) -> bool:
-    """Whether a row entering at ``start`` touches the previous one of its lane."""
-    gap = (start - previous["start"]) * previous["speed"] - previous["length"]
-    if gap < 0:
-        return True
-    faster = speed - previous["speed"]
-    return faster > 0 and gap / faster < previous["end"] - start
-
-
-def roll_step(lanes: Lanes, start: float, length: float, size: int, duration: float) -> int | None:
-    lanes.expire(start)
+        self.rows: list[tuple[int, int, float, float]] = []
+
+    def put(self, now: float, size: int, end: float, clear: float, blocks) -> int | None:
+        """Put a row into the first gap of ``size`` lines between the rows that block it; its top line, or None."""
+        self.rows = [r for r in self.rows if r[2] > now]
+        top = 1
+        for other in self.rows:
+            if other[0] >= top + size:
+                break
+            if other[1] > top and blocks(other):
+                top = other[1]
+        if top + size > self.height + 1:
+            return None
+        insort(self.rows, (top, top + size, end, clear))
+        return top
+
+    def upside_down(self) -> None:
+        """Count lines from the other edge."""
+        self.rows = sorted((self.height + 2 - below, self.height + 2 - top, end, clear) for top, below, end, clear in self.rows)
+
+
+def roll(screen: Screen, start: float, length: float, size: int, duration: float) -> int | None:
+    """Place a row that crosses the screen. It may enter behind another one when that one's tail is inside, and when it
+    reaches the far edge, ``SCREEN_X / speed`` after its start, no earlier than the other one has left. For a row no faster
+    than the other the second follows from the first."""
     speed = (length + SCREEN_X) / duration
-    y = lanes.first_free(size, lambda p: catches(p, start, speed))
-    if y is not None:
-        lanes.placed.append({"y": y, "size": size, "start": start, "end": start + duration, "length": length, "speed": speed})
-    return y
+    crossing = SCREEN_X / speed
+    return screen.put(start, size, start + duration, start + length / speed, lambda other: start < max(other[3], other[2] - crossing))
 
 
-def stack_step(lanes: Lanes, start: float, size: int, duration: float, upward: bool) -> int | None:
-    lanes.expire(start)
-    y = lanes.first_free(size, lambda p: True, upward)
-    if y is not None:
-        lanes.placed.append({"y": y, "size": size, "end": start + duration})
-    return y
+def stack(screen: Screen, start: float, size: int, duration: float, upward: bool) -> int | None:
+    """Place a row that stands still, from the top or from the bottom; any row in its way blocks it."""
+    if not upward:
+        return screen.put(start, size, start + duration, 0.0, lambda other: True)
+    screen.upside_down()
+    from_below = screen.put(start, size, start + duration, 0.0, lambda other: True)
+    screen.upside_down()
+    return None if from_below is None else screen.height + 2 - from_below - size
 
 
 def lanes_rolling(events: DataFrame, stream: list[str], duration: float = 15, height: int = 918) -> DataFrame:
     """Adds ``y`` to rolling rows (start_time, length, size), null where no lane is free."""
-    step = lambda s, r: roll_step(s, r.start_time, r.length, int(r.size), duration)
-    return _fold(events, stream, duration, "start_time", lambda: Lanes(height), step, "y", "int")
+    step = lambda s, start, length, size: roll(s, start, length, size, duration)
+    return _fold(events, stream, duration, "start_time", lambda: Screen(height), step, "y", "int", ["start_time", "length", "size"])
 
 
 def lanes_fixed(events: DataFrame, stream: list[str], duration: float = 5, height: int = 918) -> DataFrame:
     """Adds ``y`` to fixed rows (start_time, type, size): type 5 from the top, type 4 from the bottom, in one stack."""
-    step = lambda s, r: stack_step(s, r.start_time, int(r.size), duration, r.type == 4)
-    return _fold(events, stream, duration, "start_time", lambda: Lanes(height), step, "y", "int")
+    step = lambda s, start, kind, size: stack(s, start, size, duration, kind == 4)
+    return _fold(events, stream, duration, "start_time", lambda: Screen(height), step, "y", "int", ["start_time", "type", "size"])
 
 
 def font_size(base: int, scale: Column) -> Column:

@@ -6,38 +6,58 @@ stretches are independent and results are those of one pass over everything.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from timedtext.functions.similarity import Cascade
-from timedtext.functions.text import colour_distance, enlarge, mark, normalize, with_mark
-from timedtext.operators.timeline import sessions
+from timedtext.functions.text import enlarge, mark, normalize, with_mark
+from timedtext.operators.timeline import _with_sums, sessions, slice_of
 
 WHITE = 16777215
 
 
-def colour_leaders(colours: Column, tolerance: float = 15) -> Column:
-    """The leading colours among ``colours`` (distinct, in order of first appearance): each joins the first leader at
-    most ``tolerance`` away or leads."""
-    near = lambda out, c: F.exists(out, lambda l: colour_distance(l, c) <= tolerance)
-    return F.aggregate(colours, F.array().cast("array<int>"), lambda out, c: F.when(near(out, c), out).otherwise(F.concat(out, F.array(c))))
-
-
-def leader_of(leaders: Column, colour: Column, tolerance: float = 15) -> Column:
-    return F.get(F.filter(leaders, lambda l: colour_distance(l, colour) <= tolerance), F.lit(0))
+class Palette:
+    """Leading colours, found again by cells as wide as the tolerance."""
+
+    def __init__(self, tolerance: float):
+        self.tolerance, self.width = tolerance, max(tolerance, 1)
+        self.cells: dict[tuple, list[tuple]] = {}
+        self.size = 0
+
+    def leader(self, colour: int) -> int:
+        """The first leader at most the tolerance away; else the colour itself leads from now on."""
+        rgb = (colour >> 16) & 255, (colour >> 8) & 255, colour & 255
+        x, y, z = (int(c / self.width) for c in rgb)
+        near = [
+            found
+            for i in (x - 1, x, x + 1)
+            for j in (y - 1, y, y + 1)
+            for k in (z - 1, z, z + 1)
+            for found in self.cells.get((i, j, k), ())
+            if sum((p - q) ** 2 for p, q in zip(found[2], rgb)) ** 0.5 <= self.tolerance
+        ]
+        if near:
+            return min(near)[1]
+        self.cells.setdefault((x, y, z), []).append((self.size, colour, rgb))
+        self.size += 1
+        return colour
 
 
 def with_leader(comments: DataFrame, keys: list[str], order: list[str], tolerance: float = 15, out: str = "leader") -> DataFrame:
-    """Add the leading colour of each row within its key. Only the distinct colours of a key are gathered."""
+    """Add the leading colour of each row within its key: a colour joins the first leader at most ``tolerance`` away, or
+    leads. Only the distinct colours of a key are looked at, in order of first appearance."""
     c = F.coalesce(F.col("color"), F.lit(WHITE)).cast("int")
-    firsts = comments.groupBy(*keys, c.alias("color")).agg(F.min(F.struct(*order)).alias("first"))
-    listed = firsts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "color"))), lambda x: x["color"]).alias("__colours"))
-    led = listed.withColumn("__leaders", colour_leaders(F.col("__colours"), tolerance)).drop("__colours")
-    return comments.join(led, keys).withColumn(out, leader_of(F.col("__leaders"), c, tolerance)).drop("__leaders")
+    firsts = comments.groupBy(*keys, c.alias("__colour")).agg(F.min(F.struct(*order)).alias("__first"))
+    led = _run(firsts, keys, ["__first"], lambda: Palette(tolerance), lambda palette, colour: palette.leader(colour), out, "int", ["__colour"])
+    rows = comments.withColumn("__colour", c)
+    return _with_sums(rows, led.select(*keys, "__colour", out), [*keys, "__colour"]).drop("__colour")
 
 
 def tolerance_merge(comments: DataFrame, threshold: float, stream: list[str] | None = None, by_type: bool = True, by_colour: bool = False) -> DataFrame:
@@ -48,70 +68,49 @@ def tolerance_merge(comments: DataFrame, threshold: float, stream: list[str] | N
     if by_colour:
         rows = with_leader(rows, keys, ["time", "cid"])
         keys = [*keys, "leader"]
-    parts = sessions(rows, threshold, keys, order=["cid"])
-    packed = parts.groupBy(*keys, "session").agg(F.array_sort(F.collect_list(F.struct("time", "cid"))).alias("m"))
-    start = F.array().cast("array<struct<time:double,cid:bigint,n:int,same:boolean>>")
-    row = lambda t, c, n, s: F.struct(t.alias("time"), c.alias("cid"), n.cast("int").alias("n"), s.alias("same"))
 
-    def step(acc, m):
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = F.coalesce(m["time"] - last["time"] <= threshold, F.lit(False))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(row(last["time"], last["cid"], last["n"] + 1, last["same"] & (m["time"] == last["time"]))))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(row(m["time"], m["cid"], F.lit(1), F.lit(True)))))
+    def anchor(state, time, cid):
+        if not state or time is None or time - state[0] > threshold:
+            state[:] = [time, cid]
+        return state[1]
 
-    merged = packed.select(*keys, F.inline(F.aggregate("m", start, step)))
-    kept = merged.select("cid", F.col("n").alias("merge_count"), F.when((F.col("n") > 2) | ~F.col("same"), F.concat("text", F.lit("x"), F.col("n").cast("string"))).otherwise(F.col("text")).alias("out_text"))
-    return comments.join(kept, "cid")
+    led = _fold(rows.select(*keys, "time", "cid"), keys, threshold, "time", list, anchor, "__anchor", "bigint", ["time", "cid"])
+    sizes = led.groupBy("__anchor").agg(F.count("*").cast("int").alias("merge_count"), (F.min("time") == F.max("time")).alias("__same"))
+    tail = F.when((F.col("merge_count") > 2) | ~F.col("__same"), F.concat("text", F.lit("x"), F.col("merge_count").cast("string"))).otherwise(F.col("text"))
+    return comments.join(sizes, comments["cid"] == sizes["__anchor"]).withColumn("out_text", tail).drop("__anchor", "__same")
 
 
-def fuzzy_assign(comments: DataFrame, stream: list[str], threshold: float = 30, cascade: Cascade = Cascade(), packs: int | None = None) -> DataFrame:  # noqa: B008
+def fuzzy_assign(comments: DataFrame, stream: list[str], threshold: float = 30, cascade: Cascade = Cascade()) -> DataFrame:  # noqa: B008
     """Sliding-window leader clustering: adds ``norm``, ``leader`` (the cid of the cluster's first row) and ``reason``.
 
     Rows come in order of (time, cid). A row joins the newest open cluster whose first row is alike; clusters close
-    ``threshold`` after their first row.
+    ``threshold`` after their first row. Stretches without a pause over ``threshold`` are independent; each is one fold.
     """
-    spark = comments.sparkSession
     rows = comments.withColumns({"norm": normalize(F.col("text")), "t_ms": F.floor(F.col("time") * 1000 + 0.5).cast("bigint")})
-    cut = sessions(rows, int(threshold * 1000), stream, time="t_ms", order=["cid"])
-    n = packs or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a pack holds whole sessions; the fold starts afresh at each
-    packed = cut.withColumn("__pack", F.pmod(F.xxhash64(*stream, "session"), F.lit(n)))
     window = int(threshold * 1000)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, live = None, []
-        for pdf in batches:
-            leaders, reasons = [], []
-            names = pdf[[*stream, "session"]].itertuples(index=False, name=None)
-            for name, cid, t, norm, kind in zip(names, pdf["cid"], pdf["t_ms"], pdf["norm"], pdf["type"]):
-                if name != at:
-                    at, live = name, []
-                while live and t - live[0][0] > window:
-                    live.pop(0)
-                mine = cascade.features(norm, kind)
-                for _, leader, theirs in reversed(live):
-                    reason = cascade.compare(mine, theirs)
-                    if reason:
-                        break
-                else:
-                    reason, leader = "orig", cid
-                    live.append((t, cid, mine))
-                leaders.append(leader)
-                reasons.append(reason)
-            yield pdf.drop(columns=["session", "__pack"]).assign(leader=leaders, reason=reasons)
+    match = cascade.matcher()
+
+    def step(live, t, cid, text, kind):
+        while live and t - live[0][0] > window:
+            live.popleft()
+        for _, leader, theirs, their_kind in reversed(live):
+            if reason := match(text, kind, theirs, their_kind):
+                return {"leader": leader, "reason": reason}
+        live.append((t, cid, text, kind))
+        return {"leader": cid, "reason": "orig"}
 
-    fields = [*comments.columns, "norm", "t_ms"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*fields).schema) + ", leader long, reason string"
-    # sorted streams through one Python process for each partition: no group is held in memory
-    spread = packed.repartition(n, "__pack").sortWithinPartitions(*stream, "session", "t_ms", "cid")
-    return spread.select(*fields, "session", "__pack").mapInPandas(fold, schema)
+    found = _fold(rows, stream, window, "t_ms", deque, step, "__found", "struct<leader:bigint,reason:string>", ["t_ms", "cid", "norm", "type"])
+    return found.withColumns({"leader": F.col("__found.leader"), "reason": F.col("__found.reason")}).drop("__found")
 
 
 RANKS = {"identical": 4, "edit": 3, "pinyin": 2, "cosine": 1, "orig": 0}
 
 
-def fuzzy_merge(assigned: DataFrame, percent: int = 20, subscript: bool = False) -> DataFrame:
-    """One row for each cluster: representative time, colour and size, elevated type, display text, mark, scale, reason."""
+def fuzzy_merge(assigned: DataFrame, percent: int = 20, subscript: bool = False, normalize_display: bool = True) -> DataFrame:
+    """One row for each cluster: representative time, colour and size, elevated type, display text, mark, scale, reason.
+    Without ``normalize_display`` the text is the most frequent raw form of the one displayed, of equals the first to get
+    there."""
     by = Window.partitionBy("leader").orderBy("t_ms", "cid")
     counted = assigned.withColumns({"__i": F.row_number().over(by) - 1, "__n": F.count("*").over(Window.partitionBy("leader"))})
     pick = F.greatest(F.least(F.floor(F.col("__n") * percent / 100), F.col("__n") - 1), F.lit(0))
@@ -128,6 +127,10 @@ def fuzzy_merge(assigned: DataFrame, percent: int = 20, subscript: bool = False)
     best = texts.withColumn("top", F.max("n").over(Window.partitionBy("leader"))).where("n = top")
     ties = best.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct(F.char_length("norm").alias("l"), "norm"))).alias("ties"))
     shown = ties.select("leader", F.element_at("ties", (F.floor(F.size("ties") / 2) + 1).cast("int"))["norm"].alias("display"))
+    if not normalize_display:
+        raw = counted.groupBy("leader", F.col("norm").alias("display"), F.col("text").alias("raw")).agg(F.count("*").alias("n"), F.max("__i").alias("last"))
+        most = raw.groupBy("leader", "display").agg(F.max_by("raw", F.struct("n", -F.col("last"))).alias("raw"))
+        shown = shown.join(most, ["leader", "display"]).select("leader", F.col("raw").alias("display"))
     tag = mark(F.col("merge_count"), subscript)
     return head.join(shown, "leader").select(
         "leader",
@@ -142,14 +145,32 @@ def fuzzy_merge(assigned: DataFrame, percent: int = 20, subscript: bool = False)
     )
 
 
+def mergeable(comments: DataFrame) -> Column:
+    """Whether a row takes part in merging: on-screen types with a text."""
+    return F.coalesce(F.col("type").between(1, 5) & (F.col("text") != ""), F.lit(False))
+
+
+def merge_all(comments: DataFrame, stream: list[str], threshold: float = 30, cascade: Cascade = Cascade(), **how) -> DataFrame:  # noqa: B008
+    """Fuzzy merge of the rows that can be merged; the others pass through as clusters of one."""
+    merged = fuzzy_merge(fuzzy_assign(comments.where(mergeable(comments)), stream, threshold, cascade), **how)
+    rest = comments.where(~mergeable(comments))
+    single = rest.select(
+        F.col("cid").alias("leader"), "time", "type", "color", "text", F.lit("").alias("merge_mark"), F.lit(1).alias("merge_count"), F.lit(1.0).alias("merge_scale"), F.lit("orig").alias("merge_reason")
+    )
+    return merged.unionByName(single)
+
+
 def merge_stats(assigned: DataFrame, merged: DataFrame) -> DataFrame:
-    """Counts of a merge in one row."""
+    """Counts of a merge in one row; ``merged`` may carry ``drop`` from the density control."""
+    dropped = F.coalesce(F.col("drop"), F.lit(False)) if "drop" in merged.columns else F.lit(False)
     reasons = assigned.agg(F.count("*").alias("total"), *(F.count_if(F.col("reason") == r).alias(r) for r in ("identical", "edit", "pinyin", "cosine")))
     sizes = merged.agg(
         F.count("*").alias("clusters"),
         F.coalesce(F.sum(F.when(F.col("merge_count") > 1, F.col("merge_count"))), F.lit(0)).cast("bigint").alias("merged"),
         F.coalesce(F.max(F.when(F.col("merge_count") > 1, F.col("merge_count"))), F.lit(0)).cast("int").alias("max_combo"),
         F.count_if(F.col("merge_scale") > 1.001).alias("enlarged"),
+        F.count_if(F.col("merge_scale") < 0.999).alias("shrunk"),
+        F.count_if(dropped).alias("dropped"),
     )
     return reasons.crossJoin(sizes)  # one row each
 
@@ -172,13 +193,15 @@ def display_value(text: Column, font_size: Column) -> Column:
 
 def on_screen(rows: DataFrame, stream: list[str], value: Column, span_ms: int = 5000, out: str = "onscreen") -> DataFrame:
     """The value on screen after each row: its own and that of rows up to ``span_ms`` before it; of rows at the same
-    time only the earlier by cid."""
-    base = rows.withColumn("__v", value)
-    w = Window.partitionBy(*stream).orderBy("t_ms")
-    upto = F.sum("__v").over(w.rangeBetween(-span_ms, 0))
-    peers = Window.partitionBy(*stream, "t_ms")
+    time only the earlier by cid. Rows near the end of a time slice are shown to the next one too, so a stream is many tasks."""
+    at = slice_of(F.col("t_ms"), span_ms)
+    later_slice = slice_of(F.col("t_ms") + span_ms, span_ms)
+    base = rows.withColumn("__v", value).withColumn("__slice", F.explode(F.array_distinct(F.array(at, later_slice)))).withColumn("__own", F.col("__slice").eqNullSafe(at))
+    by = [*stream, "__slice"]
+    upto = F.sum("__v").over(Window.partitionBy(*by).orderBy("t_ms").rangeBetween(-span_ms, 0))
+    peers = Window.partitionBy(*by, "t_ms")
     later = F.sum("__v").over(peers) - F.sum("__v").over(peers.orderBy("cid").rowsBetween(Window.unboundedPreceding, 0))
-    return base.withColumn(out, upto - later).drop("__v")
+    return base.withColumn(out, upto - later).where("__own").drop("__v", "__slice", "__own")
 
 
 def density_shrink(rows: DataFrame, stream: list[str], threshold: float, font_size: float = 25, scale: str = "merge_scale") -> DataFrame:
@@ -188,29 +211,40 @@ def density_shrink(rows: DataFrame, stream: list[str], threshold: float, font_si
     return seen.withColumn(scale, F.when((F.col("onscreen") > threshold) & (rate > 1), F.col(scale) / rate).otherwise(F.col(scale)))
 
 
-def _stretches(rows: DataFrame, stream: list[str], gap: float, start: str) -> DataFrame:
-    """Rows of whole stretches side by side, sorted; folds restart at each."""
-    cut = sessions(rows, gap, stream, time=start, order=["cid"], out="__session")
-    n = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut.repartition(n, F.pmod(F.xxhash64(*stream, "__session"), F.lit(n))).sortWithinPartitions(*stream, "__session", start, "cid")
-
-
-def _fold(rows: DataFrame, stream: list[str], gap: float, start: str, begin, step, out: str, kind: str) -> DataFrame:
-    """Run ``step(state, row) -> value`` along each stretch; ``begin`` makes a fresh state."""
-    fields = rows.columns
+def _run(rows: DataFrame, keys: list[str], order: list[str], begin, step, out: str, kind: str, needs: list[str]) -> DataFrame:
+    """Add ``step(state, *values of needs)`` along the rows of each key in order; ``begin`` makes a fresh state for a key.
+    Keys lie side by side in sorted partitions and pass through one Python process each, so no key is held in memory."""
+    fields = rows.schema.fields
+    schema = StructType([*fields, *StructType.fromDDL(f"`{out}` {kind}")])
+    made = to_arrow_schema(schema).field(out).type
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, None
-        for pdf in batches:
+        for batch in batches:
+            names = zip(*(batch.column(c).to_pylist() for c in keys))
             values = []
-            for name, row in zip(pdf[[*stream, "__session"]].itertuples(index=False, name=None), pdf.itertuples(index=False)):
+            for name, row in zip(names, zip(*(batch.column(c).to_pylist() for c in needs))):
                 if name != at:
                     at, state = name, begin()
-                values.append(step(state, row))
-            yield pdf[fields].assign(**{out: pd.Series(values, index=pdf.index, dtype="object" if kind != "double" else float)})
+                values.append(step(state, *row))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, made)], names=[*batch.schema.names, out])
+
+    return _side_by_side(rows, keys, order).mapInArrow(run, schema)
+
+
+def _side_by_side(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    n = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+
+
+def _fold(rows: DataFrame, stream: list[str], gap: float, start: str, begin, step, out: str, kind: str, needs: list[str]) -> DataFrame:
+    """``_run`` along each stretch of a stream; ``begin`` makes a fresh state for each."""
+    cut = sessions(rows, gap, stream, time=start, order=["cid"], out="__session")
+    return _run(cut, [*stream, "__session"], [start, "cid"], begin, step, out, kind, needs).drop("__session")
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` {kind}"
-    return _stretches(rows, stream, gap, start).select(*fields, "__session").mapInPandas(run, schema)
+#: Values on screen are summed in this many parts of one, as whole numbers, so that sums do not depend on their order.
+FINE = 1 << 20
 
 
 def density_drop(rows: DataFrame, stream: list[str], threshold: float, font_size: float = 25) -> DataFrame:
@@ -218,22 +252,23 @@ def density_drop(rows: DataFrame, stream: list[str], threshold: float, font_size
     smoothed shares come from all rows."""
     shares = {r["w"]: r["smoothed"] for r in weight_histogram(rows).collect()}
 
-    def step(state, row):
-        t = row.t_ms
-        while state["queue"] and t > state["queue"][0][0] + 5000:
-            state["on"] -= state["queue"].pop(0)[1]
-        value = len(row.text) ** 0.5 * min(max(font_size * row.merge_scale / 25, 0.7), 2.5) ** 1.5
-        count = max(row.merge_count, 1)
-        if state["on"] > threshold:
-            rate = (state["on"] - threshold) / threshold + 0.25 - shares.get(min(count, 11), 0) / 4 - (count**0.5 - 1) / 5
-            draw = int(np.uint64((int(row.cid) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)) / 2**64
+    def step(state, t, cid, text, scale, count):
+        queue = state["queue"]
+        while queue and t > queue[0][0] + 5000:
+            state["on"] -= queue.popleft()[1]
+        value = int(len(text) ** 0.5 * min(max(font_size * scale / 25, 0.7), 2.5) ** 1.5 * FINE + 0.5)
+        count = max(count, 1)
+        on = state["on"] / FINE
+        if on > threshold:
+            rate = (on - threshold) / threshold + 0.25 - shares.get(min(count, 11), 0) / 4 - (count**0.5 - 1) / 5
+            draw = (cid * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64 / 2**64
             if rate >= 1 or draw < rate:
                 return True
         state["on"] += value
-        state["queue"].append((t, value))
+        queue.append((t, value))
         return False
 
-    return _fold(rows, stream, 5000, "t_ms", lambda: {"queue": [], "on": 0.0}, step, "drop", "boolean")
+    return _fold(rows, stream, 5000, "t_ms", lambda: {"queue": deque(), "on": 0}, step, "drop", "boolean", ["t_ms", "cid", "text", "merge_scale", "merge_count"])
 
 
 def screen_cap(events: DataFrame, stream: list[str], limit: int, longest: float) -> DataFrame:
@@ -266,7 +301,8 @@ def screen_cap(events: DataFrame, stream: list[str], limit: int, longest: float)
         yield pd.DataFrame([(*r, True) for _, r in window], columns=[*fields, "kept"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", kept boolean"
-    return _stretches(events, stream, longest, "start_time").select(*fields, "__session").mapInPandas(run, schema)
+    cut = sessions(events, longest, stream, time="start_time", order=["cid"], out="__session")
+    return _side_by_side(cut, [*stream, "__session"], ["start_time", "cid"]).select(*fields, "__session").mapInPandas(run, schema)
 
 
 def trigger_dedup(rows: DataFrame, key: str, time: str = "time", gap: float = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timedtext.functions.names import jaro_winkler_udf, number_to_chinese
+
 
 def first_of(rows: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
     """The first row of each key."""
@@ -24,10 +26,10 @@ def recent(history: DataFrame, size: int, key: str = "keyword", time: str = "tim
     return last.orderBy(F.desc(time), key).limit(size) if size >= 1 else last
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str, deletes: DataFrame | None = None) -> DataFrame:
+def upsert(table: DataFrame, changes: DataFrame, key: str, deletes: DataFrame | None = None, ties: list[str] | None = None) -> DataFrame:
     """The table with changed rows in place of those of the same key, and without deleted keys. Of several changes to a key
-    the one with the greatest ``version`` holds."""
-    last = first_of(changes, [key], [F.desc("version")]).drop("version")
+    the one with the greatest ``version`` holds, then the first by ``ties``."""
+    last = first_of(changes, [key], [F.desc("version"), *(ties or [])]).drop("version")
     out = table.join(last.select(key), key, "left_anti").unionByName(last)
     return out.join(deletes.select(key), key, "left_anti") if deletes is not None else out
 
@@ -49,6 +51,47 @@ def split_stage(rows: DataFrame, sources: DataFrame, policy: str = "auto") -> Da
     return rows.join(stages, "source", "left").withColumn("bucket", F.when(F.col("__stage") == "merged", "settled").otherwise("pending")).drop("__stage")
 
 
+def rejoin(settled: DataFrame, pending: DataFrame) -> DataFrame:
+    """Both parts of a split together again, columns that only one has as nulls."""
+    return settled.unionByName(pending, allowMissingColumns=True)
+
+
+def extrapolate(old_id: Column, history_number: Column, playing: Column) -> Column:
+    """The id of the episode being played, from the one watched last and both numbers."""
+    return old_id + playing - history_number
+
+
+def episode_number(episode_id: Column) -> Column:
+    return episode_id % 1000
+
+
+def batches(total: Column, size: int = 200) -> Column:
+    """Array of struct(first, last): the numbers 1 to ``total`` in requests of ``size``."""
+    starts = F.when(total > 0, F.sequence(F.lit(1).cast("bigint"), total, F.lit(size).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(starts, lambda a: F.struct(a.alias("first"), F.least(a + (size - 1), total).alias("last")))
+
+
+def bare_title(title: Column) -> Column:
+    """A catalogue title without a last part in round brackets and what follows a part in square ones."""
+    return F.regexp_replace(F.regexp_replace(F.trim(title), r"\s*\(.*?\)\s*\z", ""), r"(?s)\s*【.*?】.*\z", "")
+
+
+def match_title(candidates: DataFrame, key: str, pos: str, least: float = 0.75) -> DataFrame:
+    """For each search (``key``, with its title, wanted type and season) the candidate it takes, with its score.
+
+    Of the candidates of the wanted type a single one is taken without a score. Of several, and with a season known, the
+    most similar one by title, the first of equals, if it reaches ``least``. Later seasons are part of the title looked
+    for, and so is the first one from where a candidate names it. Candidates are looked at within their search only."""
+    of_type = candidates.where(F.col("type") == F.col("wanted")).withColumn("__n", F.count("*").over(Window.partitionBy(key)))
+    scored = of_type.where((F.col("__n") > 1) & F.col("season").isNotNull()).withColumn("__b", bare_title(F.col("candidate")))
+    first = F.max(F.when((F.col("season") == 1) & F.col("__b").rlike("第一[季部]"), 1).otherwise(0)).over(Window.partitionBy(key).orderBy(pos))
+    season = F.when(first == 1, " 第一季").when(F.col("season") > 1, F.concat(F.lit(" 第"), number_to_chinese(F.col("season")), F.lit("季"))).otherwise("")
+    scored = scored.withColumn("__a", F.concat("title", season)).withColumn("score", jaro_winkler_udf()("__a", "__b"))
+    best = first_of(scored, [key], [F.desc(F.round("score", 9)), pos]).where(F.col("score") >= least)
+    alone = of_type.where("__n = 1").withColumn("score", F.lit(None).cast("double"))
+    return alone.drop("__n").unionByName(best.drop("__n", "__a", "__b"))
+
+
 def hint_number(hint: Column) -> Column:
     """An episode number in a short hint: at most 12 bytes and three whole digits."""
     digits = F.regexp_extract(hint, r"([0-9]+\.?[0-9]*)", 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,16 +83,52 @@ def drop_ruled(comments: DataFrame, patterns: list[str], text: str = "text") ->
     return comments.where(~F.coalesce(hit, F.lit(False)))
 
 
-def ordered(comments: DataFrame, stream: list[str] | None = None, out: str = "ord") -> DataFrame:
-    """Number the rows of each stream by (time, source, cid)."""
-    return comments.withColumn(out, F.row_number().over(Window.partitionBy(*(stream or [])).orderBy("time", "source", "cid")))
+#: A slice of a stream's time is so many times the pause or span an operator looks at.
+SLICE = 64
+
+
+def slice_of(time: Column, span: float) -> Column:
+    """The number of the time slice of about ``SLICE`` spans that ``time`` lies in."""
+    return F.floor(time / F.lit(float(SLICE * span) if span > 0 else float(SLICE)))
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Equality of all keys, nulls included."""
+    return reduce(lambda x, k: x & a[k].eqNullSafe(b[f"__{k}"]), keys, F.lit(True))
+
+
+def _with_sums(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the further columns of ``sums``, a table with one row for each of their keys."""
+    named = sums.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return rows.join(named, _same(rows, named, keys)).drop(*(f"__{k}" for k in keys))
+
+
+def ordered(comments: DataFrame, stream: list[str] | None = None, out: str = "ord", span: float = 10) -> DataFrame:
+    """Number the rows of each stream, or all rows, by (time, source, cid). Slices of the time are numbered by themselves
+    and shifted by the rows before them, so no task sees a whole stream."""
+    keys = [*(stream or []), "__slice"]
+    rows = comments.withColumn("__slice", slice_of(F.col("time"), span))
+    before = Window.partitionBy(*keys[:-1]).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))  # a row for each slice
+    starts = sizes.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    numbered = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy("time", "source", "cid")))
+    return _with_sums(numbered, starts, keys).withColumn(out, F.col("__start") + F.col("__at")).drop("__start", "__at", "__slice")
 
 
 def sessions(rows: DataFrame, gap: float, keys: list[str], time: str = "time", order: list[str] | None = None, out: str = "session") -> DataFrame:
-    """Number the stretches of each key that have no pause over ``gap``."""
-    w = Window.partitionBy(*keys).orderBy(time, *(order or []))
+    """Number the stretches of each key that have no pause over ``gap``. Each time slice of a key is looked at by itself;
+    its first stretch may go on from the slice before, which a table of slices tells."""
+    by = [*keys, "__slice"]
+    w = Window.partitionBy(*by).orderBy(time, *(order or []))
     new = F.when(F.col(time) - F.lag(time).over(w) <= gap, 0).otherwise(1)
-    return rows.withColumn("__new", new).withColumn(out, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    cut = rows.withColumn("__slice", slice_of(F.col(time), gap)).withColumn("__new", new)
+    local = cut.withColumn("__local", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = cut.groupBy(*by).agg(F.sum("__new").alias("__n"), F.min(time).alias("__lo"), F.max(time).alias("__hi"))
+    along = Window.partitionBy(*keys).orderBy("__slice")
+    goes_on = F.when(F.col("__lo") - F.lag("__hi").over(along) <= gap, 1).otherwise(0)
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    starts = ends.withColumn("__on", goes_on).select(*by, (F.sum("__n").over(upto) - F.col("__n") - F.sum("__on").over(upto)).alias("__start"))
+    return _with_sums(local, starts, by).withColumn(out, F.col("__start") + F.col("__local")).drop("__start", "__local", "__new", "__slice")
 
 
 def active_at(events: DataFrame, positions: DataFrame, longest: float) -> DataFrame:
@@ -102,13 +140,32 @@ def active_at(events: DataFrame, positions: DataFrame, longest: float) -> DataFr
     return met.drop("__b")
 
 
+def browse(events: DataFrame, duration: float, pos: float) -> DataFrame:
+    """The rows a list of all comments shows: with a text that is no drawing, started within the stream; ``active`` are
+    those on screen at ``pos``. The text shown has no blanks around it."""
+    shown = F.regexp_replace(F.regexp_replace("text", r"\Am\s[mbl\s\-0-9.]+\z", ""), r"\A\s+|\s+\z", "")
+    rows = events.withColumn("text", shown).where((F.col("text") != "") & F.col("start_time").between(0, duration))
+    return rows.withColumn("active", (F.col("start_time") <= pos) & (F.col("end_time") >= pos))
+
+
+def contains_any(text: Column, patterns: list[str]) -> Column:
+    return first_rule(text, patterns).isNotNull()
+
+
+def visible(y: Column, height: float) -> Column:
+    """Whether a row's place is on the visible part of the screen."""
+    return F.coalesce(y <= height, F.lit(False))
+
+
 def x_at(x1: Column, x2: Column, start: Column, end: Column, pos: Column) -> Column:
     return x1 + (x2 - x1) * (pos - start) / (end - start)
 
 
-def near_pairs(rows: DataFrame, seconds: float, time: str = "time", key: str = "cid") -> DataFrame:
-    """Pairs (a, b) of rows, a first by (time, id), at most ``seconds`` apart; each meets in one pair of buckets."""
+def near_pairs(rows: DataFrame, seconds: float, time: str = "time", key: str = "cid", stream: list[str] | None = None) -> DataFrame:
+    """Pairs (a, b) of rows of one stream, a first by (time, id), at most ``seconds`` apart; each meets in one pair of
+    buckets. The pairs are the result: their number grows with the rows within ``seconds`` of each other."""
     a = rows.select(*(F.col(c).alias(f"a_{c}") for c in rows.columns)).withColumn("__b", F.explode(F.array(F.floor(F.col(f"a_{time}") / seconds), F.floor(F.col(f"a_{time}") / seconds) + 1)))
     b = rows.select(*(F.col(c).alias(f"b_{c}") for c in rows.columns)).withColumn("__b", F.floor(F.col(f"b_{time}") / seconds))
     later = (F.col(f"b_{time}") > F.col(f"a_{time}")) | ((F.col(f"b_{time}") == F.col(f"a_{time}")) & (F.col(f"b_{key}") > F.col(f"a_{key}")))
-    return a.join(b, "__b").where(later & (F.col(f"b_{time}") - F.col(f"a_{time}") <= seconds)).drop("__b")
+    met = reduce(lambda x, k: x & F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")), stream or [], a["__b"] == b["__b"])
+    return a.join(b, met).where(later & (F.col(f"b_{time}") - F.col(f"a_{time}") <= seconds)).drop("__b")

@@ -5,44 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.functions import addresses, names, similarity, text
+from timedtext.functions import addresses, similarity, text
 from timedtext.functions.similarity import Cascade
 from timedtext.operators import layout, merging, tables, timeline
+from timedtext.plans import derived  # noqa: F401  (registers its queries)
 from timedtext.plans.comments import DUCK, comments, flow
+from timedtext.plans.derived import SOUNDS, bag_sql, sound_sql
+from timedtext.plans.registry import ORACLES, QUERIES, query
 from timedtext.sources import export, payloads
 
 SEGMENTS = [(0.0, 2.0), (5000.0, -1.5), (12000.0, 0.25)]
 RULES = ["^cl.ck!+$", "view%f[%s] x$", "[broken", "^%u", "p.rch.-~$"]
-_QUERIES: dict = {}
-_ORACLES: dict = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        _QUERIES[name] = f
-        if oracle is not None:
-            _ORACLES[name] = oracle
-        return f
-
-    return add
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return dict(_ORACLES)
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow(spark, sf_dir, SEGMENTS, RULES)
 
 
-def values(spark: SparkSession, sql: str) -> DataFrame:
-    return spark.sql(sql)
-
-
 def _segments():
     return F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("delay")) for a, b in SEGMENTS))
 
@@ -53,7 +40,6 @@ def _mergeable(spark, d) -> DataFrame:
 
 _SEGS_SQL = "(values " + ", ".join(f"({a}::double, {b}::double)" for a, b in SEGMENTS) + ") s(start, delay)"
 _M = f"c as ({DUCK}), m as (select * from c where type between 1 and 5)"
-CAND = Cascade()
 
 
 # --- time ---------------------------------------------------------------------------------------------------------------
@@ -81,16 +67,6 @@ def _(spark, d):
     return timeline.apply_delays(comments(spark, d), sources).select("cid", "source", "orig_time", F.round("time", 6).alias("time"), "stage")
 
 
-@query("delay_segment_merge", "select * from (values ('a', 0.0::double, 3.0::double), ('a', 100.0, 2.0), ('c', 5.0, 1.5), ('c', 45.0, 1.0)) t(source, start, delay)")
-def _(spark, d):
-    # a: 0+8 pair, 100 alone, 120 goes into 100; b: all vanish; c: 5 takes 18, 45 stays
-    given = spark.sql(
-        "select source, array_agg(struct(start, delay)) as segs from (values ('a', 8.0D, 1.0D), ('a', 0.0D, 2.0D), ('a', 100.0D, 1.5D), ('a', 120.0D, 0.5D), ('b', 1.0D, 2.0D), ('b', 6.0D, -2.0D), "
-        "('c', 5.0D, 1.0D), ('c', 18.0D, 0.5D), ('c', 45.0D, 1.0D)) as t(source, start, delay) group by source"
-    )
-    return given.select("source", F.inline(timeline.combine_segments(F.col("segs"))))
-
-
 _HIT = "case when regexp_matches(text, '^cl.ck!+$') then '^cl.ck!+$' when regexp_matches(text, 'view x$') then 'view%f[%s] x$' when regexp_matches(text, '^[A-Z]') then '^%u' when regexp_matches(text, 'p.rch.*?~$') then 'p.rch.-~$' end"
 
 
@@ -115,7 +91,15 @@ def _(spark, d):
 
 
 _EVENTS = "e as (select cid, type, text, case when type = 1 then floor(time + 0.5) else time end as start_time, case when type = 1 then floor(time + 0.5) + 15 else time + 5 end as end_time from m)"
-_POS = "p as (select cast(range * 37 as double) as pos from range(600))"
+
+
+#: Every 37 seconds of the timeline, to its end.
+_POS = "p as (select unnest(range(0, (select max(time) + 37 from m)::bigint, 37))::double as pos)"
+
+
+def _asked(spark, d) -> DataFrame:
+    last = _mergeable(spark, d).agg(F.max("time")).first()[0]
+    return spark.range(0, int(last + 37), 37).select(F.col("id").cast("double").alias("pos"))
 
 
 def _timed(spark, d):
@@ -124,20 +108,32 @@ def _timed(spark, d):
 
 @query("active_at", f"with {_M}, {_EVENTS}, {_POS} select pos, cid from p, e where start_time <= pos and start_time >= pos - 15 and end_time >= pos")
 def _(spark, d):
-    asked = spark.range(600).select((F.col("id") * 37).cast("double").alias("pos"))
-    return timeline.active_at(_timed(spark, d), asked, 15).select("pos", "cid")
+    return timeline.active_at(_timed(spark, d), _asked(spark, d), 15).select("pos", "cid")
 
 
 @query(
     "position_at",
-    f"with {_M}, {_EVENTS}, {_POS} select pos, cid, round(1920 + length(text) / 2.0 * 25 / 2 + (-(length(text) / 2.0 * 25 / 2) - (1920 + length(text) / 2.0 * 25 / 2)) * (pos - start_time) / (end_time - start_time), 6)::double as x from p, e "
+    f"with {_M}, {_EVENTS}, {_POS} select pos, cid, round(1920 + length(text) / 2.0 * 25 / 2 + (-(length(text) / 2.0 * 25 / 2) - (1920 + length(text) / 2.0 * 25 / 2)) * (pos - start_time) / (end_time - start_time), 6)::double as x, (cid * 13) % 1080 <= 918 as shown from p, e "
     "where type = 1 and start_time <= pos and start_time >= pos - 15 and end_time >= pos",
 )
 def _(spark, d):
-    asked = spark.range(600).select((F.col("id") * 37).cast("double").alias("pos"))
     half = text.display_width(F.col("text"), F.lit(25.0)) / 2
-    rows = timeline.active_at(_timed(spark, d).where("type = 1"), asked, 15)
-    return rows.select("pos", "cid", F.round(timeline.x_at(1920 + half, -half, F.col("start_time"), F.col("end_time"), F.col("pos")), 6).alias("x"))
+    rows = timeline.active_at(_timed(spark, d).where("type = 1"), _asked(spark, d), 15)
+    x = timeline.x_at(1920 + half, -half, F.col("start_time"), F.col("end_time"), F.col("pos"))
+    return rows.select("pos", "cid", F.round(x, 6).alias("x"), timeline.visible(F.col("cid") * 13 % 1080, 918).alias("shown"))
+
+
+@query(
+    "browse",
+    f"""with c as ({DUCK}), e as (select cid, time as start_time, time + 5 as end_time, trim(case cid % 5 when 0 then 'm 0 0 l 5 -7.5 b 1 s' when 1 then '  ' || text || ' ' when 2 then ' ' else text end) as text from c)
+ select cid, text, start_time <= 9000 and end_time >= 9000 as active from e where cid % 5 not in (0, 2) and start_time between 0 and 20000
+ union all select cid, text, start_time <= 9000 and end_time >= 9000 from e where cid % 5 = 0 and start_time between 0 and 20000""",
+)
+def _(spark, d):
+    # the last letter of the drawing here is none of a drawing, so that text stays
+    made = F.expr("case cid % 5 when 0 then 'm 0 0 l 5 -7.5 b 1 s' when 1 then concat('  ', text, ' ') when 2 then case when cid % 2 = 0 then ' ' else 'm 0 0 l 5 -7.5 b 1 2' end else text end")
+    events = comments(spark, d).select("cid", made.alias("text"), F.col("time").alias("start_time"), (F.col("time") + 5).alias("end_time"))
+    return timeline.browse(events, 20000, 9000).select("cid", "text", "active")
 
 
 # --- merging ---------------------------------------------------------------------------------------------------------------
@@ -189,27 +185,36 @@ _SQ = lambda a, b: f"coalesce(list_sum(list_transform(list_distinct({a}), lambda
 _COS = lambda a, b: f"case when len({a}) = 0 or len({b}) = 0 then 0 else cast(floor({_SQ(a, b)}::double * {_SQ(a, b)} / {_SQ(a, a)} / {_SQ(b, b)} * 100) as bigint) end"
 
 
-def _cascade_sql(s: str, t: str, sc: str, tc: str, sg: str, tg: str, dist: int = 5, cosine: int = 45) -> str:
+def _cascade_sql(s: str, t: str, sc: str, tc: str, sg: str, tg: str, sound: tuple[str, str] | None = None, dist: int = 5, cosine: int = 45) -> str:
     total, edit = f"(length({s}) + length({t}))", _BAG(sc, tc)
-    close = f"(case when {total} < {2 * dist} then {edit} < {dist} * {total} / {2 * dist}::double else {edit} <= {dist} end)"
+    close = lambda d: f"(case when {total} < {2 * dist} then {d} < {dist} * {total} / {2 * dist}::double else {d} <= {dist} end)"
     within = f"abs(length({s}) - length({t})) <= {dist}"
-    return f"case when {s} = {t} then 'identical' when {within} and {close} then 'edit' when not ({within} and {edit} >= {total}) and {_COS(sg, tg)} >= {cosine} then 'cosine' end"
+    heard = f"when abs(len({sound[0]}) - len({sound[1]})) <= {dist} and {close(bag_sql(*sound))} then 'pinyin' " if sound else ""
+    return f"case when {s} = {t} then 'identical' when {within} and {close(edit)} then 'edit' {heard}when not ({within} and {edit} >= {total}) and {_COS(sg, tg)} >= {cosine} then 'cosine' end"
 
 
-_CLUSTER = f"""with recursive {_M}, n as (select *, {_NORMED} as s, cast(floor(time * 1000 + 0.5) as bigint) as t from m),
- l as (select *, case when t - lag(t) over (partition by source order by t, cid) <= 3000 then 0 else 1 end as new from n),
+#: The published default: 30 seconds, all types, sounds on. A third of the texts is Chinese, so that sounds decide there.
+_SPOKEN = "case when cid % 3 = 0 then concat(substring('在再是事市你我吗马好号', cast(1 + cid % 11 as int), 1), substring('吗马好号在再是事市', cast(1 + cid % 9 as int), 1), case when cid % 2 = 0 then '这件事情大家都知道了' else '没有人会知道这一件' end, substring('在再是事市你我', cast(1 + cid % 7 as int), 1), '!') else text end"
+_CASCADE = Cascade(sounds=SOUNDS)
+_ROWS = "'t': t, 'cid': cid, 's': s, 'ch': ch, 'gr': gr, 'so': so"
+_CLUSTER = f"""with recursive {_M}, sp as (select * replace ({_SPOKEN} as text) from m), n as (select *, {_NORMED} as s, cast(floor(time * 1000 + 0.5) as bigint) as t from sp),
+ l as (select *, case when t - lag(t) over (partition by source order by t, cid) <= 30000 then 0 else 1 end as new from n),
  q as (select *, sum(new) over (partition by source order by t, cid rows unbounded preceding) as session from l),
- r as (select cid, source, session, type, color, time, t, s, {_CHARS('s')} as ch, {_GRAMS('s')} as gr, row_number() over (partition by source, session order by t, cid) as rn from q),
- walk as (select source, session, rn, cid, cid as leader, 'orig' as reason, [{{'t': t, 'cid': cid, 's': s, 'ch': ch, 'gr': gr}}] as ls from r where rn = 1
+ r as (select cid, source, session, type, color, time, t, s, text, {_CHARS('s')} as ch, {_GRAMS('s')} as gr, {sound_sql('s')} as so, row_number() over (partition by source, session order by t, cid) as rn from q),
+ walk as (select source, session, rn, cid, cid as leader, 'orig' as reason, [{{{_ROWS}}}] as ls from r where rn = 1
   union all select source, session, rn, cid, case when hit is null then cid else hit.cid end, case when hit is null then 'orig' else hit.reason end,
-   case when hit is null then list_append(live, {{'t': t, 'cid': cid, 's': s, 'ch': ch, 'gr': gr}}) else live end
-  from (select source, session, rn, cid, t, s, ch, gr, live,
-    list_filter(list_transform(live, lambda o: {{'cid': o.cid, 'reason': {_cascade_sql('s', 'o.s', 'ch', 'o.ch', 'gr', 'o.gr')}}}), lambda h: h.reason is not null)[-1] as hit
-   from (select r.*, list_filter(w.ls, lambda o: r.t - o.t <= 3000) as live from walk w join r on r.source = w.source and r.session = w.session and r.rn = w.rn + 1)))"""
+   case when hit is null then list_append(live, {{{_ROWS}}}) else live end
+  from (select source, session, rn, cid, t, s, ch, gr, so, live,
+    list_filter(list_transform(live, lambda o: {{'cid': o.cid, 'reason': {_cascade_sql('s', 'o.s', 'ch', 'o.ch', 'gr', 'o.gr', ('so', 'o.so'))}}}), lambda h: h.reason is not null)[-1] as hit
+   from (select r.*, list_filter(w.ls, lambda o: r.t - o.t <= 30000) as live from walk w join r on r.source = w.source and r.session = w.session and r.rn = w.rn + 1)))"""
+
+
+def _spoken(spark, d) -> DataFrame:
+    return _mergeable(spark, d).withColumn("text", F.expr(_SPOKEN))
 
 
 def _assigned(spark, d):
-    return merging.fuzzy_assign(_mergeable(spark, d), ["source"], threshold=3, cascade=CAND)
+    return merging.fuzzy_assign(_spoken(spark, d), ["source"], cascade=_CASCADE)
 
 
 @query("fuzzy_assign", f"{_CLUSTER} select cid, leader, reason from walk")
@@ -225,22 +230,39 @@ _MERGED = f"""{_CLUSTER}, a as (select walk.leader, walk.reason, r.* from walk j
  x as (select leader, s, count(*) as k from a group by leader, s), y as (select *, max(k) over (partition by leader) as top from x),
  z as (select *, row_number() over (partition by leader order by length(s), s) as p, count(*) over (partition by leader) as e from y where k = top),
  merged as (select h.leader, time, (case when four then 4 when five then 5 else rep end)::int as type, color, z.s || case when merge_count > 1 then '(' || merge_count || ')' else '' end as text, merge_count,
-  round(case when merge_count <= 5 then 1 else greatest(least(ln(merge_count) / ln(5), 2), 1) end, 6)::double as merge_scale, merge_reason from h join z on z.leader = h.leader and z.p = floor(e / 2.0) + 1)"""
+  round(case when merge_count <= 5 then 1 else greatest(least(ln(merge_count) / ln(5), 2), 1) end, 6)::double as merge_scale, merge_reason, z.s from h join z on z.leader = h.leader and z.p = floor(e / 2.0) + 1)"""
 
 
-@query("fuzzy_merged", f"{_MERGED} select * from merged")
+@query("fuzzy_merged", f"{_MERGED} select * exclude (s) from merged")
 def _(spark, d):
     return merging.fuzzy_merge(_assigned(spark, d)).withColumn("merge_scale", F.round("merge_scale", 6)).drop("merge_mark")
 
 
+@query(
+    "fuzzy_merged_raw",
+    f"""{_MERGED}, raws as (select leader, s, text, count(*) as k, max(i) as last from g group by all), most as (select leader, s, text from (select *, row_number() over (partition by leader, s order by k desc, last) as p from raws) where p = 1)
+ select leader, most.text || case when merge_count > 1 then '(' || merge_count || ')' else '' end as text from merged join most using (leader, s)""",
+)
+def _(spark, d):
+    return merging.fuzzy_merge(_assigned(spark, d), normalize_display=False).select("leader", "text")
+
+
+@query("merge_all", f"{_MERGED}, o as (select * replace ({_SPOKEN} as text) from c where not (type between 1 and 5)) select leader, text, merge_count, merge_scale, merge_reason from merged union all select cid, text, 1, 1, 'orig' from o")
+def _(spark, d):
+    rows = comments(spark, d).withColumn("text", F.expr(_SPOKEN))
+    merged = merging.merge_all(rows, ["source"], cascade=_CASCADE)
+    return merged.select("leader", "text", "merge_count", F.round("merge_scale", 6).alias("merge_scale"), "merge_reason")
+
+
 @query(
     "fuzzy_stats",
-    f"""{_MERGED} select (select count(*) from walk) as total, count_if(true) as clusters, coalesce(sum(case when merge_count > 1 then merge_count end), 0)::bigint as merged, coalesce(max(case when merge_count > 1 then merge_count end), 0)::int as max_combo,
- (select count(*) from walk where reason = 'identical') as identical, (select count(*) from walk where reason = 'edit') as edit, (select count(*) from walk where reason = 'pinyin') as pinyin, (select count(*) from walk where reason = 'cosine') as cosine, count_if(merge_scale > 1.001)::bigint as enlarged from merged""",
+    f"""{_MERGED} select (select count(*) from walk) as total, count_if(true)::bigint as clusters, coalesce(sum(case when merge_count > 1 then merge_count end), 0)::bigint as merged, coalesce(max(case when merge_count > 1 then merge_count end), 0)::int as max_combo,
+ (select count(*) from walk where reason = 'identical') as identical, (select count(*) from walk where reason = 'edit') as edit, (select count(*) from walk where reason = 'pinyin') as pinyin, (select count(*) from walk where reason = 'cosine') as cosine, count_if(merge_scale > 1.001)::bigint as enlarged,
+ count_if(merge_scale < 0.999)::bigint as shrunk, count_if(leader % 7 = 0)::bigint as dropped from merged""",
 )
 def _(spark, d):
     a = _assigned(spark, d)
-    return merging.merge_stats(a, merging.fuzzy_merge(a))
+    return merging.merge_stats(a, merging.fuzzy_merge(a).withColumn("drop", F.col("leader") % 7 == 0))
 
 
 @query(
@@ -253,18 +275,19 @@ def _(spark, d):
     return hist.select("w", F.round("share", 9).alias("share"), F.round("smoothed", 9).alias("smoothed"))
 
 
-_PAIRS = f"""with {_M}, n as (select cid, time, {_NORMED} as s, {_CHARS(_NORMED)} as ch, {_GRAMS(_NORMED)} as gr from m),
- p as (select a.cid as ca, b.cid as cb, a.s as s, b.s as z, a.ch as sc, b.ch as zc, a.gr as sg, b.gr as zg from n a join n b on (b.time, b.cid) > (a.time, a.cid) and b.time - a.time <= 2)"""
+#: Pairs of one source, as far apart as the published window.
+_PAIRS = f"""with {_M}, n as (select cid, time, source, {_NORMED} as s, {_CHARS(_NORMED)} as ch, {_GRAMS(_NORMED)} as gr from m),
+ p as (select a.cid as ca, b.cid as cb, a.s as s, b.s as z, a.ch as sc, b.ch as zc, a.gr as sg, b.gr as zg from n a join n b on b.source = a.source and (b.time, b.cid) > (a.time, a.cid) and b.time - a.time <= 30)"""
 
 
 def _near(spark, d):
-    rows = _mergeable(spark, d).select("cid", "time", text.normalize(F.col("text")).alias("s"))
-    return timeline.near_pairs(rows, 2).select(F.col("a_cid").alias("ca"), F.col("b_cid").alias("cb"), F.col("a_s").alias("s"), F.col("b_s").alias("z"))
+    rows = _mergeable(spark, d).select("cid", "time", "source", text.normalize(F.col("text")).alias("s"))
+    return timeline.near_pairs(rows, 30, stream=["source"]).select(F.col("a_cid").alias("ca"), F.col("b_cid").alias("cb"), F.col("a_s").alias("s"), F.col("b_s").alias("z"))
 
 
 @query("similar_pairs", f"{_PAIRS} select ca, cb, reason from (select ca, cb, {_cascade_sql('s', 'z', 'sc', 'zc', 'sg', 'zg')} as reason from p) where reason is not null")
 def _(spark, d):
-    reason, _dist = CAND.columns(F.col("s"), F.col("z"))
+    reason, _dist = Cascade().columns(F.col("s"), F.col("z"))
     return _near(spark, d).select("ca", "cb", reason.alias("reason")).where("reason is not null")
 
 
@@ -278,15 +301,6 @@ def _(spark, d):
     return _near(spark, d).select("ca", "cb", similarity.bigram_score(F.col("s"), F.col("z")).alias("sim"))
 
 
-_SOUNDS = {"在": ["#1", "#2"], "再": ["#1", "#2"], "是": ["#3"], "事": ["#3"], "你": ["#4", "#2"], "我": ["#5"]}
-_SAID = "select * from (values ('在吗', '再吗'), ('是A', '事a'), ('你', '我'), ('在', '你'), ('', '是')) as t(a, b)"
-
-
-@query("pinyin_distance", "select * from (values ('在吗', '再吗', 0), ('是A', '事a', 0), ('你', '我', 3), ('在', '你', 2), ('', '是', 1)) t(a, b, dist)")
-def _(spark, d):
-    return spark.sql(_SAID).select("a", "b", similarity.sound_distance(F.col("a"), F.col("b"), _SOUNDS).cast("int").alias("dist"))
-
-
 @query("density_onscreen", f"""with {_M}, v as (select cid, source, cast(floor(time * 1000 + 0.5) as bigint) as t, sqrt(length(text)) as v from m)
  select cid, round(sum(v) over (partition by source order by t range between 5000 preceding and current row) - (sum(v) over (partition by source, t) - sum(v) over (partition by source, t order by cid rows unbounded preceding)), 6) as onscreen from v""")
 def _(spark, d):
@@ -302,7 +316,20 @@ def _(spark, d):
     return merging.density_shrink(rows, ["source"], 6).select("cid", F.round("merge_scale", 6).alias("scale"))
 
 
-@query("density_drop")
+_DRAW = "((cid::hugeint * 11400714819323198485 + 7161677110969590809) % 18446744073709551616)::double / 18446744073709551616::double"
+
+
+@query(
+    "density_drop",
+    f"""with recursive {_M}, v as (select cid, source, cast(floor(time * 1000 + 0.5) as bigint) as t, cast(floor(sqrt(length(text)) * 1048576 + 0.5) as bigint) as v, {_DRAW} as draw from m),
+ l as (select *, case when t - lag(t) over (partition by source order by t, cid) <= 5000 then 0 else 1 end as new from v), q as (select *, sum(new) over (partition by source order by t, cid rows unbounded preceding) as s from l),
+ r as (select *, row_number() over (partition by source, s order by t, cid) as rn from q),
+ walk as (select source, s, rn, cid, false as gone, [{{'t': t, 'v': v}}] as live from r where rn = 1
+  union all select source, s, rn, cid, gone, case when gone then live else list_append(live, {{'t': t, 'v': v}}) end
+  from (select *, case when o > 6 then rate >= 1 or draw < rate else false end as gone from (select *, (o - 6) / 6 + 0.25 - 0.125 / 4 as rate from (select *, coalesce(list_sum(list_transform(live, lambda x: x.v)), 0)::double / 1048576 as o
+   from (select r.*, list_filter(w.live, lambda x: r.t <= x.t + 5000) as live from walk w join r on r.source = w.source and r.s = w.s and r.rn = w.rn + 1)))))
+ select cid, gone as drop from walk""",
+)
 def _(spark, d):
     rows = _mergeable(spark, d).withColumns({"t_ms": F.floor(F.col("time") * 1000 + 0.5).cast("bigint"), "merge_scale": F.lit(1.0), "merge_count": F.lit(1)})
     return merging.density_drop(rows, ["source"], 6).select("cid", "drop")
@@ -333,13 +360,26 @@ def _(spark, d):
     return merging.trigger_dedup(_mergeable(spark, d), "text").select("cid", "accepted")
 
 
-@query("lane_rolling")
+def _lanes(which: str, length: str, size: int, duration: int, blocks: str, mirrored: str = "false") -> str:
+    """Walk along each stretch; the state has the rows on screen. The blocking ones in order of their top push a row down."""
+    return f"""with recursive {_M}, {_EVENTS}, k as (select e.*, c.source, {length} as len, {mirrored} as up from e join c using (cid) where e.type in ({which})),
+ g as (select *, case when start_time - lag(start_time) over (partition by source order by start_time, cid) <= {duration} then 0 else 1 end as new from k),
+ q as (select *, sum(new) over (partition by source order by start_time, cid rows unbounded preceding) as s from g),
+ r as (select *, (len + 1920) / {duration} as speed, row_number() over (partition by source, s order by start_time, cid) as rn from q),
+ walk as (select source, s, 0::bigint as rn, null::bigint as cid, null::bigint as y, []::struct(a bigint, z bigint, e double, c double)[] as rows from (select distinct source, s from r)
+  union all select source, s, rn, cid, case when top + {size} > 919 then null when up then 920 - top - {size} else top end, case when top + {size} > 919 then live else list_append(live, {{'a': case when up then 920 - top - {size} else top end, 'z': case when up then 920 - top else top + {size} end, 'e': start_time + {duration}, 'c': start_time + len / speed}}) end
+  from (select *, list_reduce(list_prepend({{'a': 0::bigint, 'z': 1::bigint}}, list_sort(list_transform(list_filter(live, lambda p: {blocks}), lambda p: {{'a': case when up then 920 - p.z else p.a end, 'z': case when up then 920 - p.a else p.z end}}))), lambda x, p: {{'a': 0::bigint, 'z': case when p.a >= x.z + {size} then x.z else greatest(x.z, p.z) end}}).z as top
+   from (select r.*, list_filter(w.rows, lambda p: p.e > r.start_time) as live from walk w join r on r.source = w.source and r.s = w.s and r.rn = w.rn + 1)))
+ select cid, y::int as y from walk where cid is not null"""
+
+
+@query("lane_rolling", _lanes("1", "length(e.text) / 2.0::double * 200", 200, 15, "start_time < greatest(p.c, p.e - 1920 / speed)"))
 def _(spark, d):
     rows = _timed(spark, d).where("type = 1").withColumn("size", F.lit(200))
     return layout.lanes_rolling(layout.with_length(rows.select("cid", "source", "text", "start_time", "end_time", "size")), ["source"], 15).select("cid", "y")
 
 
-@query("lane_fixed")
+@query("lane_fixed", _lanes("4, 5", "0::double", 300, 5, "true", "e.type = 4"))
 def _(spark, d):
     rows = _timed(spark, d).where("type in (4, 5)").withColumn("size", F.lit(300))
     return layout.lanes_fixed(rows.select("cid", "source", "type", "start_time", "end_time", "size"), ["source"]).select("cid", "y")
@@ -348,14 +388,6 @@ def _(spark, d):
 # --- text ---------------------------------------------------------------------------------------------------------------------
 
 
-_RAW = "select * from (values (1, '完结撒花！！！'), (2, 'ＡＢＣ１２３'), (3, '你 好 吗'), (4, '！！！'), (5, '2333333'), (6, 'a  b　c'), (7, '6666'), (8, ''), (9, '你 a'), (10, 'x23333')) as t(id, s)"
-
-
-@query("normalize_text", "select * from (values (1, '完结撒花'), (2, 'ABC123'), (3, '你好吗'), (4, '！！！'), (5, '23333'), (6, 'a b c'), (7, '66666'), (8, ''), (9, '你 a'), (10, 'x23333')) t(id, norm)")
-def _(spark, d):
-    return spark.sql(_RAW).select("id", text.normalize(F.col("s")).alias("norm"))
-
-
 @query("doc_normalized", rf"select doc_id, md5({_NORM.replace('text', 'l')}) as digest from (select doc_id, unnest(string_split(text, chr(10))) as l from documents)")
 def _(spark, d):
     lines = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
@@ -381,51 +413,17 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").where("html is not null").select("page_id", F.md5(F.encode(text.unescape_xml(F.col("html")), "UTF-8")).alias("digest"))
 
 
-@query("entity_numeric", "select * from (values (1, 'A&B'), (2, '😀x'), (3, 'a'), (4, '你é'), (5, '')) t(id, out_text)")
-def _(spark, d):
-    return spark.sql("select * from (values (1, '&#65;&#x26;B'), (2, '&#x1F600;x'), (3, 'a'), (4, '&#20320;&#xe9;'), (5, '')) as t(id, s)").select("id", text.unescape_numeric(F.col("s")).alias("out_text"))
-
-
-@query("ass_escape", r"select * from (values (1, 'a\\b'), (2, '\{x\}'), (3, 'l1\Nl2')) t(id, out_text)")
-def _(spark, d):
-    return spark.createDataFrame([(1, "a\\b"), (2, "{x}"), (3, "l1\nl2")], "id int, s string").select("id", text.ass_escape(F.col("s")).alias("out_text"))
-
-
-@query("script_convert", "select * from (values ('这里', '這裡'), ('abc', 'abc')) t(src, dst)")
-def _(spark, d):
-    return spark.sql("select * from (values ('这里'), ('abc')) as t(src)").select("src", text.convert_script(F.col("src"), {"这": "這", "里": "裡"}).alias("dst"))
-
-
-_NUMBERS = [(0, "零"), (5, "五"), (10, "十"), (12, "十二"), (20, "二十"), (101, "一百零一"), (110, "一百一十"), (2024, "二千零二十四"), (30000, "三万")]
-
-
-@query("cn_number", "select n, cn, n as back from (values " + ", ".join(f"({a}::bigint, '{b}')" for a, b in _NUMBERS) + ") t(n, cn)")
-def _(spark, d):
-    rows = spark.createDataFrame([(a,) for a, _ in _NUMBERS], "n long").withColumn("cn", names.number_to_chinese(F.col("n")))
-    return rows.withColumn("back", names.chinese_to_number(F.col("cn")).cast("bigint"))
-
-
 @query("color_codes", f"with c as ({DUCK}) select cid, '&H' || substr(lpad(upper(to_hex(color)), 6, '0'), 5, 2) || substr(lpad(upper(to_hex(color)), 6, '0'), 3, 2) || substr(lpad(upper(to_hex(color)), 6, '0'), 1, 2) || '&' as bgr, round({_DIST.replace('a >>', 'color >>').replace('(a &', '(color &').replace('b', '16777215').replace('su16777215', 'sub')}, 6) as dist from c")
 def _(spark, d):
     return comments(spark, d).select("cid", text.bgr_tag(F.col("color")).alias("bgr"), F.round(text.colour_distance(F.col("color"), F.lit(16777215)), 6).alias("dist"))
 
 
-@query("color_hex", "select * from (values ('#ff8000', 16744448), ('#FFF', 16777215), ('#00000G', 16777215), ('#000000', 0)) t(s, color)")
-def _(spark, d):
-    return spark.sql("select * from (values ('#ff8000'), ('#FFF'), ('#00000G'), ('#000000')) as t(s)").select("s", text.hex_colour(F.col("s")).alias("color"))
-
-
 @query("time_format", f"with c as ({DUCK}) select cid, format('{{:d}}:{{:02d}}:{{:02d}}.{{:02d}}', (floor(time)::bigint // 3600), (floor(time)::bigint % 3600 // 60), floor(time)::bigint % 60, floor((time - floor(time)) * 100)::bigint) as hms, floor(time)::double as secs from c")
 def _(spark, d):
     hms = text.clock(F.col("time"))
     return comments(spark, d).select("cid", hms.alias("hms"), F.floor(text.clock_seconds(hms)).cast("double").alias("secs"))
 
 
-@query("delay_input", "select * from (values ('1m30s', 90.0::double), ('-1m30s', -90.0), (' 2.5 ', 2.5), ('-4', -4.0), ('x', null)) t(s, secs)")
-def _(spark, d):
-    return spark.sql("select * from (values ('1m30s'), ('-1m30s'), (' 2.5 '), ('-4'), ('x')) as t(s)").select("s", text.delay_seconds(F.col("s")).alias("secs"))
-
-
 @query("url_fields", r"select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, regexp_replace(url, '\?.*$', '') as bare, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)$', 1) as last_segment from pages where url is not null")
 def _(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet").where("url is not null")
@@ -443,117 +441,20 @@ def _(spark, d):
     return spark.range(1, 2001).select(F.col("id").alias("n"), text.merged_font_size(50, F.col("id")).cast("bigint").alias("size"))
 
 
-_MARKED = [("恭喜(12)", 12, "(12)"), ("(9)哈哈", 9, "(9)"), ("kksk[x7]", 7, "[x7]"), ("[x7]kksk", 7, "[x7]"), ("恭喜₍₁₂₎", 12, "₍₁₂₎"), ("₍₁₂₎哈哈", 12, "₍₁₂₎"), ("恭喜(笑)", None, None), ("恭喜", None, None), ("恭喜(1)", 1, "(1)")]
-
-
-@query("count_mark", "select * from (values " + ", ".join(f"('{a}', {'null' if b is None else b}::bigint, {'null' if c is None else repr(c)})" for a, b, c in _MARKED) + ") t(s, n, mark)")
-def _(spark, d):
-    n, tag = text.parse_mark(F.col("s"))
-    return spark.createDataFrame([(a,) for a, _, _ in _MARKED], "s string").select("s", n.alias("n"), tag.alias("mark"))
-
-
-@query("restore_merged", "select * from (values ('恭喜(30)', 30::bigint, 2.0::double), ('恭喜(1)', null, null), ('plain', null, null)) t(s, merge_count, merge_scale)")
-def _(spark, d):
-    n, _tag = text.parse_mark(F.col("s"))
-    rows = spark.sql("select * from (values ('恭喜(30)'), ('恭喜(1)'), ('plain')) as t(s)").withColumn("merge_count", F.when(n > 1, n))
-    return rows.withColumn("merge_scale", F.when(F.col("merge_count").isNotNull(), text.enlarge(F.col("merge_count"))))
-
-
-@query("hashes", "select doc_id, md5(text) as md5, sha256(text) as sha256, to_base64(encode(substr(text, 1, 12))) as b64 from documents where text is not null")
-def _(spark, d):
-    t = F.encode("text", "UTF-8")
-    return spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.md5(t).alias("md5"), F.sha2(t, 256).alias("sha256"), F.base64(F.encode(F.substring("text", 1, 12), "UTF-8")).alias("b64"))
-
-
-@query("versions", "select * from (values ('1.2.0', '1.10.0', false), ('2.0', '1.9.9', true), ('1.2', '1.2', false)) t(a, b, newer)")
-def _(spark, d):
-    return spark.sql("select * from (values ('1.2.0', '1.10.0'), ('2.0', '1.9.9'), ('1.2', '1.2')) as t(a, b)").select("a", "b", text.version_greater(F.col("a"), F.col("b")).alias("newer"))
-
-
 # --- titles and tables --------------------------------------------------------------------------------------------------------------
 
 
-_FILES = [
-    ("[Group] Show Name S01E05 [1080p]", "Show Name", 1, 5), ("Show.Name.2019.S02E03.1080p", "Show Name (2019)", 2, 3), ("动画 第2季 第3话", "动画", 2, 3), ("动画 第二季 第12话", "动画", 2, 12),
-    ("Some Movie - 07 [x]", "Some Movie", None, 7), ("[Sub] Title [04][1080p]", "Title", None, 4), ("nothing here", None, None, None), ("Show Name S1E2v2", "Show Name", 1, 2),
-]
-
-
-def _sql(x) -> str:
-    return "null" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-
-
-@query("title_parse", "select * from (values " + ", ".join(f"({_sql(a)}, {_sql(b)}, {_sql(c)}::int, {_sql(e)}::int)" for a, b, c, e in _FILES) + ") t(name, title, season, episode)")
-def _(spark, d):
-    rows = spark.createDataFrame([(a,) for a, *_ in _FILES], "name string").withColumn("f", names.format_file_name(F.col("name")))
-    title, season, episode = names.title_season_episode(F.col("f"))
-    return rows.select("name", title.alias("title"), season.alias("season"), episode.alias("episode"))
-
-
-@query("series_episode", "select * from (values ('A 01 x', 'A 02 x', 2::bigint), ('A 01', 'B 01', null), ('S1 E03', 'S1 E10', 10)) t(a, b, n)")
-def _(spark, d):
-    return spark.sql("select * from (values ('A 01 x', 'A 02 x'), ('A 01', 'B 01'), ('S1 E03', 'S1 E10')) as t(a, b)").select("a", "b", names.differing_episode(F.col("a"), F.col("b")).alias("n"))
-
-
-_TITLES = "select * from (values ('martha', 'marhta'), ('abc', 'abd'), ('dixon', 'dicksonx'), ('a', 'b'), ('same', 'same')) as t(a, b)"
-
-
-@query("title_score_standard", f"select a, b, round(jaro_winkler_similarity(a, b), 6) as score from ({_TITLES})")
-def _(spark, d):
-    return spark.sql(_TITLES).select("a", "b", F.round(names.jaro_winkler_udf(phantom=False)("a", "b"), 6).alias("score"))
-
-
-@query("title_score_phantom")
-def _(spark, d):
-    return spark.sql(_TITLES).select("a", "b", F.round(names.jaro_winkler_udf()("a", "b"), 6).alias("score"))
-
-
-_CANDIDATES = "select * from (values (1, 'Show', '动漫 | 2022'), (2, 'Show 剧场版', '电影'), (3, 'Other', ''), (4, 'Show 特番 countdown', ''), (5, 'Showw', '番剧')) as t(pos, title, hint)"
-
-
-@query("topk_candidates")
-def _(spark, d):
-    scored = spark.sql(_CANDIDATES).withColumn("score", F.round(names.title_score(F.lit("Show"), F.col("title"), F.col("hint")), 6))
-    return tables.top_k(scored, "score", 3, ["pos"]).select("rnk", "title", "score")
-
-
-@query("catalogue_dedup", "select * from (values ('7', 'b', 'Show A'), ('ShowB', 'b', 'ShowB')) t(key, server, title)")
-def _(spark, d):
-    rows = spark.sql("select * from (values (1, 'a', '7', 'Show  A'), (1, 'b', '7', 'Show A'), (2, 'a', '', 'Show B'), (3, 'b', null, 'ShowB')) as t(pos, server, id, title)")
-    keyed = tables.by_server(rows.withColumn("key", tables.entry_key(F.col("id"), F.col("title"))), ["b", "a"])
-    return tables.first_of(keyed, ["key"], ["server_rank", "pos"]).select("key", "server", "title")
-
-
 @query("mru_history", "select cast(user_id as varchar) as keyword, max(epoch_us(ts)) as last from events group by 1 order by 2 desc, 1 limit 15")
 def _(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("keyword"), F.expr("unix_micros(cast(ts as timestamp))").alias("last"))
     return tables.recent(events, 15, time="last")
 
 
-@query("history_upsert", "select * from (values ('a', 'x2'), ('d', 'new')) t(key, value)")
-def _(spark, d):
-    base = spark.sql("select * from (values ('a', 'x'), ('b', 'y'), ('c', 'z')) as t(key, value)")
-    changes = spark.sql("select * from (values ('a', 'x1', 1), ('a', 'x2', 2), ('d', 'new', 1)) as t(key, value, version)")
-    return tables.upsert(base, changes, "key", spark.sql("select * from (values ('b'), ('c')) as t(key)"))
-
-
 @query("stage_split", f"with c as ({DUCK}) select cid, case when source = 's2' then 'settled' else 'pending' end as bucket from c")
 def _(spark, d):
     return tables.split_stage(comments(spark, d), spark.sql(_SOURCES)).select("cid", "bucket")
 
 
-@query("hint_episode", "select * from (values ('12', 12.0::double), ('第12话', 12.0), ('EP12', 12.0), ('12.5', 12.5), ('总集篇', null), ('动漫 | 2022 | 来源：b 站', null), ('2022', null)) t(hint, n)")
-def _(spark, d):
-    return spark.sql("select * from (values ('12'), ('第12话'), ('EP12'), ('12.5'), ('总集篇'), ('动漫 | 2022 | 来源：b 站'), ('2022')) as t(hint)").select("hint", tables.hint_number(F.col("hint")).alias("n"))
-
-
-@query("episode_pick", "select 'Episode 2' as title, 'episode' as kind, true as is_episode_list")
-def _(spark, d):
-    items = spark.createDataFrame([("l", i, f"Episode {i}", str(i), ["script-message", "load-danmaku", str(i)], True) for i in range(1, 5)] + [("l", 0, "back", "", ["open-latest-menu-anime"], True)], "list string, pos int, title string, hint string, value array<string>, selectable boolean")
-    picked = tables.match_episode(items, 2).select("list", "title", tables.command_kind(F.col("value")).alias("kind"))
-    return picked.join(tables.episode_lists(items, "list"), "list").select("title", "kind", "is_episode_list")
-
-
 @query("systematic_sample", f"with c as ({DUCK}), n as (select cid, row_number() over (order by cid) - 1 as pos from c), s as (select greatest(1, ceil(count(*) * 7 / 10000.0)) as step from n) select cid from n, s where pos % step = 0")
 def _(spark, d):
     rows = comments(spark, d).select("cid")
@@ -568,64 +469,54 @@ def _(spark, d):
     return rows.select("vid", F.explode(tables.segment_starts(text.length_seconds(F.col("s")))).alias("seg_start"))
 
 
-@query("url_identifiers", "select * from (values ('https://h/video/BV1x?p=3', 'BV1x', null, 3, 'BV1x'), ('https://h/video/av77', null, '77', 1, 'av77'), ('https://h/x/abc.html?vid=v9', null, null, 1, 'v9')) t(url, bv, av, page, vid)")
+@query("hashes", "select doc_id, md5(text) as md5, sha256(text) as sha256, to_base64(encode(text)) as b64 from documents where text is not null")
 def _(spark, d):
-    bv, av, page = addresses.video_and_page(F.col("url"))
-    return spark.sql("select * from (values ('https://h/video/BV1x?p=3'), ('https://h/video/av77'), ('https://h/x/abc.html?vid=v9')) as t(url)").select("url", bv.alias("bv"), av.alias("av"), page.alias("page"), addresses.video_parameter(F.col("url")).alias("vid"))
-
-
-@query("path_identifiers", "select * from (values ('a:b:123:c', '123', null, null), ('/b/11/22.html', null, '11', '22'), ('/x/y/z.mp4', null, 'y', 'z')) t(s, third, collection, video)")
-def _(spark, d):
-    collection, video = addresses.collection_and_video(F.col("s"))
-    return spark.sql("select * from (values ('a:b:123:c'), ('/b/11/22.html'), ('/x/y/z.mp4')) as t(s)").select("s", addresses.third_field(F.col("s")).alias("third"), collection.alias("collection"), video.alias("video"))
-
-
-@query("query_syntax", "select * from (values ('show | 动漫', 'show', '动漫', null), ('show @ main', 'show', null, 'main'), ('a@b@', 'a@b', null, null), ('plain', 'plain', null, null)) t(q, name, class, note)")
-def _(spark, d):
-    name, kind, note = addresses.query_parts(F.col("q"))
-    return spark.sql("select * from (values ('show | 动漫'), ('show @ main'), ('a@b@'), ('plain')) as t(q)").select("q", name.alias("name"), kind.alias("class"), note.alias("note"))
-
-
-@query("server_list", "select * from (values (0, 'u1', 'main'), (1, 'u2', null), (2, 'u3', 'x')) t(pos, url, note)")
-def _(spark, d):
-    return spark.sql("select ' u1 | main , u2,, u3#x ' as s").select(F.posexplode(addresses.servers(F.col("s"))).alias("pos", "x")).select("pos", "x.url", "x.note")
+    t = F.encode("text", "UTF-8")
+    return spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.md5(t).alias("md5"), F.sha2(t, 256).alias("sha256"), addresses.base64(t).alias("b64"))
 
 
-@query("title_rules", "select * from (values ('〔组〕Show_Name', '组 Show Name'), ('x《Title》y', 'Titley'), ('plain', 'plain')) t(title, out_text)")
+@query("fingerprints")
 def _(spark, d):
-    rules = addresses.title_rules('[{"rules":[{"^〔(.-)〕": "%1 "},{"^.*《(.-)》": "%1"},{"[bad": "x"}]}]')
-    return spark.sql("select * from (values ('〔组〕Show_Name'), ('x《Title》y'), ('plain')) as t(title)").select("title", addresses.replace_title(F.col("title"), rules).alias("out_text"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    return docs.select("doc_id", addresses.times33(F.encode("text", "UTF-8")).alias("fingerprint"))
 
 
-@query("media_names", "select * from (values (1, 'My Show'), (2, 'file'), (3, 'file')) t(id, name)")
+@query("aes_round_trip", "select doc_id, md5(text) as digest from documents where text is not null")
 def _(spark, d):
-    rows = spark.sql("select * from (values (1, 'https://h/v', 'My%20Show | 动漫', 'f'), (2, '/home/file.mkv', 'T', 'file'), (3, 'https://h/v', '', 'file')) as t(id, path, title, file)")
-    return rows.select("id", addresses.media_name(F.col("path"), F.col("title"), F.col("file")).alias("name"))
+    key, iv = F.encode(F.lit("0123456789abcdef"), "UTF-8"), F.encode(F.lit("fedcba9876543210"), "UTF-8")
+    data = F.encode("text", "UTF-8")
+    there = addresses.aes_encrypt(addresses.aes_encrypt(data, key), key, "CBC", iv)
+    back = addresses.aes_decrypt(addresses.aes_decrypt(there, key, "CBC", iv), key)
+    return spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.md5(back).alias("digest"))
 
 
-@query("failure_hints", "select * from (values ('Exit code: 7 Error: refused  now', 'exit 7 连不上服务器：refused now'), ('Exit code: 99', 'exit 99'), ('', '无详细信息')) t(e, hint)")
-def _(spark, d):
-    return spark.sql("select * from (values ('Exit code: 7 Error: refused  now'), ('Exit code: 99'), ('')) as t(e)").select("e", addresses.failure_hint(F.col("e")).alias("hint"))
+_PENDING = _TOLERANCE.replace("select * from c where type between 1 and 5", "select * from c where type between 1 and 5 and source <> 's2'")
 
 
-@query("fingerprints", "select doc_id, lpad(format('{:x}', list_reduce(list_prepend(5381::bigint, list_transform(range(1, length(head) + 1), lambda i: ascii(head[i])::bigint)), lambda h, b: (h * 33 + b) % 4294967296)), 8, '0') as fingerprint from (select doc_id, regexp_replace(substr(text, 1, 40), '[^ -~]', '', 'g') as head from documents where text is not null)")
+@query("stage_rejoin", f"select cid, out_text as text, merge_count from ({_PENDING}) union all select cid, text, 1 from ({DUCK}) where type between 1 and 5 and source = 's2'")
 def _(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
-    return docs.select("doc_id", addresses.times33(F.encode(F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", ""), "UTF-8")).alias("fingerprint"))
+    split = tables.split_stage(_mergeable(spark, d), spark.sql(_SOURCES))
+    settled = split.where("bucket = 'settled'").select("cid", "text", F.lit(1).alias("merge_count"))
+    merged = merging.tolerance_merge(split.where("bucket = 'pending'"), 5).select("cid", F.col("out_text").alias("text"), "merge_count")
+    return tables.rejoin(settled, merged)
 
 
 # --- payloads -----------------------------------------------------------------------------------------------------------------------
 
 
 def _packed(spark, d, shape: str) -> DataFrame:
-    """The comments of each source as one payload."""
-    rows = comments(spark, d)
+    """The comments of each source and ten minutes as one payload."""
+    rows = comments(spark, d).withColumn("slice", F.floor(F.col("time") / 600))
     t = text.plain_number(F.col("time"))
+    keys = ["source", "slice"]
+    if shape == "xml":
+        line = export.xml_line(F.col("time"), F.col("type"), F.lit(25), F.col("color"), F.col("text"))
+        return rows.groupBy(*keys).agg(F.concat(F.lit(export.HEADER), F.array_join(F.collect_list(line), "\n"), F.lit("</i>")).alias("payload"))
     if shape == "c":
         made = F.struct(F.concat_ws(",", t, F.col("color").cast("string"), F.col("type").cast("string"), F.lit("25"), F.lit("")).alias("c"), F.col("text").alias("m"))
-        return rows.groupBy("source").agg(F.concat(F.lit("﻿"), F.to_json(F.collect_list(made))).alias("payload"))
+        return rows.groupBy(*keys).agg(F.concat(F.lit("\ufeff"), F.to_json(F.collect_list(made))).alias("payload"))
     made = F.struct(F.concat_ws(",", t, F.col("type").cast("string"), F.col("color").cast("string")).alias("p"), F.col("text").alias("m"), F.lit(1.5).alias("shift"))
-    return rows.groupBy("source").agg(F.to_json(F.struct(F.collect_list(made).alias("comments"))).alias("payload"))
+    return rows.groupBy(*keys).agg(F.to_json(F.struct(F.collect_list(made).alias("comments"))).alias("payload"))
 
 
 @query("parse_json_c", f"with c as ({DUCK}) select source, time, type, 25 as size, color, text from c")
@@ -640,59 +531,7 @@ def _(spark, d):
 
 @query("parse_xml", f"with c as ({DUCK}) select source, time, type, 25 as size, color, text from c")
 def _(spark, d):
-    rows = comments(spark, d)
-    line = export.xml_line(F.col("time"), F.col("type"), F.lit(25), F.col("color"), F.col("text"))
-    whole = rows.groupBy("source").agg(F.concat(F.lit(export.HEADER), F.array_join(F.collect_list(line), "\n"), F.lit("</i>")).alias("payload"))
-    return payloads.xml_comments(whole, keep=("source",)).drop("pos")
-
-
-@query("parse_array_form", "select * from (values (0, 1.25::double, 1, 16711680, 'a'), (1, 2.0, 4, 16777215, 'b'), (2, 3.5, 5, 255, 'c')) t(pos, time, type, color, text)")
-def _(spark, d):
-    p = spark.createDataFrame([('{"danum":3,"danmuku":[[1.251,"right","#FF0000","","a"],[2,"top","white","","b"],["3.5","bottom","#0000ff","c"]]}',)], "payload string")
-    return payloads.array_comments(p).drop("size")
-
-
-_SITES = [
-    ("position", '[{"time":15,"color":"#00FF00","position":0,"text":"p0"},{"time":20,"color":"x","position":1,"text":"p1"},{"time":30,"color":"#0000FF","position":2,"text":"p2"}]'),
-    ("tagged", "<d><content>t0</content><showTime>7</showTime><color>ff0000</color></d><d><content>t1</content><showTime>9</showTime><color>zz</color></d>"),
-    ("items", '{"data":{"items":[{"time":1500,"content":"m0"},{"time":2000}]}}'),
-    ("barrage", '{"barrage_list":[{"time_offset":"2500","content":"b0","content_style":{"color":"#010203"}},{"time_offset":"x","content":"b1"}]}'),
-    ("nested", '{"data":{"result":"{\\"data\\":{\\"result\\":[{\\"playat\\":4000,\\"content\\":\\"y0\\",\\"propertis\\":\\"{\\\\\\"color\\\\\\":255}\\"}]}}"}}'),
-]
-
-
-@query(
-    "site_payloads",
-    "select * from (values ('position', 1.5::double, 1, 65280, 'p0'), ('position', 2.0, 4, 16777215, 'p1'), ('position', 3.0, 5, 255, 'p2'), ('tagged', 7.0, 1, 16711680, 't0'), ('tagged', 9.0, 1, 16777215, 't1'), "
-    "('items', 1.5, 1, 16777215, 'm0'), ('items', 2.0, 1, 16777215, ''), ('barrage', 2.5, 1, 66051, 'b0'), ('barrage', 0.0, 1, 16777215, 'b1'), ('nested', 4.0, 1, 255, 'y0')) t(site, time, type, color, text)",
-)
-def _(spark, d):
-    out = None
-    for site, payload in _SITES:
-        rows = payloads.READERS[site](spark.createDataFrame([(payload,)], "payload string")).select(F.lit(site).alias("site"), "time", "type", "color", "text")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-@query("rule_files", "select * from (values ('xml', 'a'), ('json', 'b'), ('txt', 'c d'), ('txt', 'e')) t(kind, pattern)")
-def _(spark, d):
-    files = {"xml": '<item enabled="true">t=a</item>\n<item enabled="false">t=z</item>', "json": '[{"type":0,"filter":"b","opened":true,"id":1},{"type":1,"filter":"z","opened":true,"id":2}]', "txt": "  c d \n\n e\r\n"}
-    out = None
-    for kind, body in files.items():
-        rows = payloads.rules(spark.createDataFrame([(body,)], "payload string"), kind).select(F.lit(kind).alias("kind"), "pattern")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-@query("mixed_list", "select * from (values (0, 'u0'), (1, 'u1'), (2, null)) t(pos, url)")
-def _(spark, d):
-    return payloads.mixed_list(spark.createDataFrame([('["u0",{"url":"u1"},""]',)], "payload string"))
-
-
-@query("history_sources", "select * from (values ('p1', 'u1', 'api', true, null::double), ('p1', 'u2', 'local', false, null), ('p2', 'u3', 'user', true, 2.5)) t(path, url, origin, blocked, delay)")
-def _(spark, d):
-    doc = '{"p1":{"sources":{"u1":{"from":"api","blocked":true},"u2":{"from":"local"}}},"p2":{"sources":["-u3<user>{{2.5}}"]}}'
-    return payloads.history_sources(spark.createDataFrame([(doc,)], "payload string"))
+    return payloads.xml_comments(_packed(spark, d, "xml"), keep=("source",)).drop("pos")
 
 
 _LINE = "'<d p=\"' || (case when time = floor(time) then cast(cast(time as bigint) as varchar) else cast(time as varchar) end) || ',' || type || ',25,' || color || '\">' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') || '</d>'"
@@ -703,18 +542,24 @@ def _(spark, d):
     return export.xml_lines(comments(spark, d), by_time=False)
 
 
-@query("export_filtered", f"with c as ({DUCK}) select row_number() over (order by time, cid) as ord, {_LINE} as line from c where {_HIT} is null and type = 4")
+@query("export_filtered", f"with c as ({DUCK}) select row_number() over (order by time, source, cid) as ord, {_LINE} as line from c where {_HIT} is null")
 def _(spark, d):
-    rows = timeline.drop_ruled(comments(spark, d).where("type = 4"), RULES)
-    numbered = timeline.ordered(rows.withColumn("source", F.lit("all")), ["source"])
+    numbered = timeline.ordered(timeline.drop_ruled(comments(spark, d), RULES))
     return numbered.select(F.col("ord").cast("bigint").alias("ord"), export.xml_line(F.col("time"), F.col("type"), F.lit(25), F.col("color"), F.col("text")).alias("line"))
 
 
-@query("stage_tags", "select * from (values (1, 'merged'), (2, 'filtered'), (3, null), (4, null), (5, 'merged')) t(id, stage)")
+@query("export_merged", f"{_MERGED} select row_number() over (order by time, merge_count desc, leader) as ord, {_LINE} as line from merged")
 def _(spark, d):
-    p = payloads.STAGE_PREFIX
-    rows = [(1, f"{export.HEADER}\n<!-- {p}merged -->"), (2, f"<!--{p}filtered-->"), (3, "<i><d p='1'>merged</d>"), (4, f"<!-- {p}other -->"), (5, f"<!-- {p}MERGED -->")]
-    return spark.createDataFrame(rows, "id int, content string").select("id", payloads.stage_tag(F.col("content")).alias("stage"))
+    merged = merging.fuzzy_merge(_assigned(spark, d))
+    # equal times are in order of falling counts
+    numbered = timeline.ordered(merged.withColumns({"source": -F.col("merge_count"), "cid": F.col("leader")}))
+    return numbered.select(F.col("ord").cast("bigint").alias("ord"), export.xml_line(F.col("time"), F.col("type"), F.lit(25), F.col("color"), F.col("text")).alias("line"))
+
+
+@query("history_document", "select json_group_object(k, v) as document from (select keyword as k, {'last': last} as v from (select cast(user_id as varchar) as keyword, max(epoch_us(ts)) as last from events group by 1 order by 2 desc, 1 limit 15) order by keyword)")
+def _(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("keyword"), F.expr("unix_micros(cast(ts as timestamp))").alias("last"))
+    return export.history_document(tables.recent(events, 15, time="last"), "keyword")
 
 
 # --- built-in operators, offered for completeness ------------------------------------------------------------------------------------

@@ -30,6 +30,17 @@ def xml_lines(comments: DataFrame, by_time: bool = True) -> DataFrame:
     return (comments.orderBy("time", "cid") if by_time else comments).select("cid", line.alias("line"))
 
 
+def history_document(rows: DataFrame, key: str) -> DataFrame:
+    """One JSON document from the rows of a history, an object by ``key``; histories are small, and the writer keeps one file."""
+    value = F.struct(*(c for c in rows.columns if c != key))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))))
+    return rows.agg(F.to_json(F.map_from_entries(entries)).alias("document"))
+
+
+def write_history(rows: DataFrame, key: str, path: str) -> None:
+    history_document(rows, key).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_xml(comments: DataFrame, path: str, mode: str = "raw", overwrite: bool = False) -> None:
     """One text file: header, stage comment unless raw, the lines in order of time, closing tag. An existing path is left
     alone unless ``overwrite``. One file means one writer; use ``xml_lines`` for large exports."""

@@ -191,6 +191,18 @@ def episodes(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return payloads.select(F.posexplode(items).alias("pos", "x")).select("pos", F.col("x.episodeId").alias("episode_id"), F.col("x.episodeTitle").alias("title"), F.col("x.episodeNumber").alias("hint"))
 
 
+def linked_rows(payloads: DataFrame, sites: dict[str, str], column: str = "payload") -> DataFrame:
+    """Rows of an extra catalogue, one for each known site that has a link: title, site, link, hint. ``sites`` has the
+    name of each site by its key in the payload."""
+    row = "struct<titleTxt:string,cat_name:string,year:string,en_id:string,playlinks:map<string,string>>"
+    items = F.from_json(column, f"struct<data:struct<longData:struct<rows:array<{row}>>>>")["data"]["longData"]["rows"]
+    named = F.create_map(*(x for k, v in sites.items() for x in (F.lit(k), F.lit(v))))
+    each = payloads.select(F.explode(items).alias("x")).select("x", F.explode("x.playlinks").alias("key", "link"))
+    known = each.withColumn("site", F.try_element_at(named, F.col("key"))).where(F.col("site").isNotNull())
+    hint = F.concat_ws(" | ", "x.cat_name", "x.year", F.concat(F.lit("来源："), "site"))
+    return known.select(F.col("x.titleTxt").alias("title"), F.col("x.en_id").alias("id"), "site", "link", hint.alias("hint"))
+
+
 def mixed_list(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """A JSON list whose entries are addresses or objects with one: pos, url (null when empty)."""
     texts = F.from_json(column, "array<string>")

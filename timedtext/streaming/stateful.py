@@ -55,14 +55,13 @@ def _in_order(rows: DataFrame, key: str, at: str, delay: str, schema: str, step)
 
 class _Fuzzy:
     def __init__(self, threshold: float, cascade: Cascade, key: str):
-        self.keep_ms, self.cascade, self.columns = int(threshold * 1000), cascade, [key, "cid", "leader", "reason"]
+        self.keep_ms, self.match, self.columns = int(threshold * 1000), cascade.matcher(), [key, "cid", "leader", "reason"]
 
     def __call__(self, opened, ms, cid, text, kind):
         while opened and ms - opened[0][0] > self.keep_ms:
             opened.pop(0)
-        mine = self.cascade.features(text, kind)
         for _, leader, theirs, their_kind in reversed(opened):
-            if reason := self.cascade.compare(mine, self.cascade.features(theirs, their_kind)):
+            if reason := self.match(text, kind, theirs, their_kind):
                 return cid, leader, reason
         opened.append([ms, cid, text, kind])
         return cid, cid, "orig"
@@ -104,6 +103,29 @@ def tolerance_merge(rows: DataFrame, key: str, at: str = "ts", delay: str = "10
     return _in_order(rows, key, at, delay, f"{key} string, cid long, anchor long", _Tolerance(threshold, key))
 
 
+class _OnScreen:
+    """Within one key: (cid, value on screen) for every row, its own and that of rows up to the span before it."""
+
+    def __init__(self, span_ms: int, key: str):
+        self.keep_ms, self.columns = span_ms, [key, "cid", "onscreen"]
+
+    def __call__(self, opened, ms, cid, text, kind):
+        while opened and ms - opened[0][0] > self.keep_ms:
+            opened.pop(0)
+        opened.append([ms, len(text) ** 0.5])
+        return cid, sum(v for _, v in opened)
+
+
+def on_screen(rows: DataFrame, key: str, at: str = "ts", delay: str = "10 seconds", span_ms: int = 5000) -> DataFrame:
+    """The exact value on screen after each row of a stream, as the batch operator has it at font size 25."""
+    return _in_order(rows, key, at, delay, f"{key} string, cid long, onscreen double", _OnScreen(span_ms, key))
+
+
+def late_rows(query) -> int:
+    """How many rows of a running query came after the watermark had passed them and were dropped."""
+    return sum(s.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for s in p["stateOperators"])
+
+
 def density(rows: DataFrame, at: str = "ts", delay: str = "10 seconds", span: str = "5 seconds", slide: str = "1 second") -> DataFrame:
     """Rows and text on screen by sliding window."""
     return rows.withWatermark(at, delay).groupBy(F.window(at, span, slide)).agg(F.count("*").alias("n"), F.sum(F.sqrt(F.char_length("text"))).alias("value"))
