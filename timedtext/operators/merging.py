@@ -239,8 +239,9 @@ def _side_by_side(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
 def _fold(rows: DataFrame, stream: list[str], gap: float, start: str, begin, step, out: str, kind: str, needs: list[str]) -> DataFrame:
     """``_run`` along each stretch of a stream; ``begin`` makes a fresh state for each."""
-    cut = sessions(rows, gap, stream, time=start, order=["cid"], out="__session")
-    return _run(cut, [*stream, "__session"], [start, "cid"], begin, step, out, kind, needs).drop("__session")
+    ties = [c for c in ("cid",) if c in rows.columns]
+    cut = sessions(rows, gap, stream, time=start, order=ties, out="__session")
+    return _run(cut, [*stream, "__session"], [start, *ties], begin, step, out, kind, needs).drop("__session")
 
 
 #: Values on screen are summed in this many parts of one, as whole numbers, so that sums do not depend on their order.
@@ -307,11 +308,11 @@ def screen_cap(events: DataFrame, stream: list[str], limit: int, longest: float)
 
 def trigger_dedup(rows: DataFrame, key: str, time: str = "time", gap: float = 5) -> DataFrame:
     """Adds ``accepted``: true unless the key was accepted less than ``gap`` before."""
-    order = [c for c in ("cid",) if c in rows.columns]
-    cut = sessions(rows.withColumn("__t", F.col(time)), gap - 1e-9, [key], time=time, order=order, out="__s")
-    packed = cut.groupBy(key, "__s").agg(F.array_sort(F.collect_list(F.struct(F.col("__t").alias("t"), *order))).alias("m"))
-    last = lambda a: F.try_element_at(F.filter(a, lambda x: x["ok"]), F.lit(-1))
-    fields = lambda m, ok: F.struct(m["t"].alias("t"), *(m[c].alias(c) for c in order), ok.alias("ok"))
-    kind = "array<struct<t:double" + "".join(f",{c}:bigint" for c in order) + ",ok:boolean>>"
-    folded = F.aggregate("m", F.array().cast(kind), lambda a, m: F.concat(a, F.array(fields(m, F.coalesce(m["t"] - last(a)["t"] >= gap, F.lit(True))))))
-    return packed.select(key, F.inline(folded)).withColumnsRenamed({"t": time, "ok": "accepted"})
+
+    def step(last, t):
+        accepted = not last or t is None or t - last[0] >= gap
+        if accepted:
+            last[:] = [] if t is None else [t]
+        return accepted
+
+    return _fold(rows, [key], gap, time, list, step, "accepted", "boolean", [time])
