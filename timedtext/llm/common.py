@@ -138,6 +138,18 @@ def fixed_uint64(n: int, seed: int) -> np.ndarray:
         return mixed((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+#: Rows that go to a Python worker at once.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long rows: let no more than ``BATCH_ROWS`` of them go to a Python worker at once. This is a setting of
+    the session, which keeps a lower one."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def send(spark: SparkSession, value):
     """Broadcast a bounded value whose class the workers may not know."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

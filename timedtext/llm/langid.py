@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import give_back, materialize, received, release, sampled, send, tidy
+from timedtext.llm.common import give_back, materialize, received, release, sampled, send, small_batches, tidy
 
 
 def _letters() -> str:
@@ -41,8 +41,8 @@ def _letters() -> str:
 
 WORD = re.compile(f"{_letters()}+")
 GRAMS = (4, 3, 2, 1)
-#: Characters of a text that are taken apart at once, words of a chunk, and sums held for its texts.
-PIECE, CHUNK, CELLS = 1_000_000, 40_000, 1_000_000
+#: Characters of a text that are taken apart at once, words of a chunk, sums held for its texts, and new words looked up at once.
+PIECE, CHUNK, CELLS, SLICE = 1_000_000, 40_000, 1_000_000, 5_000
 
 
 def words_of(text: str) -> list[str]:
@@ -161,7 +161,8 @@ class Backoff:
                     sizes, langs, values = empty
                     new = list(dict.fromkeys(flat))
                 cache.update(zip(new, range(len(cache), len(cache) + len(new))))
-                sizes, langs, values = (np.concatenate(x) for x in zip((sizes, langs, values), self.rows_of(new)))
+                made = [self.rows_of(new[a : a + SLICE]) for a in range(0, len(new), SLICE)]
+                sizes, langs, values = (np.concatenate(x) for x in zip((sizes, langs, values), *made))
             doc = np.repeat(np.arange(len(held)), [len(ws) for ws in held])
             at = np.fromiter((cache[w] for w in flat), np.int64, len(flat))
             starts = np.cumsum(sizes) - sizes
@@ -215,6 +216,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """Learn from at most about ``max_docs`` labelled rows, drawn by a hash of the id. Every language keeps its most
     frequent words: its part of ``max_words``, 50 at least, and fewer where equally frequent words would pass that; words
     beyond it are left to their grams. So the model has a fixed bound."""
+    small_batches(labelled.sparkSession)
     rows = sampled(labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), key, max_docs)
 
     def counted(batches):
@@ -264,6 +266,7 @@ def _frame(found: Counter) -> pd.DataFrame:
 
 def predict(docs: DataFrame, model: Backoff, text: str = "text", out: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """Add the predicted language and its score (0 to 1) to every row."""
+    small_batches(docs.sparkSession)
     sent = send(docs.sparkSession, model)
 
     @F.pandas_udf("struct<lang:string,score:double>")

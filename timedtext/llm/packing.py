@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import materialize, number_within, tidy
+from timedtext.llm.common import materialize, number_within, small_batches, tidy
 from timedtext.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -139,6 +139,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
             out.insert(0, "doc_id", pd.array(ids_of, dtype="Int64"))
             yield out
 
+    small_batches(docs.sparkSession)
     # ids as text: pandas would turn a column of integers with nulls into floats
     return docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

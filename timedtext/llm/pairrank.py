@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import mixed, received, sampled, send, tidy
+from timedtext.llm.common import mixed, received, sampled, send, small_batches, tidy
 from timedtext.llm.tokenjoin import word_hashes
 
 _CLASSES = {
@@ -201,6 +201,7 @@ def learn(x: np.ndarray, y: np.ndarray, hashes: Hashed | None = None, pairs: int
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = 20_000) -> Ranker:
     """Learn from at most about ``max_docs`` labelled rows, drawn by a hash of the id."""
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("doc_id"), F.col(label).alias("label"))
+    small_batches(docs.sparkSession)
     rows = sampled(rows, "doc_id", max_docs).groupBy("doc_id").agg(F.min("label").alias("label"))
 
     def featured(batches):
@@ -220,6 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def predict(docs: DataFrame, ranker: Ranker, text: str = "text", out: str = "score") -> DataFrame:
     """Add a score from 0 to 1 to every row."""
+    small_batches(docs.sparkSession)
     sent = send(docs.sparkSession, ranker)
 
     @F.pandas_udf("double")

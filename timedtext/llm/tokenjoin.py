@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import SPACES, Scratch, fixed_uint64, materialize, mixed, release, tidy
+from timedtext.llm.common import SPACES, Scratch, fixed_uint64, materialize, mixed, release, small_batches, tidy
 
 WORDS = 5
 #: Shingles a task gathers before it hands them on, and documents.
@@ -602,6 +602,7 @@ def linked_keys(docs: DataFrame, seen: DataFrame, percent: int, frequent: int, s
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     given = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    small_batches(docs.sparkSession)
     scratch = Scratch()
     seen = scratch.table(profile(given), "join-profile")
     members = seen.where("kind = 0").select("doc_id", "key", F.col("size").alias("n_shingles"))
