@@ -43,7 +43,7 @@ UNITS = (
 #: Numbers as words; "one" is more often a pronoun.
 NUMBER_WORDS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty|hundred|thousand|million|billion"
 #: Slots of a bitmap for each window in it, the fewest and the most; beyond that the benchmark is taken in blocks.
-SLOTS, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 18, 1 << 25
+SLOTS, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 14, 1 << 25
 #: Rows up to which the benchmark's windows are broadcast (about 100 MB); beyond, both sides are shuffled, a frequent window
 #: to as many tasks as there are salts.
 BROADCAST_ROWS, SALTS = 400_000, 16
