@@ -6,8 +6,10 @@ import random
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 
+from timedtext.functions import similarity
 from timedtext.functions.similarity import Cascade
 from timedtext.operators import layout, merging, timeline
 from timedtext.sources import archives, export, payloads
@@ -334,3 +336,44 @@ def test_rule_files_are_edited_in_place(tmp_path):
     with pytest.raises(OSError):
         h.add("three")
     assert [r.pattern for r in h.rules] == ["two"]
+
+
+def test_scored_pairs_are_those_of_the_join(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    words = ["hello", "hallo", "hello!!", "world", "worlds", "哈哈哈", "哈哈", "x", "xx", "abcabc", "abcabcabcabc", "😀a😀", "", None]
+    times = [*(round(r.random() * 400, 1) for _ in range(300)), *(7.0 for _ in range(60)), 8.0, 8.5, -31.0, -0.5, 1e12, 1e12 + 2, None, float("nan"), float("inf"), float("inf")]
+    rows = [(i, r.choice(["s0", "s1", None]), t, r.choice(words)) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "cid long, source string, time double, text string").repartition(3)
+    for sounds in ({}, {"哈": ["h", "a"], "x": ["a", "h"]}):
+        cascade = Cascade(max_dist=2, sounds=sounds)
+        for seconds, group, batch, pairs, table in ((1.5, 20, "7", 50, 0), (1.5, 20_000, "10000", 1 << 18, 1 << 22), (0, 9, "3", 4, 1 << 22), (1000, 100, "64", 1000, 0)):
+            monkeypatch.setattr(timeline, "GROUP", group)
+            monkeypatch.setattr(timeline, "PAIRS", pairs)
+            monkeypatch.setattr(similarity.Texts, "TABLE", table)
+            monkeypatch.setattr(similarity.Bags, "BLOCK", 40 if table else 1 << 20)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            try:
+                got = [tuple(x) for x in timeline.scored_pairs(df, seconds, "text", cascade.reasons, "string", stream=["source"]).collect()]
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            expected = []
+            for a in rows:
+                for b in rows:
+                    if a[1] == b[1] and None not in (a[2], b[2]) and (b[2], b[0]) > (a[2], a[0]) and b[2] - a[2] <= seconds:
+                        why = cascade.compare(cascade.features(a[3] or ""), cascade.features(b[3] or ""))
+                        expected += [(a[0], b[0], why)] if why else []
+            assert sorted(got) == sorted(expected)
+    assert {why for *_, why in expected} == {"identical", "edit", "pinyin", "cosine"}
+    assert timeline.scored_pairs(df.limit(0), 5, "text", Cascade().reasons, "string").count() == 0
+    assert timeline.scored_pairs(df.where(F.col("cid") == 3), 5, "text", Cascade().reasons, "string").count() == 0
+
+
+def test_distances_of_places_are_those_of_texts():
+    r = random.Random(8)
+    texts = sorted({"".join(r.choice("abc哈😀 ") for _ in range(r.randrange(9))) for _ in range(80)})
+    made_of, plain = similarity.Texts(texts), [Cascade().features(t) for t in texts]
+    i, j = (x.ravel() for x in np.indices((len(texts), len(texts))))
+    assert made_of.char_distance(i, j).tolist() == [plain[a].apart(plain[b], True) for a, b in zip(i, j)]
+    assert made_of.bigram_score(i, j).tolist() == [plain[a].score(plain[b]) for a, b in zip(i, j)]

@@ -61,3 +61,22 @@ def same_as_sql(spark, tmp_path, name, con):
 def test_density_drop_draws_as_its_sql(spark, tmp_path):
     rows = same_as_sql(spark, tmp_path, "density_drop", crowded(tmp_path, 6000))
     assert 0 < sum(drop for _, drop in rows) < len(rows)
+
+
+def quick_on_crowds(spark, tmp_path, name):
+    """As its SQL on a short crowd; millions of pairs of few texts take seconds, far from what each pair by itself takes."""
+    import time
+
+    same_as_sql(spark, tmp_path, name, crowded(tmp_path, 500, 0.1))
+    con = crowded(tmp_path, 6000, 0.01)
+    began = time.time()
+    found = QUERIES[name](spark, str(tmp_path)).count()
+    assert time.time() - began < 25
+    pairs = con.execute("with n as (select event_id as i, user_id % 4 as s, floor((epoch_us(ts) - 1704067200000000) // 100000) / 1000.0::double as t from events where event_id % 8 <> 7) select count(*) from n a join n b on a.s = b.s and (b.t, b.i) > (a.t, a.i) and b.t - a.t <= 30").fetchall()[0][0]
+    assert pairs > 3_000_000
+    return found, pairs
+
+
+def test_similar_pairs_of_crowds(spark, tmp_path):
+    found, pairs = quick_on_crowds(spark, tmp_path, "similar_pairs")
+    assert 0 < found < pairs

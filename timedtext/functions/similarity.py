@@ -1,10 +1,14 @@
-"""Distances between short texts as column expressions, and the same on plain strings for ordered folds."""
+"""Distances between short texts as column expressions, and the same on plain strings for ordered folds and on arrays of
+texts for pairs."""
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,6 +98,104 @@ def _common(a: Counter, b: Counter) -> int:
     return sum(min(v, b[k]) for k, v in a.items() if k in b)
 
 
+class Bags:
+    """Bags of tokens, bag ``i`` holding the tokens whose owner is ``i``, as sorted keys and counts."""
+
+    #: Tokens looked up at once.
+    BLOCK = 1 << 20
+
+    def __init__(self, n: int, owner: np.ndarray, token: np.ndarray):
+        known, place = np.unique(token, return_inverse=True)
+        self.width = max(len(known), 1)
+        self.keys, self.counts = np.unique(owner * self.width + place, return_counts=True)
+        self.starts = np.searchsorted(self.keys, np.arange(n + 1) * self.width)
+        self.sizes = np.bincount(owner, minlength=n)
+        self.squares = np.bincount(self.keys // self.width, self.counts * self.counts, minlength=n).astype(np.int64)
+
+    def common(self, i: np.ndarray, j: np.ndarray, fold: Callable) -> np.ndarray:
+        """The sum of ``fold(count in bag i, count in bag j)`` over the tokens in both, for each pair of bags."""
+        upto = np.cumsum(self.starts[i + 1] - self.starts[i])
+        out, lo = np.zeros(len(i), np.int64), 0
+        while lo < len(i):
+            done = upto[lo - 1] if lo else 0
+            hi = max(int(np.searchsorted(upto, done + self.BLOCK, side="right")), lo + 1)
+            long = np.diff(upto[lo:hi], prepend=done)
+            pair = np.repeat(np.arange(hi - lo), long)
+            mine = np.arange(len(pair)) + np.repeat(self.starts[i[lo:hi]] - (upto[lo:hi] - long - done), long)
+            wanted = self.keys[mine] % self.width + j[lo:hi][pair] * self.width
+            theirs = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            hit = self.keys[theirs] == wanted
+            out[lo:hi] = np.bincount(pair[hit], fold(self.counts[mine[hit]], self.counts[theirs[hit]]), minlength=hi - lo)
+            lo = hi
+        return out
+
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.sizes[i] + self.sizes[j] - 2 * self.common(i, j, np.minimum)
+
+
+class Texts:
+    """Different texts, compared in pairs of places by whole arrays."""
+
+    #: Up to so many possible pairs those that occur are marked in a table, beyond they are sorted.
+    TABLE = 1 << 22
+
+    def __init__(self, texts: list[str]):
+        self.texts, n = texts, len(texts)
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(n), [len(t) for t in texts])
+        self.chars = Bags(n, owner, points)
+        inner = owner[:-1] == owner[1:]
+        self.grams = Bags(n, owner[:-1][inner], points[:-1][inner] * 0x110000 + points[1:][inner])
+
+    def sounds(self, sounds: dict[str, list[str]]) -> Bags:
+        tokens = [_PlainText(t, sounds).tokens for t in self.texts]
+        names: dict[str, int] = {}
+        flat = [(i, names.setdefault(k, len(names))) for i, bag in enumerate(tokens) for k in bag.elements()]
+        owner, token = np.array(flat, np.int64).reshape(-1, 2).T
+        return Bags(len(tokens), owner, token)
+
+    def char_distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.chars.distance(i, j)
+
+    def bigram_score(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        dot = self.grams.common(i, j, np.multiply).astype(float)
+        a, b = self.grams.squares[i], self.grams.squares[j]
+        return np.where((a > 0) & (b > 0), np.floor(dot * dot / np.maximum(a, 1) / np.maximum(b, 1) * 100), 0).astype(np.int64)
+
+    def once(self, i: np.ndarray, j: np.ndarray, score: Callable[[Texts, np.ndarray, np.ndarray], pa.Array]) -> pa.Array:
+        """``score(self, i, j)``, worked out once for each two texts."""
+        n = len(self.texts)
+        code = i * n + j
+        if n * n <= self.TABLE:
+            seen = np.zeros(n * n, bool)
+            seen[code] = True
+            pairs = np.flatnonzero(seen)
+            place = np.empty(n * n, np.int32)
+            place[pairs] = np.arange(len(pairs))
+            at = place[code]
+        else:
+            pairs, at = np.unique(code, return_inverse=True)
+        return score(self, pairs // n, pairs % n).take(pa.array(at))
+
+
+class _PlacedTexts:
+    """The texts at places of ``Texts``, as ``Cascade`` looks at them."""
+
+    def __init__(self, texts: Texts, heard: Bags | None, at: np.ndarray):
+        self.texts, self.tokens, self.at = texts, heard, at
+        self.text, self.size = at, texts.chars.sizes[at]
+        self.heard = heard.sizes[at] if heard else None
+
+    def apart(self, other: _PlacedTexts, near: np.ndarray) -> np.ndarray:
+        return self.texts.char_distance(self.at, other.at)
+
+    def apart_in_sound(self, other: _PlacedTexts, near: np.ndarray) -> np.ndarray:
+        return self.tokens.distance(self.at, other.at)
+
+    def score(self, other: _PlacedTexts) -> np.ndarray:
+        return self.texts.bigram_score(self.at, other.at)
+
+
 @dataclass(frozen=True)
 class Cascade:
     """When two texts count as alike: the same, by characters, by sound, by bigrams."""
@@ -135,6 +237,13 @@ class Cascade:
             reason, distance = reason.when(holds, name), distance.when(holds, value)
         return reason, distance.cast("bigint")
 
+    def reasons(self, texts: Texts, i: np.ndarray, j: np.ndarray) -> pa.Array:
+        """The reason for the texts at places i and j, null where they differ."""
+        heard = texts.sounds(self.sounds) if self.sounds else None
+        tests = list(self.tests(_PlacedTexts(texts, heard, i), _PlacedTexts(texts, heard, j)))
+        which = np.select([holds for _, holds, _ in tests], range(len(tests)), -1)
+        return pa.array([name for name, _, _ in tests], pa.string()).take(pa.array(which, mask=which < 0))
+
     def features(self, text: str) -> _PlainText:
         return _PlainText(text, self.sounds)
 

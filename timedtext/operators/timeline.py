@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timedtext.functions.luapattern import BadPattern, to_java
+from timedtext.functions.similarity import Texts
 
 SEGMENT = "struct<start:double,delay:double>"
 
@@ -169,3 +174,79 @@ def near_pairs(rows: DataFrame, seconds: float, time: str = "time", key: str = "
     later = (F.col(f"b_{time}") > F.col(f"a_{time}")) | ((F.col(f"b_{time}") == F.col(f"a_{time}")) & (F.col(f"b_{key}") > F.col(f"a_{key}")))
     met = reduce(lambda x, k: x & F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")), stream or [], a["__b"] == b["__b"])
     return a.join(b, met).where(later & (F.col(f"b_{time}") - F.col(f"a_{time}") <= seconds)).drop("__b")
+
+
+#: Of ``scored_pairs``: a time slice in windows; rows of a slice that one group pairs with later ones; pairs made at once.
+WINDOWS, GROUP, PAIRS = 8, 20_000, 1 << 18
+
+
+def scored_pairs(
+    rows: DataFrame, seconds: float, text: str, score: Callable[[Texts, np.ndarray, np.ndarray], pa.Array], kind: str, time: str = "time", key: str = "cid", stream: list[str] | None = None, out: str = "score"
+) -> DataFrame:
+    """The pairs of ``near_pairs`` as ``a_<key>``, ``b_<key>`` and what ``score(texts, i, j)`` says of the texts at places
+    i and j; pairs of which it says null go. The key is a whole number.
+
+    Rows pass once, in order, through one Python process for a slice of a stream's time, each shown to the slice before
+    too if a row there may lie near. Pairs are made as arrays, and texts are scored once for each two that meet in a batch.
+    A crowded slice is dealt to several groups: each holds a part of the rows that come first and all that may follow."""
+    keys, span = stream or [], float(WINDOWS * seconds) if seconds > 0 else 1.0
+    slice_at = lambda t: F.floor(t / F.lit(span))
+    at = F.col(time).cast("double")
+    held = rows.select(*keys, at.alias("__t"), F.col(key).cast("bigint").alias("__key"), F.coalesce(text, F.lit("")).alias("__text"))
+    # what is not finite is near nothing
+    held = held.where(F.col("__t").between(-1.7e308, 1.7e308)).withColumn("__home", slice_at(F.col("__t")))
+    parts = held.groupBy(*keys, F.col("__home").alias("__slice")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("__parts"))
+    shown = held.withColumn("__slice", F.explode(F.array_distinct(F.array("__home", slice_at(F.col("__t") - 2 * seconds)))))
+    dealt = _with_sums(shown, parts, [*keys, "__slice"]).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    first = (F.col("__home") == F.col("__slice")) & (F.pmod(F.xxhash64("__key"), F.col("__parts")) == F.col("__part"))
+    by = [*keys, "__slice", "__part"]
+    n = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = dealt.select(*by, "__t", "__key", "__text", (F.col("__t") - F.col("__slice") * F.lit(span)).alias("__in"), first.alias("__first"))
+    names = [f"a_{key}", f"b_{key}", out]
+    # candidates are found within a little more than the window, each is then compared exactly
+    reach, apart = seconds * (1 + 1e-6) + 1e-6 * span, 2 * span
+
+    def pairs(table: pa.Table, old: int) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(np.concatenate([[False], reduce(np.logical_or, (_changes(table[c]) for c in by))]))
+        t, ids, along = table["__t"].to_numpy(), table["__key"].to_numpy(), table["__in"].to_numpy() + group * apart
+        coded = table["__text"].combine_chunks().dictionary_encode()
+        code, texts = coded.indices.to_numpy().astype(np.int64), Texts(coded.dictionary.to_pylist())
+        ahead = table["__first"].to_numpy()
+        places = np.flatnonzero(ahead)
+        upto = np.cumsum(ahead) - ahead
+        since = np.minimum(np.searchsorted(along[places], along - reach), upto)
+        since[:old] = upto[:old]
+        total = np.concatenate([[0], np.cumsum(upto - since)])
+        for lo in range(0, int(total[-1]), PAIRS):
+            nth = np.arange(lo, min(lo + PAIRS, int(total[-1])))
+            b = np.searchsorted(total, nth, side="right") - 1
+            a = places[since[b] + nth - total[b]]
+            met = (t[b] - t[a] <= seconds) & ((t[b] > t[a]) | (ids[b] > ids[a]))
+            a, b = a[met], b[met]
+            if len(a):
+                said = texts.once(code[a], code[b], score)
+                batch = pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), said], names=names)
+                yield batch.filter(said.is_valid()) if said.null_count else batch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if live is None else pa.concat_tables([live, pa.Table.from_batches([batch])])
+            yield from pairs(table, 0 if live is None else live.num_rows)
+            # rows that may still meet later ones: of the last row's group, within the window before it
+            last = table.slice(table.num_rows - 1)
+            same = reduce(pc.and_, (pc.equal(table[c], last[c][0]) if last[c][0].is_valid else pc.is_null(table[c]) for c in by))
+            near = pc.greater_equal(table["__in"], last["__in"][0].as_py() - reach)
+            live = table.filter(pc.and_(pc.and_(pc.fill_null(same, False), near), table["__first"]))
+
+    return placed.repartition(n, *by).sortWithinPartitions(*by, "__t", "__key").mapInArrow(run, f"`{names[0]}` bigint, `{names[1]}` bigint, `{out}` {kind}")
+
+
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Where a value differs from the one before it, nulls being equal."""
+    n = len(column)
+    before, after = column.slice(0, n - 1), column.slice(1)
+    other = pc.fill_null(pc.not_equal(before, after), False).to_numpy()
+    return other | (before.is_null().to_numpy() != after.is_null().to_numpy())

@@ -285,10 +285,14 @@ def _near(spark, d):
     return timeline.near_pairs(rows, 30, stream=["source"]).select(F.col("a_cid").alias("ca"), F.col("b_cid").alias("cb"), F.col("a_s").alias("s"), F.col("b_s").alias("z"))
 
 
+def _scored(spark, d, score, kind: str, out: str):
+    rows = _mergeable(spark, d).select("cid", "time", "source", text.normalize(F.col("text")).alias("s"))
+    return timeline.scored_pairs(rows, 30, "s", score, kind, stream=["source"], out=out).withColumnsRenamed({"a_cid": "ca", "b_cid": "cb"})
+
+
 @query("similar_pairs", f"{_PAIRS} select ca, cb, reason from (select ca, cb, {_cascade_sql('s', 'z', 'sc', 'zc', 'sg', 'zg')} as reason from p) where reason is not null")
 def _(spark, d):
-    reason, _dist = Cascade().columns(F.col("s"), F.col("z"))
-    return _near(spark, d).select("ca", "cb", reason.alias("reason")).where("reason is not null")
+    return _scored(spark, d, Cascade().reasons, "string", "reason")
 
 
 @query("char_distance_pairs", f"{_PAIRS} select ca, cb, cast({_BAG('sc', 'zc')} as int) as dist from p")
