@@ -70,7 +70,7 @@ def quick_on_crowds(spark, tmp_path, name):
     same_as_sql(spark, tmp_path, name, crowded(tmp_path, 500, 0.1))
     con = crowded(tmp_path, 6000, 0.01)
     began = time.time()
-    found = QUERIES[name](spark, str(tmp_path)).count()
+    found = QUERIES[name](spark, str(tmp_path)).selectExpr("count(*)", "bit_xor(xxhash64(*))").first()[0]  # reads all columns
     assert time.time() - began < 25
     pairs = con.execute("with n as (select event_id as i, user_id % 4 as s, floor((epoch_us(ts) - 1704067200000000) // 100000) / 1000.0::double as t from events where event_id % 8 <> 7) select count(*) from n a join n b on a.s = b.s and (b.t, b.i) > (a.t, a.i) and b.t - a.t <= 30").fetchall()[0][0]
     assert pairs > 3_000_000
@@ -80,3 +80,8 @@ def quick_on_crowds(spark, tmp_path, name):
 def test_similar_pairs_of_crowds(spark, tmp_path):
     found, pairs = quick_on_crowds(spark, tmp_path, "similar_pairs")
     assert 0 < found < pairs
+
+
+def test_char_distance_pairs_of_crowds(spark, tmp_path):
+    found, pairs = quick_on_crowds(spark, tmp_path, "char_distance_pairs")
+    assert found == pairs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -297,7 +298,7 @@ def _(spark, d):
 
 @query("char_distance_pairs", f"{_PAIRS} select ca, cb, cast({_BAG('sc', 'zc')} as int) as dist from p")
 def _(spark, d):
-    return _near(spark, d).select("ca", "cb", similarity.char_distance(F.col("s"), F.col("z")).cast("int").alias("dist"))
+    return _scored(spark, d, lambda texts, i, j: pa.array(texts.char_distance(i, j), pa.int32()), "int", "dist")
 
 
 @query("bigram_cos2_pairs", f"{_PAIRS} select ca, cb, cast({_COS('sg', 'zg')} as bigint) as sim from p")
