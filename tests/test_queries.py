@@ -85,3 +85,8 @@ def test_similar_pairs_of_crowds(spark, tmp_path):
 def test_char_distance_pairs_of_crowds(spark, tmp_path):
     found, pairs = quick_on_crowds(spark, tmp_path, "char_distance_pairs")
     assert found == pairs
+
+
+def test_bigram_cos2_pairs_of_crowds(spark, tmp_path):
+    found, pairs = quick_on_crowds(spark, tmp_path, "bigram_cos2_pairs")
+    assert found == pairs

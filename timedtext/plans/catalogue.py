@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.functions import addresses, similarity, text
+from timedtext.functions import addresses, text
 from timedtext.functions.similarity import Cascade
 from timedtext.operators import layout, merging, tables, timeline
 from timedtext.plans import derived  # noqa: F401  (registers its queries)
@@ -281,11 +281,6 @@ _PAIRS = f"""with {_M}, n as (select cid, time, source, {_NORMED} as s, {_CHARS(
  p as (select a.cid as ca, b.cid as cb, a.s as s, b.s as z, a.ch as sc, b.ch as zc, a.gr as sg, b.gr as zg from n a join n b on b.source = a.source and (b.time, b.cid) > (a.time, a.cid) and b.time - a.time <= 30)"""
 
 
-def _near(spark, d):
-    rows = _mergeable(spark, d).select("cid", "time", "source", text.normalize(F.col("text")).alias("s"))
-    return timeline.near_pairs(rows, 30, stream=["source"]).select(F.col("a_cid").alias("ca"), F.col("b_cid").alias("cb"), F.col("a_s").alias("s"), F.col("b_s").alias("z"))
-
-
 def _scored(spark, d, score, kind: str, out: str):
     rows = _mergeable(spark, d).select("cid", "time", "source", text.normalize(F.col("text")).alias("s"))
     return timeline.scored_pairs(rows, 30, "s", score, kind, stream=["source"], out=out).withColumnsRenamed({"a_cid": "ca", "b_cid": "cb"})
@@ -303,7 +298,7 @@ def _(spark, d):
 
 @query("bigram_cos2_pairs", f"{_PAIRS} select ca, cb, cast({_COS('sg', 'zg')} as bigint) as sim from p")
 def _(spark, d):
-    return _near(spark, d).select("ca", "cb", similarity.bigram_score(F.col("s"), F.col("z")).alias("sim"))
+    return _scored(spark, d, lambda texts, i, j: pa.array(texts.bigram_score(i, j)), "bigint", "sim")
 
 
 @query("density_onscreen", f"""with {_M}, v as (select cid, source, cast(floor(time * 1000 + 0.5) as bigint) as t, sqrt(length(text)) as v from m)
