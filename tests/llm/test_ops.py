@@ -250,6 +250,32 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, decontam.find(docs, items).collect())) == whole and len(whole) > 400
 
 
+def test_decontamination_drops_windows_early(spark, monkeypatch):
+    """Of the windows of documents that equal none of the benchmark hardly any become rows, and a plan holds three bitmaps
+    at most: one for the prefixes of templates, one for those of words, one for whole windows."""
+    made, joined = [], []
+    windows_of, met = decontam._document_windows, decontam._met
+    monkeypatch.setattr(decontam, "_document_windows", lambda *a: made.append(windows_of(*a)) or made[-1])
+    monkeypatch.setattr(decontam, "_met", lambda docs, windows, n: joined.append(windows) or met(docs, windows, n))
+    r = random.Random(3)
+    said = lambda n: " ".join(r.choices("alpha beta gamma delta kappa sigma omega theta lambda zeta rho tau".split(), k=n))
+    items = spark.createDataFrame([(i, said(r.randint(16, 60))) for i in range(80)] + [(80, "What is 12 times 34 plus 56?")], "item_id long, text string")
+    assert decontam.find(docs_of(spark, [said(400) for _ in range(50)]), items).count() == 0
+    equal = joined[0].select(F.col("bh").alias("h"), F.col("bk").alias("k"))
+    assert made[0].join(equal, ["h", "k"], "left_anti").count() < 0.01 * 50 * 400
+    assert len(re.findall("0x[01]{1000}", made[0]._jdf.queryExecution().optimizedPlan().toString())) <= 3
+
+
+def test_decontamination_patterns(spark):
+    """Patterns that branch by letter match the words that the alternatives match."""
+    spelt = sorted(set(re.findall("[a-z]+", f"{decontam.UNITS} {decontam.NUMBER_WORDS}")))
+    words = sorted({w[:k] + end for w in spelt for k in range(1, len(w) + 1) for end in ("", "s", "es", "teen", "ty", "x")})
+    kind = lambda w: "#" if re.fullmatch(decontam.NUMBER_WORDS, w) else "&" if re.fullmatch(decontam.UNITS, w) else w
+    expected = [kind(w) for w in words]
+    (row,) = docs_of(spark, [" ".join(words)]).select(decontam.template(F.col("text")).alias("t")).collect()
+    assert row["t"].split(" ") == expected and expected.count("#") == 30 and expected.count("&") == 103
+
+
 def test_decontamination_whole_table(spark, sf_dir, documents):
     plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
     items = [(r["item_id"], plain(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

@@ -19,6 +19,7 @@ theirs. Empty tables give an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -44,11 +45,35 @@ UNITS = (
 NUMBER_WORDS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty|hundred|thousand|million|billion"
 #: Slots of a bitmap for each window in it, the fewest and the most; beyond that the benchmark is taken in blocks.
 SLOTS, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 14, 1 << 25
+#: Where in a hash its slots are read: few for prefixes, which are tested at every word, more for whole windows.
+PREFIX_SHIFTS, WHOLE_SHIFTS = (0, 24), (0, 8, 16, 24, 32, 39)
 #: Rows up to which the benchmark's windows are broadcast (about 100 MB); beyond, both sides are shuffled, a frequent window
 #: to as many tasks as there are salts.
 BROADCAST_ROWS, SALTS = 400_000, 16
 
 
+def _spelled(alternatives: str) -> list[str]:
+    """The words that alternatives match, each a word with a group of beginnings before it or an optional last letter."""
+    out = []
+    for one in re.split(r"\|(?![^(]*\))", alternatives):
+        heads, stem, last = re.fullmatch(r"(?:\(\?:([\w|]+)\))?(\w*?)(?:(\w)\?)?", one).groups()
+        out += [head + stem + tail for head in (heads or "").split("|") for tail in {"", last or ""}]
+    return out
+
+
+def _by_letter(words: list[str]) -> str:
+    """A pattern of the words that branches by one letter after the other, so that a word that is none of them is passed
+    after a few letters rather than held against each."""
+    tails: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        tails.setdefault(word[:1], []).append(word[1:])
+    ends = tails.pop("", None) is not None
+    branches = [first + _by_letter(rest) for first, rest in tails.items()]
+    if len(branches) == 1 and not ends:
+        return branches[0]
+    return f"(?:{'|'.join(branches)})" + ("?" if ends else "") if branches else ""
+
+
 def plain(text: Column) -> Column:
     """Words joined by single spaces: separators inside numbers go, digits and letters part. Each pattern begins with what
     is rare, so that most places of a text are passed at one look."""
@@ -60,24 +85,34 @@ def plain(text: Column) -> Column:
 def template(words: Column) -> Column:
     """The canonical form of ``plain`` text, word for word. Patterns begin with the space before a word."""
     named = F.regexp_replace(F.concat(F.lit(" "), words), r" \p{Lu}\p{Ll}*(?![^ ])", f" {NAME}")
-    numbered = F.regexp_replace(F.lower(named), rf" (?:\p{{N}}+|{NUMBER_WORDS})(?![^ ])", f" {NUMBER}")
-    return F.ltrim(F.regexp_replace(numbered, rf" (?:{UNITS})(?![^ ])", f" {UNIT}"))
+    numbered = F.regexp_replace(F.lower(named), rf" (?:\p{{N}}+|{_by_letter(_spelled(NUMBER_WORDS))})(?![^ ])", f" {NUMBER}")
+    return F.ltrim(F.regexp_replace(numbered, rf" {_by_letter(_spelled(UNITS))}(?![^ ])", f" {UNIT}"))
 
 
 def _words(joined: Column) -> Column:
-    return F.filter(F.split(joined, " "), lambda w: w != "")
+    """The words of a text with single spaces between them."""
+    return F.array_remove(F.split(joined, " "), "")
 
 
 def _hash(words: Column, at: Column, n: int, exact: bool = False) -> Column:
     return F.xxhash64(*([F.lit(1)] if exact else []), *(F.get(words, at + k) for k in range(n)))
 
 
-def _bitmap(hashes: DataFrame, slots: int):
-    """A test of a hash against a literal with one byte for each slot; a slot is set if some hash falls there."""
+def _bitmap(hashes: DataFrame, slots: int, shifts: tuple[int, ...]):
+    """A test of a hash against a literal with one byte for each slot. A hash falls into one slot for each shift; it passes
+    if all of its slots are set by some hash. The literal is written out wherever the driver describes a plan, so a test
+    names it once."""
     out = np.zeros(slots, np.uint8)
-    out[hashes.toArrow().column(0).drop_null().to_numpy() & (slots - 1)] = 1
+    values = hashes.toArrow().column(0).drop_null().to_numpy().view(np.uint64)
+    for shift in shifts:
+        out[(values >> np.uint64(shift)) & np.uint64(slots - 1)] = 1
     bitmap = F.lit(out.tobytes())
-    return lambda h: F.substring(bitmap, (h.bitwiseAND(F.lit(slots - 1)) + 1).cast("int"), 1) == F.lit(b"\x01")
+
+    def passes(h: Column) -> Column:
+        slot = lambda shift: F.call_function("shiftrightunsigned", h, shift).bitwiseAND(F.lit(slots - 1)).cast("int")
+        return F.forall(F.array(*map(F.lit, shifts)), lambda shift: F.substring(bitmap, slot(shift) + 1, 1) == F.lit(b"\x01"))
+
+    return passes
 
 
 def _collapsed(c: Column) -> Column:
@@ -187,11 +222,11 @@ def _document_windows(docs: DataFrame, lengths: list[tuple[bool, int]], keep) ->
 
     def of_length(exact: bool, k: int) -> Column:
         words, places = next((w, p) for e, w, p in sides if e == exact)
-        hashed = lambda i: _hash(F.col(words), i, k, exact)
-        here = F.filter(places, lambda i: (i <= F.size(words) - k) & keep[1](hashed(i)))
-        return F.transform(here, lambda i: F.struct(F.lit(exact).alias("exact"), F.lit(k).alias("k"), i.alias("i"), hashed(i).alias("h")))
+        window = lambda i: F.struct(F.lit(exact).alias("exact"), F.lit(k).alias("k"), i.alias("i"), _hash(F.col(words), i, k, exact).alias("h"))
+        return F.transform(F.filter(places, lambda i: i <= F.size(words) - k), window)
 
-    found = base.withColumn("found", F.concat(*(of_length(e, k) for e, k in lengths))).drop(*(p for _, _, p in sides), "t")
+    found = base.withColumn("found", F.filter(F.concat(*(of_length(e, k) for e, k in lengths)), lambda x: keep[1](x["h"])))
+    found = found.drop(*(p for _, _, p in sides), "t")
     # columns that are null rather than a filter of rows, which would be pushed down with all it is made from
     some = lambda c: F.when(F.size("found") > 0, c)
     full = found.select("rid", "doc_id", "l", "found", some(_words(F.col("p"))).alias("w"), some(_words(F.col("tc"))).alias("c")).withColumn("s", some(_starts()))
@@ -282,7 +317,7 @@ def _met(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
     for exact, words in ((False, "item_t"), (True, "item_v")):
         if any(e == exact for e, _ in lengths):
             prefix = F.when(F.col("exact") == exact, _hash(F.col(words), F.lit(0), _prefix(lengths, exact), exact)).otherwise(prefix)
-    here = _document_windows(docs, lengths, [_bitmap(windows.select(h), slots) for h in (prefix, "bh")])
+    here = _document_windows(docs, lengths, [_bitmap(windows.select(h), slots, shifts) for h, shifts in ((prefix, PREFIX_SHIFTS), ("bh", WHOLE_SHIFTS))])
     same = (F.col("h") == F.col("bh")) & (F.col("k") == F.col("bk"))
     hashed = windows.drop("exact")
     if n <= BROADCAST_ROWS:
